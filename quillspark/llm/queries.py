@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, token_counts
+from quillspark.llm import packing, pii, quality, token_counts
 from quillspark.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -35,3 +35,28 @@ def op10_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(docs, "text", public_tokenizers.path(VOCABULARY))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op2_pii")
+def op2_pii(spark, sf_dir):
+    """Personal data of all documents, with digests of the base spans."""
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii_spans")
+    base = [k.name for k in pii.KINDS if k.base]
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
+    base_spans = F.filter("pii_spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in base],
+        F.sha2(pii.joined(base_spans), 256).alias("base_sha256"),
+        pii.joined(F.col("pii_spans")).alias("spans"),
+        *[count(k.name).alias(f"n_{k.name}") for k in pii.KINDS if not k.base],
+        F.coalesce(F.array_max(F.transform("pii_spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
+    )
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    """Quality statistics of all documents and the verdict of the learned decision list."""
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels")
+    judged, _ = quality.judge(docs, labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
