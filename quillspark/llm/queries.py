@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, pii, quality, token_counts
+from quillspark.llm import near_dedup, packing, pii, quality, token_counts
 from quillspark.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -60,3 +60,9 @@ def op7_quality_rules(spark, sf_dir):
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels")
     judged, _ = quality.judge(docs, labels)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op5_minhash_dedup")
+def op5_minhash_dedup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
