@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_dedup, packing, pii, quality, token_counts
+from quillspark.llm import decontaminate, near_dedup, packing, pii, quality, token_counts
 from quillspark.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -66,3 +66,9 @@ def op7_quality_rules(spark, sf_dir):
 def op5_minhash_dedup(spark, sf_dir):
     """Near-duplicate class of every document."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the best window."""
+    return decontaminate.find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
