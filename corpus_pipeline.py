@@ -1,8 +1,61 @@
-"""Corpus pipeline: filters, deduplicates, decontaminates, redacts and packs the documents table."""
+"""Corpus pipeline: drops toxic documents, near copies and contaminated documents, redacts and packs what is left.
 
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of
+documents; the last returns the placement of every token piece. ``run`` writes each stage's documents as Parquet into
+the shared folder and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, near_dedup, packing, pii, toxicity
+from quillspark.llm.common import documents, fold_mod, shared_dir
+from quillspark.llm.queries import VOCABULARY
+
+#: The toxicity model and the tokenizer have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar scores below one half."""
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~fold_mod(F.col("_id"), 5, 0))
+    return toxicity.keep_clean(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.keep_first(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    out = pii.redact(pii.find_pii(docs)).drop("pii_spans")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences of 2048."""
+    return packing.pack_documents(docs, "doc_id", "text", public_tokenizers.path(VOCABULARY), 2048)
+
+
+STAGES = [("toxicity", clean), ("near_dedup", distinct), ("decontamination", uncontaminated), ("pii", redacted), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage over the documents table."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -207,7 +207,21 @@ def find_contamination(df: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def drop_contaminated(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the documents that hold an item; rows with a null id stay."""
-    found = find_contamination(df, items, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(found, F.col(doc_id) == F.col("_gone"), "left_anti")
+def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
+    """``df`` without the documents that hold an item; all columns stay, and no row moves between tasks."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+    for ids, texts in _blocks(items, item_id, item_text):
+
+        def run(batches, ids=ids, texts=texts):
+            import pyarrow as pa
+
+            block = Items(ids, texts, edit_share)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, held in slabs(batch.column(at).to_numpy(zero_copy_only=False)):
+                    keep[[first + t for t, *_ in block.search(held)]] = False
+                yield batch.filter(pa.array(keep))
+
+        df = df.mapInArrow(run, df.schema)
+    return df

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, near_dedup, packing, pii, quality, token_counts
-from quillspark.llm.common import documents
+from quillspark.llm import decontaminate, near_dedup, packing, pii, quality, token_counts, toxicity
+from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
 VOCABULARY = "word_bpe_49k.json"
@@ -72,3 +72,12 @@ def op5_minhash_dedup(spark, sf_dir):
 def op4_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, with the best window."""
     return decontaminate.find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of all documents; learned from labels whose id is not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~fold_mod(F.col("_id"), 5, 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold_mod(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
