@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, near_dedup, packing, pii, quality, token_counts, toxicity
+from quillspark.llm import decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity
 from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
@@ -81,3 +81,12 @@ def op9_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~fold_mod(F.col("_id"), 5, 0))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(fold_mod(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    """Language of all documents; learned from documents that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~fold_mod(F.col("doc_id"), 4, 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold_mod(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
