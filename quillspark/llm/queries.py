@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity
+from quillspark.llm import decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity, warc
 from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
@@ -90,3 +90,18 @@ def op3_language_id(spark, sf_dir):
     model = langid.fit(docs, ~fold_mod(F.col("doc_id"), 4, 2))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(fold_mod(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op8_warc",
+    """
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY coalesce(html, '')) THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
+    FROM pages
+    """,
+)
+def op8_warc(spark, sf_dir):
+    """All pages written to archives in ZIP packages and read back."""
+    read = warc.round_trip(documents(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
