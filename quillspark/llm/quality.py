@@ -144,37 +144,69 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 
 def learn(labelled: DataFrame, bad: Column, features: tuple[str, ...] = FEATURES, max_rules: int = MAX_RULES) -> DecisionList:
-    """Rules for the rows where ``bad`` holds, from all rows of ``labelled`` (doc_id and the features)."""
-    rows = cut(labelled.select("doc_id", *features, bad.alias("bad")).where("bad IS NOT NULL"))
-    cuts = rows.agg(*[F.percentile_approx(f, [k / QUANTILES for k in range(QUANTILES)] + [1.0], 20_000).alias(f) for f in features]).first()
-    trial = [Condition(f, above, float(t)) for f in features for t in sorted(set(cuts[f] or ())) for above in (True, False)]
-    grow = F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2
-    found = DecisionList()
+    """Rules for the rows where ``bad`` holds, from all rows of ``labelled`` (doc_id and the features).
+
+    Every feature is replaced by the number of thresholds below it, so one count by (feature, number, label) gives the
+    covered rows of all conditions of a growing step.
+    """
+    known = labelled.select("doc_id", *features, bad.alias("bad")).where("bad IS NOT NULL")
+    cuts = known.agg(*[F.percentile_approx(f, [k / QUANTILES for k in range(QUANTILES)] + [1.0], 20_000).alias(f) for f in features]).first()
+    steps = {f: sorted({float(t) for t in cuts[f] or ()}) for f in features}
 
-    def counts(part: Column, tests: list[Column]) -> list[tuple[int, int]]:
-        aggregated = rows.where(part).agg(*[F.count_if(t & (F.col("bad") == side)).alias(f"c{k}_{int(side)}") for k, t in enumerate(tests) for side in (True, False)]).first()
-        return [(aggregated[f"c{k}_1"], aggregated[f"c{k}_0"]) for k in range(len(tests))]
+    def passed(feature: str) -> Column:
+        limits = F.array(*map(F.lit, steps[feature])) if steps[feature] else F.array().cast("array<double>")
+        return F.size(F.filter(limits, lambda t: t < F.col(feature)))
 
-    for _ in range(max_rules if trial else 0):
-        left = found.number() == 0
+    below = [passed(f).alias(f) for f in features]
+    grow = F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2
+    rows = cut(known.select(grow.alias("grow"), "bad", *below))
+    found, numbered = DecisionList(), []
+
+    def met(rule: list[Condition]) -> Column:
+        out = F.lit(True)
+        for c in rule:
+            at = steps[c.feature].index(c.threshold) + 1
+            out = out & (F.col(c.feature) >= at if c.above else F.col(c.feature) < at)
+        return out
+
+    def covered(part: Column) -> dict[Condition, tuple[int, int]]:
+        """Bad and good rows of every condition among the rows of ``part``; None stands for all rows."""
+        table: dict[tuple[int, bool], dict[int, int]] = {}
+        for r in rows.where(part).select("bad", F.posexplode(F.array(*features))).groupBy("pos", "col", "bad").count().collect():
+            table.setdefault((r["pos"], r["bad"]), {})[r["col"]] = r["count"]
+        out = {None: tuple(sum(table.get((0, side), {}).values()) for side in (True, False))}
+        for k, f in enumerate(features):
+            for at, t in enumerate(steps[f], 1):
+                high = tuple(sum(n for b, n in table.get((k, side), {}).items() if b >= at) for side in (True, False))
+                out[Condition(f, True, t)] = high
+                out[Condition(f, False, t)] = (out[None][0] - high[0], out[None][1] - high[1])
+        return out
+
+    while len(found.rules) < max_rules:
+        left = F.lit(True)
+        for past in numbered:
+            left = left & ~past
         rule: list[Condition] = []
         while len(rule) < MAX_CONDITIONS:
-            here = conjunction(rule) & left
-            (p0, n0), *got = counts(grow & here, [F.lit(True), *[c.column() for c in trial]])
-            if p0 < MIN_ROWS or n0 == 0:
+            got = covered(F.col("grow") & left & met(rule))
+            p0, n0 = got.pop(None)
+            if p0 < MIN_ROWS or n0 == 0 or not got:
                 break
-            best = max(range(len(trial)), key=lambda k: (_gain(*got[k], p0, n0), -k))
-            if _gain(*got[best], p0, n0) <= 0 or got[best] == (p0, n0):
+            best = max(got, key=lambda c: _gain(*got[c], p0, n0))  # of equal ones the first
+            if _gain(*got[best], p0, n0) <= 1e-9 or got[best] == (p0, n0):
                 break
-            rule.append(trial[best])
+            rule.append(best)
         if not rule:
             break
-        got = counts(~grow & left, [conjunction(rule[: k + 1]) for k in range(len(rule))])
+        tests = [met(rule[: k + 1]) for k in range(len(rule))]
+        sums = rows.where(~F.col("grow") & left).agg(*[F.count_if(t & (F.col("bad") == side)).alias(f"c{k}_{side}") for k, t in enumerate(tests) for side in (True, False)]).first()
+        got = [(sums[f"c{k}_True"], sums[f"c{k}_False"]) for k in range(len(rule))]
         keep = max(range(len(rule)), key=lambda k: ((got[k][0] - got[k][1]) / max(1, sum(got[k])), got[k][0], -k))
         p, n = got[keep]
         if p < MIN_ROWS or p / (p + n) < MIN_PRECISION:
             break
         found.rules.append(rule[: keep + 1])
+        numbered.append(met(found.rules[-1]))
     return found
 
 
