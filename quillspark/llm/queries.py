@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity, warc
+from quillspark.llm import chat, decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity, warc
 from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
@@ -105,3 +105,27 @@ def op8_warc(spark, sf_dir):
     """All pages written to archives in ZIP packages and read back."""
     read = warc.round_trip(documents(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op6_chat_formatting",
+    """
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations
+    ), prefix AS (
+      SELECT conv_id, place, string_agg(md5(role || chr(1) || text), ',') OVER (PARTITION BY conv_id ORDER BY place) AS p,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM t
+    ), whole AS (
+      SELECT p, n, min(conv_id) AS conv_id FROM prefix WHERE place = n GROUP BY p, n
+    ), kept AS (
+      SELECT w.conv_id, w.n FROM whole w WHERE w.p NOT IN (SELECT p FROM prefix WHERE place < n)
+    )
+    SELECT t.conv_id, CAST((place - 1) // 64 AS INT) AS segment, CAST(k.n AS INT) AS n_turns,
+           string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+    FROM t JOIN kept k ON t.conv_id = k.conv_id GROUP BY ALL
+    """,
+)
+def op6_chat_formatting(spark, sf_dir):
+    """Maximal conversations rendered with the chat template."""
+    return chat.format_chats(documents(spark, sf_dir, "conversations"))
