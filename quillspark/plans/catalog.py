@@ -1,6 +1,6 @@
 """All queries of the library, gathered by importing the plan modules."""
 
-from quillspark.plans import history, scalars  # noqa: F401
+from quillspark.plans import evaluate, history, review, scalars, search  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
