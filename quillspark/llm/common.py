@@ -74,17 +74,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words, cache: dict | None = None) -> np.ndarray:
-    """64-bit hashes of an Arrow string array, computed once per distinct word."""
-    import pyarrow.compute as pc
+def distinct_hashes(words) -> np.ndarray:
+    """64-bit hash of each word of an Arrow string array."""
     import xxhash
 
-    encoded = pc.dictionary_encode(words)
-    if hasattr(encoded, "combine_chunks"):
-        encoded = encoded.combine_chunks()
     digest = xxhash.xxh3_64_intdigest
-    distinct = np.fromiter((digest(w) for w in encoded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(encoded.dictionary))
-    return distinct[encoded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.uint64)
+    return np.fromiter(map(digest, words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
+
+
+def word_hashes(words) -> np.ndarray:
+    """64-bit hashes of an Arrow string array, computed once per distinct word."""
+    coded = words.dictionary_encode()
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return distinct_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

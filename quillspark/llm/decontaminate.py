@@ -19,13 +19,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import gram_hashes, mix64, slabs, small_batches, word_hashes
+from quillspark.llm.common import distinct_hashes, gram_hashes, mix64, slabs, small_batches
 
 EDIT_SHARE = 0.15
 #: Independent walks, tables per walk, coordinates per table. Recall by test: above 0.99 at the full edit bound.
 WALKS, TABLES, BITS = 10, 4, 4
 #: Items and their characters in one block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
+#: Entries of the bit table that most word runs are looked up in alone.
+SIEVE = 1 << 22
 HITS = "doc_id long, item_id long, window_start long, edits int, item_words int"
 
 
@@ -37,7 +39,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
     coded = split.values.dictionary_encode()
     bare = pc.utf8_trim(coded.dictionary, characters="".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2010, 0x2028)])))
-    hashes = word_hashes(bare)
+    hashes = distinct_hashes(bare)
     blank = np.asarray(pc.equal(bare, "").to_numpy(zero_copy_only=False), bool)
     number = coded.indices.to_numpy(zero_copy_only=False)
     real = ~blank[number] if len(blank) else np.zeros(0, bool)
@@ -65,22 +67,27 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return min(score, most + 1)
 
 
-def cgk_keys(windows: np.ndarray, seed: int) -> np.ndarray:
-    """LSH keys (tables, windows) of one walk over windows of equal length; the same for items of that length."""
+def cgk_keys(windows: np.ndarray) -> np.ndarray:
+    """LSH keys (walks * tables, windows) of all walks over windows of equal length; the same for items of that length."""
     many, n = windows.shape
     steps = 3 * n
-    rng = np.random.default_rng([seed, n])
-    salts = rng.integers(0, 2**63, steps).astype(np.uint64)
-    chosen = rng.integers(0, steps, (TABLES, BITS))
-    padded = np.concatenate((windows, np.zeros((many, 1), np.uint64)), axis=1)  # past its end a string reads as padding
-    place, rows = np.zeros(many, np.int64), np.arange(many)
-    keys = np.zeros((TABLES, many), np.uint64)
-    for j in range(steps):
-        symbol = padded[rows, place]
-        for t, b in zip(*np.nonzero(chosen == j)):
-            keys[t] ^= mix64(symbol + np.uint64((int(b) * TABLES + int(t) + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-        place = np.minimum(place + (mix64(symbol ^ salts[j]) & np.uint64(1)).astype(np.int64), n)
-    return keys
+    rng = np.random.default_rng([WALKS, TABLES, BITS, n])
+    salts = rng.integers(0, 2**63, (steps, WALKS, 1)).astype(np.uint64)
+    chosen: dict[int, list[tuple[int, int, int]]] = {}
+    for (w, t, b), j in np.ndenumerate(rng.integers(0, steps, (WALKS, TABLES, BITS))):
+        chosen.setdefault(int(j), []).append((w, t, b))
+    # past its end a string reads as padding; all walks advance together
+    flat = np.concatenate((windows, np.zeros((many, 1), np.uint64)), axis=1).ravel()
+    origin = np.arange(many) * (n + 1)
+    place = np.zeros((WALKS, many), np.int64)
+    keys = np.zeros((WALKS, TABLES, many), np.uint64)
+    for j in range(max(chosen) + 1):
+        symbol = flat[origin + place]
+        for w, t, b in chosen.get(j, ()):
+            keys[w, t] ^= mix64(symbol[w] + np.uint64((b * TABLES + t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        bit = (symbol ^ salts[j]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)
+        place = np.minimum(place + bit.astype(np.int64), n)
+    return keys.reshape(WALKS * TABLES, many)
 
 
 class Items:
@@ -90,7 +97,7 @@ class Items:
         hashes, before = words_of(texts)
         self.ids, self.words = ids, [hashes[a:b] for a, b in zip(before[:-1], before[1:])]
         self.most = [int(edit_share * len(w)) for w in self.words]
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by q: run hashes in order, the item of each
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by q: run hashes in order, the item of each, a sieve
         self.needed: list[tuple[int, int]] = []
         by_q: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
@@ -103,32 +110,31 @@ class Items:
             grams = [gram_hashes(self.words[k], q) for k in members]
             flat, owner = np.concatenate(grams), np.repeat(members, [len(g) for g in grams])
             order = np.argsort(flat, kind="stable")
-            self.runs[q] = (flat[order], owner[order])
+            sieve = np.zeros(SIEVE, bool)
+            sieve[(flat & np.uint64(SIEVE - 1)).astype(np.int64)] = True
+            self.runs[q] = (flat[order], owner[order], sieve)
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for n in sorted({len(w) for w in self.words if len(w)}):
             members = [k for k, w in enumerate(self.words) if len(w) == n]
-            stack, tables = np.stack([self.words[k] for k in members]), []
-            for seed in range(WALKS):
-                for row in cgk_keys(stack, seed):
-                    table: dict[int, list[int]] = {}
-                    for k, key in zip(members, row.tolist()):
-                        table.setdefault(key, []).append(k)
-                    tables.append(table)
+            tables = []
+            for row in cgk_keys(np.stack([self.words[k] for k in members])):
+                table: dict[int, list[int]] = {}
+                for k, key in zip(members, row.tolist()):
+                    table.setdefault(key, []).append(k)
+                tables.append(table)
             self.tables[n] = tables
 
     def _starts(self, hashes: np.ndarray, text_of: np.ndarray, before: np.ndarray) -> dict[int, np.ndarray]:
         """By item length, the window starts that share enough runs with some item of that length."""
         found: dict[int, list[np.ndarray]] = {}
-        for q, (flat, owner) in self.runs.items():
+        for q, (flat, owner, sieve) in self.runs.items():
             grams = gram_hashes(hashes, q)
-            if not len(grams):
-                continue
-            low = np.searchsorted(flat, grams)
-            hit = np.flatnonzero(flat[np.minimum(low, len(flat) - 1)] == grams)
+            hit = np.flatnonzero(sieve[(grams & np.uint64(SIEVE - 1)).astype(np.int64)])
             hit = hit[text_of[hit] == text_of[hit + q - 1]]
+            lo, hi = np.searchsorted(flat, grams[hit]), np.searchsorted(flat, grams[hit], side="right")
+            hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
             if not len(hit):
                 continue
-            lo, hi = low[hit], np.searchsorted(flat, grams[hit], side="right")
             at = np.repeat(hit, hi - lo)
             item = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)))[:-1], hi - lo) + np.arange(len(at))]
             pairs = np.unique(np.stack((item, at), 1), axis=0)
@@ -155,16 +161,21 @@ class Items:
         text_of = np.repeat(np.arange(len(texts)), np.diff(before))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n, starts in self._starts(hashes, text_of, before).items():
-            for block in np.array_split(starts, -(-len(starts) * n // 2_000_000)) if len(starts) else []:
+            for block in np.array_split(starts, -(-len(starts) * n * WALKS // 8_000_000)) if len(starts) else []:
                 windows = hashes[block[:, None] + np.arange(n)]
                 proposed: set[tuple[int, int]] = set()
-                for seed in range(WALKS):
-                    for table, row in zip(self.tables[n][seed * TABLES :], cgk_keys(windows, seed)):
-                        proposed.update((w, k) for w, key in enumerate(row.tolist()) for k in table.get(key, ()))
-                for w, k in proposed:
-                    edits = edit_distance(self.words[k].tolist(), windows[w].tolist(), self.most[k])
+                for table, row in zip(self.tables[n], cgk_keys(windows)):
+                    proposed.update((w, k) for w, key in enumerate(row.tolist()) if key in table for k in table[key])
+                equal = {(w, k): bool((windows[w] == self.words[k]).all()) for w, k in proposed}
+                for w, k in sorted(proposed, key=lambda p: not equal[p]):  # windows without an edit spare the others of their text
+                    text, start = int(text_of[block[w]]), int(block[w] - before[text_of[block[w]]])
+                    if equal[w, k]:
+                        edits = 0
+                    elif best.get((text, k), (1,))[0] == 0:
+                        continue
+                    else:
+                        edits = edit_distance(self.words[k].tolist(), windows[w].tolist(), self.most[k])
                     if edits <= self.most[k]:
-                        text, start = int(text_of[block[w]]), int(block[w] - before[text_of[block[w]]])
                         best[text, k] = min(best.get((text, k), (edits, start)), (edits, start))
         return [(text, self.ids[k], start, edits, len(self.words[k])) for (text, k), (edits, start) in sorted(best.items())]
 

@@ -75,4 +75,4 @@ def test_query_and_edges(spark):
     assert dc.find_contamination(docs.limit(0), bench).count() == 0 and dc.find_contamination(docs, bench.limit(0)).count() == 0
     assert {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()} == {1, 2}
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == 5
-    assert isinstance(dc.cgk_keys(np.zeros((0, 3), np.uint64), 1), np.ndarray)
+    assert isinstance(dc.cgk_keys(np.zeros((0, 3), np.uint64)), np.ndarray)
