@@ -1,6 +1,6 @@
 """All queries of the library, gathered by importing the plan modules."""
 
-from quillspark.plans import dump, evaluate, history, layout, review, scalars, search, sequences, states  # noqa: F401
+from quillspark.plans import dump, evaluate, history, layout, review, scalars, search, sequences, states, stream  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
