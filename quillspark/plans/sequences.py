@@ -12,7 +12,9 @@ from quillspark.operators import sequences as sq
 from quillspark.plans.registry import query
 from quillspark.session import table
 
-TURN = Window.partitionBy("conv_id").orderBy("turn")
+def by_turn():
+    """Turns of a conversation in order."""
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def turns(spark, sf_dir):
@@ -74,7 +76,7 @@ def list_runs(spark, sf_dir, tolerance: float = 5.0):
 def evict_stale_turns(spark, sf_dir, keep_recent: int = 2, text_over: int = 200):
     """Long texts between the first turn and the last ones replaced by a stub."""
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    placed = turns(spark, sf_dir).withColumns({"a": F.row_number().over(TURN), "d": F.row_number().over(last)})
+    placed = turns(spark, sf_dir).withColumns({"a": F.row_number().over(by_turn()), "d": F.row_number().over(last)})
     stale = (F.col("a") > 1) & (F.col("d") > keep_recent) & (F.length("text") > text_over)
     return placed.select("conv_id", "turn", F.when(stale, "[evicted]").otherwise(F.md5("text")).alias("body"))
 
@@ -89,7 +91,7 @@ def evict_stale_turns(spark, sf_dir, keep_recent: int = 2, text_over: int = 200)
 def budget_window(spark, sf_dir, budget: int = 1000):
     """The first turn and as many recent ones as the budget holds."""
     used = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = turns(spark, sf_dir).withColumns({"a": F.row_number().over(TURN), "used": used})
+    placed = turns(spark, sf_dir).withColumns({"a": F.row_number().over(by_turn()), "used": used})
     return placed.where((F.col("a") == 1) | (F.col("used") <= budget)).select("conv_id", "turn")
 
 
@@ -111,8 +113,8 @@ def ema_calibration(spark, sf_dir):
 @query("lag_inherit", "SELECT conv_id, turn, CASE WHEN length(text) < 200 AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' THEN md5(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) ELSE md5(text) END AS label FROM conversations")
 def lag_inherit(spark, sf_dir):
     """A short entry takes the text of a user turn right before it."""
-    take = (F.length("text") < 200) & (F.lag("role").over(TURN) == "user")
-    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(F.when(take, F.lag("text").over(TURN)).otherwise(F.col("text"))).alias("label"))
+    take = (F.length("text") < 200) & (F.lag("role").over(by_turn()) == "user")
+    return turns(spark, sf_dir).select("conv_id", "turn", F.md5(F.when(take, F.lag("text").over(by_turn())).otherwise(F.col("text"))).alias("label"))
 
 
 @query(
@@ -122,7 +124,7 @@ def lag_inherit(spark, sf_dir):
 def lead_prefix_move(spark, sf_dir):
     """The first word of the next row moved behind this row's first word."""
     word = lambda c: F.substring_index(c, " ", 1)
-    return turns(spark, sf_dir).select("conv_id", "turn", F.concat_ws(" ", word(F.col("text")), F.coalesce(word(F.lead("text").over(TURN)), F.lit(""))).alias("heading"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.concat_ws(" ", word(F.col("text")), F.coalesce(word(F.lead("text").over(by_turn())), F.lit(""))).alias("heading"))
 
 
 @query("heading_parent", """
@@ -154,7 +156,7 @@ def level_fold(spark, sf_dir):
 )
 def neighbourhood_score(spark, sf_dir):
     """Anchors among the three rows before and after, over six."""
-    hits = [F.count(F.when(F.col("role") == "user", 1)).over(TURN.rowsBetween(*frame)) for frame in ((-3, -1), (1, 3))]
+    hits = [F.count(F.when(F.col("role") == "user", 1)).over(by_turn().rowsBetween(*frame)) for frame in ((-3, -1), (1, 3))]
     return turns(spark, sf_dir).select("conv_id", "turn", F.round((hits[0] + hits[1]) / 6.0, 6).alias("score"))
 
 
@@ -192,7 +194,7 @@ def unique_anchor_join(spark, sf_dir):
 def neighbours(spark, sf_dir):
     """(conv_id, turn, a, b): the words of a turn and of the next."""
     words = F.split(F.lower("text"), "\\s+")
-    return turns(spark, sf_dir).select("conv_id", "turn", words.alias("a"), F.lead(words).over(TURN).alias("b")).where("b IS NOT NULL")
+    return turns(spark, sf_dir).select("conv_id", "turn", words.alias("a"), F.lead(words).over(by_turn()).alias("b")).where("b IS NOT NULL")
 
 
 def per_pair(spark, sf_dir, name: str, kind: str, fn):
