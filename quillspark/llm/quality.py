@@ -46,6 +46,11 @@ def text_statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def _named(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: a one-element transform binds it to a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the text holds twice or more.
 
@@ -54,27 +59,22 @@ def repeat_words(words: Column) -> Column:
     window before it does not cover.
     """
     n = F.size(words) - 2
-    at = F.sequence(F.lit(1), n)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
-    last = F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("p"))
-
-    def positions(h: Column) -> Column:
-        keyed = F.array_sort(F.zip_with(h, F.sequence(F.lit(1), F.size(h)), lambda a, p: F.struct(a.alias("h"), p.alias("p"))))
-        after = F.concat(F.slice(keyed, 2, F.size(keyed)), F.array(last))
-        before = F.concat(F.array(last), F.slice(keyed, 1, F.size(keyed) - 1))
-        same = F.zip_with(keyed, after, lambda a, b: F.struct(a["p"].alias("p"), ((b["p"] > 0) & (a["h"] == b["h"])).alias("up"), a["h"].alias("h")))
-        both = F.zip_with(same, before, lambda a, b: F.struct(a["p"].alias("p"), (a["up"] | ((b["p"] > 0) & (a["h"] == b["h"]))).alias("keep")))
-        return F.array_sort(F.transform(F.filter(both, lambda x: x["keep"]), lambda x: x["p"]))
+    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
+    def kept(keyed: Column) -> Column:
+        here = lambda i: F.get(keyed, i)["h"]
+        same = lambda i: F.coalesce(here(i) == here(i - 1), F.lit(False)) | F.coalesce(here(i) == here(i + 1), F.lit(False))
+        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(keyed) - 1), same), lambda i: F.get(keyed, i)["p"]))
 
     def covered(p: Column) -> Column:
-        return F.aggregate(F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.array(F.lit(2147483000))), lambda a, b: F.least(b - a, F.lit(3))), F.lit(0), lambda s, x: s + x)
+        adds = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.coalesce(F.least(F.get(p, i + 1) - F.get(p, i), F.lit(3)), F.lit(3)))
+        return F.aggregate(adds, F.lit(0), lambda s, x: s + x)
 
-    # one-element transforms stand for local names: the inner expression is evaluated once
     def of(h: Column) -> Column:
-        some = F.size(F.array_distinct(h)) < F.size(h)
-        return F.when(some, F.element_at(F.transform(F.array(positions(h)), covered), 1)).otherwise(0)
+        keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _named(_named(keyed, kept), covered)).otherwise(0)
 
-    return F.when(n >= 2, F.element_at(F.transform(F.array(hashes), of), 1)).otherwise(0).cast("long")
+    return F.when(n >= 2, _named(hashes, of)).otherwise(0).cast("long")
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
