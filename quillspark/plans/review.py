@@ -58,8 +58,9 @@ def coverage_containers(spark, sf_dir):
     inner = F.when(F.size(words) >= 4, F.concat_ws(" ", words[1], words[2])).otherwise(F.lit(""))
     keyed = missing.withColumn("pair", inner)
     out = review_output(spark, sf_dir).distinct().withColumnRenamed("t", "o")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("o", " ")) - 1), lambda k: F.concat_ws(" ", F.element_at(F.split("o", " "), k), F.element_at(F.split("o", " "), k + 1))))
-    exploded = out.where(F.size(F.split("o", " ")) > 1).select("o", F.explode(pairs).alias("pair"))
+    split = out.select("o", F.split("o", " ").alias("w")).where(F.size("w") > 1)
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda x, y: F.concat_ws(" ", x, y))
+    exploded = split.select("o", F.explode(F.array_distinct(pairs)).alias("pair")).join(keyed.select("pair").distinct(), "pair", "left_semi")
     long_hits = keyed.where("pair <> ''").join(exploded, "pair").where(F.contains("o", F.col("t"))).select("ord")
     short_hits = keyed.where("pair = ''").join(out, F.contains(F.col("o"), F.col("t"))).select("ord")
     return missing.join(long_hits.unionByName(short_hits).distinct(), "ord", "left_anti").select("ord", "t")
