@@ -37,13 +37,19 @@ def reachable(edges: DataFrame, starts: DataFrame, most_depth: int = 100) -> Dat
     return seen.where("depth > 0")
 
 
-def fixpoint_prune(rules: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Rules (id, depends_on) left when rules whose dependency is missing are dropped until none is."""
+def fixpoint_prune(rules: DataFrame, most_rounds: int = 50, steps: int = 2) -> DataFrame:
+    """Rules (id, depends_on) left when rules whose dependency is missing are dropped until none is.
+
+    ``steps`` drops run between two checkpoints; each is one join of what is left with its own ids.
+    """
     left = rules.checkpoint()
     n = left.count()
     for _ in range(most_rounds):
-        known = left.select(F.col("id").alias("depends_on")).distinct()
-        left = left.where("depends_on IS NULL").unionByName(left.where("depends_on IS NOT NULL").join(known, "depends_on", "left_semi").select(left.columns)).checkpoint()
+        for _ in range(steps):
+            known = left.select(F.col("id").alias("_known")).distinct()
+            held = left.join(known, F.col("depends_on") == F.col("_known"), "left").where("depends_on IS NULL OR _known IS NOT NULL")
+            left = held.select(*rules.columns)
+        left = left.checkpoint()
         if (now := left.count()) == n:
             return left
         n = now

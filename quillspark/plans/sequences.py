@@ -289,7 +289,7 @@ def state_merge(spark, sf_dir):
     words = turns(spark, sf_dir).select("role", "conv_id", F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("word"))
     states = turns(spark, sf_dir).groupBy("role").agg(F.count_distinct("conv_id").alias("n_states"))
     counts = words.groupBy("role", "word").agg(F.count_distinct("conv_id").alias("n"))
-    return counts.join(F.broadcast(states), "role").groupBy("role").agg(F.count(F.when(F.col("n") == F.col("n_states"), 1)).alias("hoisted"), F.count(F.when(F.col("n") < F.col("n_states"), 1)).alias("conditional"))
+    return counts.join(states, "role").groupBy("role").agg(F.count(F.when(F.col("n") == F.col("n_states"), 1)).alias("hoisted"), F.count(F.when(F.col("n") < F.col("n_states"), 1)).alias("conditional"))
 
 
 @query("lang_guess")

@@ -222,7 +222,7 @@ def default_merge(spark, sf_dir):
     """Own attributes over those of a prototype, as maps."""
     proto = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.create_map(F.lit("kind"), "n_name", F.lit("home"), "n_name").alias("proto"))
     own = F.when(F.col("c_acctbal") >= 0, F.create_map(F.lit("kind"), "c_mktsegment")).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    both = table(spark, sf_dir, "customer").withColumn("own", own).join(F.broadcast(proto), "c_nationkey")
+    both = table(spark, sf_dir, "customer").withColumn("own", own).join(proto, "c_nationkey")
     merged = F.map_concat(F.map_filter("proto", lambda k, _: ~F.map_contains_key("own", k)), "own")
     return both.select("c_custkey", merged["kind"].alias("kind"), merged["home"].alias("home"))
 
