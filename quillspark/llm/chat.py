@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut
 
 SEGMENT_TURNS = 64
-TEMPLATE = ("<|{role}|>\n", "{text}", "<|end|>\n")
 
 
 def render_turn(role: Column, text: Column) -> Column:

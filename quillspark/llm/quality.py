@@ -78,7 +78,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the statistics of the contract and the features of the rules; the text column is dropped."""
+    """``df`` with the statistics of the contract and the features of the rules; the text and columns of their names are dropped."""
     body = F.coalesce(F.col(text), F.lit(""))
     counts = text_statistics(body)
     per_row = F.struct(
@@ -87,7 +87,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("n_short"),
     )
-    made = df.select(*[c for c in df.columns if c != text], *[c.alias(k) for k, c in counts.items()])
+    made_here = {*counts, *FEATURES, "n_repeat_words", "n_distinct", "n_short", "_s", text}
+    made = df.select(*[c for c in df.columns if c not in made_here], *[c.alias(k) for k, c in counts.items()])
     made = made.withColumn("_s", per_row).select(*[c for c in made.columns if c != "words"], "_s.*")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     made = made.withColumns({

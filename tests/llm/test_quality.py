@@ -18,7 +18,7 @@ def brute(text):
 
 def test_statistics_match_brute_force(spark):
     texts = [None, "", " \n\t", "a", "a b", "a b c a b c", "a a a a", "x y z\nx y z\n\n \nx y z", "é 😀# <b>|\r\nq", "a b c d a b c e b c d a", "w " * 3000]
-    rows = spark.createDataFrame([(k, t, "n") for k, t in enumerate(texts)], "doc_id long, text string, kept string")
+    rows = spark.createDataFrame([(k, t, "n") for k, t in enumerate(texts)], "doc_id long, text string, n_words string")
     for r in quality.with_statistics(rows).collect():
         got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
         assert got == brute(texts[r.doc_id] or ""), texts[r.doc_id]
