@@ -53,7 +53,8 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str, cache: str | None = N
         if n <= BROADCAST_MISSES:
             todo = texts.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("body").alias("body"))
         else:
-            todo = texts.groupBy("digest").agg(F.first("body").alias("body")).join(misses, "digest", "left_semi")
+            # an inner join (misses are distinct) stays above the aggregate, so copies are dropped before the shuffle
+            todo = texts.groupBy("digest").agg(F.first("body").alias("body")).join(misses, "digest")
 
         def encode(batches):
             import pyarrow as pa
