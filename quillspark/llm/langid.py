@@ -24,7 +24,7 @@ from quillspark.llm.common import cut, mix64, slabs, small_batches
 
 ORDERS, DIM = (1, 2, 3, 4), 1 << 17
 #: Labelled texts in the training sample and the n-gram positions used of all of them together.
-SAMPLE_TEXTS, SAMPLE_CHARS = 6_000, 30_000_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 3_000, 12_000_000
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 strength; passes over the sample and rows per step.
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.002, 0.0005, 6, 32
 UNDETERMINED = "und"
@@ -170,11 +170,11 @@ def learn(texts: list[str], labels: list[str], df: np.ndarray, n: int) -> Model:
     for k in train:
         codes, begin = grams([texts[k]])
         at, count = np.unique(np.concatenate([c[begin[0] : text_ends(begin)[0]] for c in codes]), return_counts=True)
-        rows.append((at, scale * idf[at] * count / count.sum()))
+        rows.append((at.astype(np.int32), (scale * idf[at] * count / count.sum()).astype(np.float32)))
     weights, bias = ftrl(rows, y[train], len(names))
     model = Model(names, (scale * idf[:, None] * weights).astype(np.float32), bias)
     if rest:
-        model.temperature = calibrate(model.logits([texts[k] for k in rest]), y[rest])
+        model.temperature = calibrate(np.concatenate([model.logits(held) for _, held in slabs([texts[k] for k in rest], CHUNK_CHARS // 4)]), y[rest])
     return model
 
 
