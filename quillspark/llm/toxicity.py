@@ -179,26 +179,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40
     return beta
 
 
+def _keys(text: str) -> set[tuple[str, bool]]:
+    """Whole words (True) and word beginnings (False) of a text."""
+    words = {w.strip(PUNCTUATION) for w in text.lower().split()}
+    return {(w, True) for w in words if len(w) >= 3} | {(w[:k], False) for w in words for k in STEMS if len(w) > k}
+
+
 def learn(texts: list[str], toxic: list[int]) -> Model:
     """Words from two thirds of the texts, the logistic function from the rest."""
     rows = list(dict(zip(texts, toxic)).items())  # equal texts count once
     choose = [r for k, r in enumerate(rows) if k % 3]
-    bad, good = Counter(), Counter()
-    count = [0, 0]
-    for text, y in choose:
-        words = {w.strip(PUNCTUATION) for w in text.lower().split()}
-        keys = {(w, True) for w in words if len(w) >= 3} | {(w[:k], False) for w in words for k in STEMS if len(w) > k}
-        (bad if y else good).update(keys)
-        count[bool(y)] += 1
+    count = [sum(not y for _, y in choose), sum(bool(y) for _, y in choose)]
     if not all(count):
         return Model()
+    bad, good = Counter(), Counter()
+    for text, y in choose:
+        if y:
+            bad.update(_keys(text))
+    often = {key for key, n in bad.items() if n >= LEAST_TEXTS}  # only these are counted in the other texts
+    for text, y in choose:
+        if not y:
+            good.update(_keys(text) & often)
     odds = {}
-    for key, n in bad.items():
-        if n >= LEAST_TEXTS:
-            value = math.log((n + 0.5) / (count[1] + 1)) - math.log((good[key] + 0.5) / (count[0] + 1))
-            spread = math.sqrt(1 / (n + 0.5) + 1 / (good[key] + 0.5))
-            if value - spread > LEAST_ODDS:
-                odds[key] = value - spread
+    for key in often:
+        n = bad[key]
+        value = math.log((n + 0.5) / (count[1] + 1)) - math.log((good[key] + 0.5) / (count[0] + 1))
+        spread = math.sqrt(1 / (n + 0.5) + 1 / (good[key] + 0.5))
+        if value - spread > LEAST_ODDS:
+            odds[key] = value - spread
     words, stems = {}, {}
     for (key, whole), value in sorted(odds.items(), key=lambda x: (-x[1], len(x[0][0]), x[0]))[:MOST_ENTRIES]:
         (words if whole else stems)[key] = round(value, 6)
