@@ -9,7 +9,8 @@ empty table gives an empty result. Other columns pass through, and only the resu
 
 The patterns find the same matches as the plain ones in ``PLAIN`` but never scan a run of characters twice: a run can
 only match from its first character (or from the end of the match before), and quantifiers are possessive where the
-next part cannot begin with what they hold.
+next part cannot begin with what they hold. The account number is the exception: it is cut to the length of its country
+where it ends there, so that capitals behind it stay outside, and else backtracks over its 30 characters at most.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ PLAIN = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters of an account number by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
 #: Characters before a match in which context words count.
 CONTEXT_CHARS = 40
 #: Score that an added kind needs.
@@ -51,7 +58,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", True, 0.6, "ip|host|server|address"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", "", True, 0.7, "card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, "phone|tel|call|mobil|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", False, 0.3, "iban|account|konto|bank|cuenta|compte"),
+    Kind("iban", IBAN, "", False, 0.3, "iban|account|konto|bank|cuenta|compte"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.3, "ssn|social|security|insurance"),
 )
 BONUS_CHECKSUM, BONUS_CONTEXT = 0.2, 0.3

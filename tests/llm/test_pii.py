@@ -61,6 +61,33 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert got[7].count("ssn:") == 3
 
 
+IBANS = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR1420041010050500013M02606"]
+
+
+def mod97(match):
+    plain = match.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_account_numbers_before_capitals(spark):
+    behind = ["", " Bitte zahlen", " bitte", " BITTE ZAHLEN", " A", " 12 AB", ". Bitte", " " + IBANS[0], "x", "X Y"]
+    texts = [f"{before}{iban}{after}" for before in ("", "Konto ", "AB ") for iban in IBANS for after in behind]
+    for text, got in zip(texts, spans_of(spark, texts)):
+        found = {tuple(map(int, x.split(":")[1:])) for x in got.split(",") if x.startswith("iban:")}
+        assert {m.span() for m in re.finditer(pii.PLAIN["iban"], text) if mod97(m[0])} <= found, text
+        assert all(mod97(text[a:b]) for a, b in found), text
+        at = [m.span() for iban in IBANS for m in re.finditer(rf"(?<![A-Za-z0-9]){iban}(?![A-Za-z0-9])", text)]
+        assert found == set(at), text
+
+
+def test_added_kinds_match_plain_patterns(spark):
+    for text, got in zip(TEXTS, spans_of(spark, TEXTS)):
+        for kind, ok in (("iban", mod97), ("ssn", lambda m: m[:3] not in ("000", "666") and m[0] != "9" and m[4:6] != "00" and m[7:] != "0000")):
+            want = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pii.PLAIN[kind], text or "") if ok(m[0])]
+            have = [x for x in got.split(",") if x.startswith(kind)]
+            assert set(have) <= set(want) if kind == "ssn" else have == want
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="a1 2.@-+()4", max_size=40), min_size=30, max_size=60))
 def test_random_texts(spark, texts):
