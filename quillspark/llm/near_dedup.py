@@ -7,10 +7,10 @@ shingle stops as soon as its next arrival comes after the latest register; two r
 Jaccard similarity of the texts. Registers are banded into buckets.
 
 A bucket's texts are paired with one leader, not with all others, and at first each text only with the first of its
-leaders (that of most of its buckets). Pairs are verified on the shingle sets and links are joined to components. Buckets that then hold several
-components are paired again across components: small buckets completely; in larger ones each text outside the main
-component is paired with the few of up to ``DRAWN`` drawn texts with which it has most bands in common, drawn anew in
-each round until a round adds no link. Classes are components.
+leaders (that of most of its buckets). Pairs are verified on the shingle sets and links are joined to components. Buckets
+that then hold several components are compared completely across components: small ones by rows of pairs, larger ones in
+blocks of texts, each block within one task, which returns only the links that join components. So every pair that shares
+a bucket is verified, or its texts are already in one class. Classes are components.
 
 A null text is the empty text. Equal texts share a class whatever their number; only one of them takes part in the
 search. Rows that share an id are one document; null ids take the class of their text. Ties go to the smallest id. An
@@ -31,11 +31,10 @@ from quillspark.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: 25 bands of 5 registers: at similarity 0.8 a pair shares no bucket with probability 5e-5.
 BANDS, ROWS = 25, 5
-#: Buckets of up to so many texts are paired completely across components; larger ones get new leaders by rounds.
+#: Buckets of up to so many texts are compared by rows of pairs, larger ones in blocks.
 SMALL_BUCKET = 12
-#: In a round: texts drawn from a large bucket, members compared with them at a time, partners proposed by a bucket and
-#: partners that a text is verified with; and the most rounds.
-DRAWN, CHUNK, BEST, PARTNERS, ROUNDS = 128, 256, 2, 4, 4
+#: Texts and characters of each side of a block, and shingles that a block counts at a time.
+CHUNK, CHUNK_CHARS, COLUMNS = 512, 4_000_000, 4096
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -147,64 +146,94 @@ def _pair(x: str, y: str) -> list:
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, node, leader, component, leads, main) of the buckets that hold several components.
-
-    ``leads`` is the component of the bucket's leader, ``main`` one of its largest components.
-    """
-    named = buckets.select("bucket", "node", "leader").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max(F.col("node") == F.col("leader")).alias("own"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max(F.when(F.col("own"), F.col("component"))).alias("leads"))
+    """Rows (bucket, node, component, n, main) of the buckets that hold several components; ``main`` is a largest one."""
+    named = buckets.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main"))
     return cut(named.join(mixed.where("parts > 1").drop("parts"), "bucket"))
 
 
-def _best_drawn(joined: DataFrame) -> DataFrame:
-    """(node, partner, shared): for each member of a chunk the drawn texts of other components with most bands in common."""
+def _inside(rows: DataFrame) -> DataFrame:
+    """All pairs of texts of different components in the open buckets of up to ``SMALL_BUCKET`` texts."""
+    small = rows.where(F.col("n") <= SMALL_BUCKET)
+    left, right = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    return left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct()
+
+
+def joining_links(left: list[np.ndarray], right: list[np.ndarray], c_left: list[int], c_right: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Positions of pairs of shingle sets at ``threshold`` or more that join the components of two sides to the same
+    classes as all such pairs do."""
+    sets = [*left, *right]
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kept = times[code] > 1
+    column = (np.cumsum(times > 1) - 1)[code[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[kept][order], column[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        same += held[: len(left)] @ held[len(left) :].T
+    sizes = np.array([len(x) for x in sets], np.float64)
+    met = same >= threshold * (sizes[: len(left), None] + sizes[None, len(left) :] - same) - 1e-9
+    met &= np.array(c_left)[:, None] != np.array(c_right)[None, :]
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
 
-    def run(batches):
-        import pyarrow as pa
+    out = []
+    for x, y in np.argwhere(met).tolist():
+        one, two = find(c_left[x]), find(c_right[y])
+        if one != two:
+            parent[two] = one
+            out.append((x, y))
+    return out
 
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for members, drawn in zip(batch.column("members"), batch.column("drawn")):
-                own, other = ([np.asarray(side.values.field(k)) for k in (0, 1)] for side in (members, drawn))
-                bands = [np.asarray(side.values.field(2).flatten()).reshape(-1, BANDS) for side in (members, drawn)]
-                shared = (bands[0][:, None, :] == bands[1][None, :, :]).sum(axis=2)
-                shared[own[1][:, None] == other[1][None, :]] = 0
-                for k in range(min(BEST, shared.shape[1])):
-                    best = shared.argmax(axis=1)
-                    top = shared[np.arange(len(best)), best]
-                    out += [x for x in zip(own[0].tolist(), other[0][best].tolist(), top.tolist()) if x[2] > 0]
-                    shared[np.arange(len(best)), best] = 0
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["node", "partner", "shared"])
-
-    return joined.select("members", "drawn").mapInArrow(run, "node long, partner long, shared int")
-
-
-def _across(rows: DataFrame, banded: DataFrame, seed: int) -> DataFrame:
-    """Pairs of texts of different components that share an open bucket.
-
-    Small buckets give all such pairs. In larger ones up to ``DRAWN`` texts are drawn, anew by ``seed``; each text outside
-    the main component meets those few of them with which it has most bands in common. Members and drawn texts are
-    compared as blocks within a task, so rows grow with the members only.
+
+def _across(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of each open bucket of more than ``SMALL_BUCKET`` texts.
+
+    The texts outside the main component and those inside are dealt into chunks, and every chunk outside meets every
+    chunk in a block. A bucket of one chunk is one block. Rows are the members times the chunks that they meet.
     """
-    small = rows.where(F.col("n") <= SMALL_BUCKET)
-    left, right = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    inside = left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b")
-    large = rows.where(F.col("n") > SMALL_BUCKET).join(banded, "node")
-    text = F.struct("node", "component", "bands")
-    slot = F.pmod(F.xxhash64("node", F.lit(seed + 1000)), F.lit(DRAWN))
-    firsts = large.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("rank"), "node", "component", "bands")).alias("d"))
-    drawn = firsts.groupBy("bucket").agg(F.collect_list(F.struct("d.node", "d.component", "d.bands")).alias("drawn"))
-    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / CHUNK))
-    chunks = large.where("component <> main").groupBy("bucket", chunk.alias("chunk")).agg(F.collect_list(text).alias("members"))
-    met = _best_drawn(chunks.join(drawn, "bucket")).groupBy("node", "partner").agg(F.max("shared").alias("shared"))
-    order = Window.partitionBy("node").orderBy(F.desc("shared"), F.xxhash64("partner", F.lit(seed)))
-    chosen = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PARTNERS)
-    return inside.unionByName(chosen.select(*_pair("partner", "node"))).distinct()
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: the smallest id of its class, and verified links of its distinct text."""
+    large = rows.where(F.col("n") > SMALL_BUCKET)
+    sized = large.join(texts.select("node", F.length("body").alias("chars")).groupBy("node").agg(F.first("chars").alias("chars")), "node")
+    chunks = lambda n, chars: F.greatest(F.ceil(n / CHUNK), F.ceil(chars / CHUNK_CHARS), F.lit(1)).cast("int")
+    out = F.col("component") != F.col("main")
+    total = sized.groupBy("bucket").agg(F.count("*").alias("all"), F.sum("chars").alias("size"), F.count(F.when(out, 1)).alias("far"), F.coalesce(F.sum(F.when(out, F.col("chars"))), F.lit(0)).alias("far_size"))
+    total = total.select("bucket", chunks(F.col("all"), F.col("size")).alias("whole"), chunks(F.col("far"), F.col("far_size")).alias("outer"), chunks(F.col("all") - F.col("far"), F.col("size") - F.col("far_size")).alias("inner"))
+    dealt = large.join(total, "bucket").withColumn("rank", F.xxhash64("node", F.lit(7)))
+    own = F.when(F.col("whole") == 1, 0).when(out, F.pmod("rank", "outer")).otherwise(F.col("outer") + F.pmod("rank", "inner")).cast("int")
+    meets = F.when(F.col("whole") == 1, F.array(F.lit(0))).when(out, F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    placed = dealt.select("bucket", "node", "component", out.alias("out"), own.alias("own"), F.explode(meets).alias("other"))
+    placed = placed.select("bucket", "node", "component", "out", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = placed.join(texts.dropDuplicates(["node"]), "node")
+
+    def run(table):
+        import pyarrow as pa
+
+        names = ("node", "component", "out", "own", "i", "j")
+        node, component, far, own, i, j = (table.column(n).to_pylist() for n in names)
+        sets: list[np.ndarray] = []
+        for _, held in slabs(table.column("body").to_pylist()):
+            sets += [np.unique(x) for x in shingles(held)]
+        left = [k for k in range(len(node)) if far[k] and own[k] == i[k]]
+        right = [k for k in range(len(node)) if own[k] == j[k]]
+        found = joining_links([sets[k] for k in left], [sets[k] for k in right], [component[k] for k in left], [component[k] for k in right], threshold) if left and right else []
+        pairs = [sorted((node[left[x]], node[right[y]])) for x, y in found]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return placed.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the smallest id of its class, and links of its distinct text by which
+    the class was joined (no pair within a class is verified once it is whole)."""
     spark = df.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -218,7 +247,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     buckets = cut(rows.join(shared, "bucket"))
     folder = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
     try:
-        # only texts that share a bucket are kept for verification; later rounds move no others
+        # only texts that share a bucket are kept for verification; later steps move no others
         docs.join(buckets.select("node").distinct(), "node", "left_semi").write.parquet(folder)
         texts = spark.read.schema(docs.schema).parquet(folder)
         # at first every text meets one leader, the one with which it shares most buckets; most classes are whole after that
@@ -227,14 +256,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         tested = cut(firsts.select(*_pair("leader", "node")).distinct())
         links = cut(verify(tested, texts, threshold))
         labels = cut(components(links))
-        rows = buckets
-        for seed in range(1, rounds + 1):
-            rows = _open_buckets(rows, labels)
-            pairs = cut(_across(rows, banded, seed).join(tested, ["a", "b"], "left_anti"))
-            new = cut(verify(pairs, texts, threshold))
-            if new.isEmpty():
-                break
-            tested = tested.unionByName(pairs)
+        rows = _open_buckets(buckets, labels)
+        pairs = cut(_inside(rows).join(tested, ["a", "b"], "left_anti"))
+        new = cut(verify(pairs, texts, threshold).unionByName(_across(rows, texts, threshold)).distinct())
+        if not new.isEmpty():
             links = links.unionByName(new)
             labels = cut(components(links))
     finally:

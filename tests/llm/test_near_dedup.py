@@ -59,6 +59,32 @@ def test_chain_of_near_copies_and_edges(spark):
     assert sorted(r.doc_id or 0 for r in near_dedup.keep_first(df).collect()) == [0, 1, 3, 3, 5, 100]
 
 
+def family(rng, many, pairs, size=400, own=6):
+    """Texts that each replace ``own`` places of one base, so that no two are near copies, and near copies of a few."""
+    base = [f"b{k}" for k in range(size)]
+    texts = {}
+    for k in range(many):
+        words = list(base)
+        for p in rng.choice(size // 6, own, replace=False):
+            words[6 * p] = f"u{k}_{p}"
+        texts[k] = words
+    for k in range(pairs):  # a lighter edit, of the last words of text k
+        texts[1000 + k] = texts[k][:-42] + [f"e{k}_{j}" for j in range(42)]
+    return {k: " ".join(w) for k, w in texts.items()}
+
+
+def test_every_pair_of_a_partly_similar_family_is_verified(spark, monkeypatch):
+    texts = family(np.random.default_rng(4), 90, 40)
+    want = classes(texts)
+    assert 40 <= sum(want[k] != k for k in want) < 100
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == want
+    if hasattr(near_dedup, "CHUNK_CHARS"):  # the same in many blocks
+        monkeypatch.setattr(near_dedup, "CHUNK", 5)
+        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
