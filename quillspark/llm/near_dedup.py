@@ -1,10 +1,10 @@
-"""Near-duplicate classes by probability-weighted minwise hashing, banding and exact verification.
+"""Near-duplicate classes by minwise hashing, banding and exact verification.
 
 Texts are compared as sets of five-word shingles (lower case, split at white space); a text of fewer words is one
-shingle, and all empty texts are equal. Shingles weigh 1 + ln(occurrences). For each shingle a Poisson process with its
-weight as rate deals arrivals to the registers of the text's signature, each register keeps its earliest arrival, and a
-shingle stops as soon as its next arrival comes after the latest register; two registers agree with the probability
-Jaccard similarity of the texts. Registers are banded into buckets.
+shingle, and all empty texts are equal. For each distinct shingle a Poisson process of rate 1 deals arrivals to the
+registers of the text's signature, each register keeps its earliest arrival, and a shingle stops as soon as its next
+arrival comes after the latest register. All shingles weigh the same, however often they occur, so two registers agree
+with the set Jaccard similarity that is verified. Registers are banded into buckets.
 
 A bucket's texts are paired with one leader, not with all others, and at first each text only with the first of its
 leaders (that of most of its buckets). Pairs are verified on the shingle sets and links are joined to components. Buckets
@@ -55,22 +55,21 @@ def shingles(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], registers: int) -> np.ndarray:
-    """For each multiset of shingles the winners of its registers: (texts, registers) of 64-bit hashes."""
+    """For each text's shingles the winners of its registers, repeats aside: (texts, registers) of 64-bit hashes."""
     d = len(sets)
     owner = np.repeat(np.arange(d), [len(s) for s in sets])
     every = np.concatenate(sets)
     order = np.lexsort((every, owner))
     owner, every = owner[order], every[order]
     first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (every[1:] != every[:-1]))))
-    count = np.diff(np.concatenate((first, [len(every)])))
-    owner, element, rate = owner[first], every[first], 1.0 + np.log(count)
+    owner, element = owner[first], every[first]
     when = np.full(d * registers, np.inf)
     winner = np.zeros(d * registers, np.uint64)
     clock, k = np.zeros(len(element)), 0
     while len(element):
         k += 1
         draw = mix64(element + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+        clock = clock - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
         slot = owner * registers + (((mix64(draw ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
         better = np.flatnonzero(clock < when[slot])
         better = better[np.argsort(-clock[better], kind="stable")]  # of several arrivals at a register the earliest is written last
@@ -79,7 +78,7 @@ def signatures(sets: list[np.ndarray], registers: int) -> np.ndarray:
         texts, inverse = np.unique(owner, return_inverse=True)
         latest = when.reshape(d, registers)[texts].max(axis=1)
         on = clock < latest[inverse]
-        owner, element, rate, clock = owner[on], element[on], rate[on], clock[on]
+        owner, element, clock = owner[on], element[on], clock[on]
     return winner.reshape(d, registers)
 
 

@@ -93,6 +93,19 @@ def test_signatures_estimate_similarity():
     assert abs((a == b).mean() - 250 / 350) < 0.04
 
 
+def test_repeated_lines_do_not_hide_near_copies():
+    rng = np.random.default_rng(8)
+    missed = 0
+    for times in (10, 100):
+        for _ in range(150):
+            base = rng.integers(0, 2**63, 300).astype(np.uint64)
+            other = np.concatenate((base[:272], rng.integers(0, 2**63, 28).astype(np.uint64)))  # set similarity 0.83
+            repeated = np.concatenate((base, np.repeat(base[:60], times - 1)))
+            bands = near_dedup.band_hashes(near_dedup.signatures([repeated, other], near_dedup.BANDS * near_dedup.ROWS), near_dedup.BANDS, near_dedup.ROWS)
+            missed += not (bands[0] == bands[1]).any()
+    assert missed <= 1
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 30)] + [(100, 7), (200, 201), (300, 300)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
