@@ -1,11 +1,10 @@
 """Benchmark contamination: documents that hold an item, or a lightly edited one, in a window of the item's size.
 
 Texts are words (lower case, without punctuation at their ends). A window of as many words as the item is contaminated
-if the word edit distance is at most ``EDIT_SHARE`` of the item's words. The CGK walk embeds windows and items: it reads
-a string through 3n steps and advances on random bits of the symbol read, so that edit distance becomes Hamming
-distance. Bit-sampling tables over several independent walks propose (window, item) candidates, and a bit-parallel edit
-distance confirms them. Windows that cannot qualify are never embedded: k edits leave n - q + 1 - qk of an item's q-word
-runs, and a window with fewer is skipped. That count loses nothing.
+if the word edit distance is at most ``EDIT_SHARE`` of the item's words. Windows that cannot qualify are skipped: k edits
+leave n - q + 1 - qk of an item's q-word runs, and a window with fewer is no candidate. Over each stretch of candidates
+one bit-parallel scan gives, for every end, the least distance of the item to any run of words with that end; where it
+is within the bound, the distance of the window itself is computed. Neither step loses a window, whatever the length.
 
 Items are the stated query set: they go to the tasks in blocks of a bounded size, one scan of the documents per block.
 Null texts are empty and match nothing; items without words match nothing; equal items are reported each by its own id.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import distinct_hashes, gram_hashes, mix64, slabs, small_batches
 
 EDIT_SHARE = 0.15
-#: Independent walks, tables per walk, coordinates per table. Recall by test: above 0.99 at the full edit bound.
+#: Independent walks, tables per walk, coordinates per table of ``cgk_keys``.
 WALKS, TABLES, BITS = 10, 4, 4
 #: Items and their characters in one block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
@@ -47,28 +46,41 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (hashes[number][real] if len(number) else np.zeros(0, np.uint64)), before
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Levenshtein distance of two symbol lists by bit vectors; anything above ``most`` is most + 1."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+def masks_of(a: list[int]) -> dict[int, int]:
+    """The places of each symbol as a bit vector."""
     at: dict[int, int] = {}
     for k, s in enumerate(a):
         at[s] = at.get(s, 0) | 1 << k
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+    return at
+
+
+def edit_distance(a: list[int], b: list[int], most: int, at: dict[int, int] | None = None) -> int:
+    """Levenshtein distance of two symbol lists by bit vectors; anything above ``most`` is most + 1."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    return min([len(a), *_scores(masks_of(a) if at is None else at, len(a), b, 1)][-1], most + 1)
+
+
+def _scores(at: dict[int, int], n: int, b: list[int], border: int):
+    """After each symbol of ``b`` the distance of the n symbols to what was read (border 1) or to the best run that ends there (0)."""
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, score = full, 0, n
     for s in b:
         eq = at.get(s, 0)
         vertical = eq | minus
         across = ((((eq & plus) + plus) ^ plus) | eq) & full
         hp, hm = minus | (full & ~(across | plus)), plus & across
         score += bool(hp & top) - bool(hm & top)
-        hp, hm = (hp << 1 | 1) & full, hm << 1 & full
+        hp, hm = (hp << 1 | border) & full, hm << 1 & full
         plus, minus = hm | (full & ~(vertical | hp)), hp & vertical
-    return min(score, most + 1)
+        yield score
 
 
 def cgk_keys(windows: np.ndarray) -> np.ndarray:
-    """LSH keys (walks * tables, windows) of all walks over windows of equal length; the same for items of that length."""
+    """LSH keys (walks * tables, windows) of all walks over windows of equal length; the same for items of that length.
+
+    The search does not use them: keys of a fixed number of walks miss edited copies of long items.
+    """
     many, n = windows.shape
     steps = 3 * n
     rng = np.random.default_rng([WALKS, TABLES, BITS, n])
@@ -91,7 +103,7 @@ def cgk_keys(windows: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items, ready to be searched for: q-word runs, and LSH tables by item length."""
+    """A block of items, ready to be searched for by their q-word runs."""
 
     def __init__(self, ids: list[int], texts: list[str], edit_share: float = EDIT_SHARE):
         hashes, before = words_of(texts)
@@ -113,20 +125,10 @@ class Items:
             sieve = np.zeros(SIEVE, bool)
             sieve[(flat & np.uint64(SIEVE - 1)).astype(np.int64)] = True
             self.runs[q] = (flat[order], owner[order], sieve)
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        for n in sorted({len(w) for w in self.words if len(w)}):
-            members = [k for k, w in enumerate(self.words) if len(w) == n]
-            tables = []
-            for row in cgk_keys(np.stack([self.words[k] for k in members])):
-                table: dict[int, list[int]] = {}
-                for k, key in zip(members, row.tolist()):
-                    table.setdefault(key, []).append(k)
-                tables.append(table)
-            self.tables[n] = tables
-
-    def _starts(self, hashes: np.ndarray, text_of: np.ndarray, before: np.ndarray) -> dict[int, np.ndarray]:
-        """By item length, the window starts that share enough runs with some item of that length."""
-        found: dict[int, list[np.ndarray]] = {}
+        self.masks: dict[int, dict[int, int]] = {}  # of items that were met
+
+    def _places(self, hashes: np.ndarray, text_of: np.ndarray):
+        """(item, the places in order at which a run of the item stands), where it has enough of them."""
         for q, (flat, owner, sieve) in self.runs.items():
             grams = gram_hashes(hashes, q)
             hit = np.flatnonzero(sieve[(grams & np.uint64(SIEVE - 1)).astype(np.int64)])
@@ -137,45 +139,55 @@ class Items:
                 continue
             at = np.repeat(hit, hi - lo)
             item = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)))[:-1], hi - lo) + np.arange(len(at))]
-            pairs = np.unique(np.stack((item, at), 1), axis=0)
-            for k in np.unique(pairs[:, 0]).tolist():
-                places, n, least = pairs[pairs[:, 0] == k, 1], len(self.words[k]), self.needed[k][1]
-                if len(places) < least:
-                    continue
-                # a window from s holds the runs at s .. s + n - q; some run is its first, so starts lie just before runs
-                first, last = places[: len(places) - least + 1], places[least - 1 :]
-                close = last - first <= n - q
-                spans = [np.arange(max(0, b - n + q), a + 1) for a, b in zip(first[close].tolist(), last[close].tolist())]
-                if spans:
-                    found.setdefault(n, []).append(np.unique(np.concatenate(spans)))
-        out = {}
-        for n, parts in found.items():
-            starts = np.unique(np.concatenate(parts))
-            starts = starts[starts + n <= len(hashes)]
-            out[n] = starts[text_of[starts] == text_of[starts + n - 1]]
-        return out
+            order = np.lexsort((at, item))
+            item, at = item[order], at[order]
+            fresh = np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] != at[:-1])))
+            item, at = item[fresh], at[fresh]
+            bounds = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True])))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if b - a >= self.needed[item[a]][1]:
+                    yield int(item[a]), q, at[a:b]
+
+    def _stretches(self, k: int, q: int, places: np.ndarray, text_of: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
+        """(first, last) window starts inside one text whose windows share enough runs with item ``k``."""
+        n, least = len(self.words[k]), self.needed[k][1]
+        # a window from s holds the runs at s .. s + n - q; some run is its first, so starts lie just before runs
+        first, last = places[: len(places) - least + 1], places[least - 1 :]
+        close = (last - first <= n - q) & (text_of[first] == text_of[last])
+        first, last = first[close], last[close]
+        text = text_of[first]
+        low, high = np.maximum(before[text], last - n + q), np.minimum(first, before[text + 1] - n)
+        out: list[list[int]] = []
+        for a, b in zip(low.tolist(), high.tolist()):
+            if b < a:
+                continue
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, first word of the window, edits, item words): the best window of each text and item."""
         hashes, before = words_of(texts)
         text_of = np.repeat(np.arange(len(texts)), np.diff(before))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n, starts in self._starts(hashes, text_of, before).items():
-            for block in np.array_split(starts, -(-len(starts) * n * WALKS // 8_000_000)) if len(starts) else []:
-                windows = hashes[block[:, None] + np.arange(n)]
-                proposed: set[tuple[int, int]] = set()
-                for table, row in zip(self.tables[n], cgk_keys(windows)):
-                    proposed.update((w, k) for w, key in enumerate(row.tolist()) if key in table for k in table[key])
-                equal = {(w, k): bool((windows[w] == self.words[k]).all()) for w, k in proposed}
-                for w, k in sorted(proposed, key=lambda p: not equal[p]):  # windows without an edit spare the others of their text
-                    text, start = int(text_of[block[w]]), int(block[w] - before[text_of[block[w]]])
-                    if equal[w, k]:
-                        edits = 0
-                    elif best.get((text, k), (1,))[0] == 0:
+        for k, q, places in self._places(hashes, text_of):
+            item, most = self.words[k].tolist(), self.most[k]
+            n = len(item)
+            if k not in self.masks:
+                self.masks[k] = masks_of(item)
+            at = self.masks[k]
+            for a, b in self._stretches(k, q, places, text_of, before):
+                text, read = int(text_of[a]), hashes[a : b + n].tolist()
+                # no window is nearer than the best run with its end, so the nearest ends go first and spare others
+                ends = sorted((score, s) for s, score in enumerate(_scores(at, n, read, 0), 1 - n) if s >= 0 and score <= most)
+                for score, s in ends:
+                    start = a + s - int(before[text])
+                    if (text, k) in best and best[text, k] <= (score, start):
                         continue
-                    else:
-                        edits = edit_distance(self.words[k].tolist(), windows[w].tolist(), self.most[k])
-                    if edits <= self.most[k]:
+                    edits = edit_distance(item, read[s : s + n], most, at)
+                    if edits <= most:
                         best[text, k] = min(best.get((text, k), (edits, start)), (edits, start))
         return [(text, self.ids[k], start, edits, len(self.words[k])) for (text, k), (edits, start) in sorted(best.items())]
 

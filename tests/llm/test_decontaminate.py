@@ -62,6 +62,36 @@ def test_search_matches_brute_force():
     assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
 
 
+def test_long_items_at_the_edit_bound():
+    rng = random.Random(9)
+    items = [[f"w{rng.randrange(20000)}" for _ in range(n)] for n in (150, 200, 300, 500) for _ in range(12)]
+    block = dc.Items(list(range(len(items))), [" ".join(x) for x in items])
+    for where in ("inserted", "even"):
+        texts, want = [], set()
+        for k, item in enumerate(items):
+            n, words = len(item), list(item)
+            most = int(0.15 * n)
+            if where == "inserted":  # in the first half; the window loses as many words at its end
+                for j in range(most // 2):
+                    words.insert(rng.randrange(n // 2), f"new{j}")
+                words = words[:n]
+            else:
+                for j in range(most):
+                    words[j * n // most] = f"new{j}"
+            assert levenshtein(item, words) <= most
+            want.add((k, k))
+            texts.append(["x", "y"] * 20 + words + ["z"] * 30)
+        got = {(t, i): (d, s) for t, i, s, d, _ in block.search([" ".join(x) for x in texts])}
+        assert set(got) == want
+        for (t, i), (d, s) in got.items():
+            assert d == levenshtein(items[i], texts[t][s : s + len(items[i])]) and d <= levenshtein(items[i], texts[t][40 : 40 + len(items[i])])
+
+
+def test_items_of_one_word():
+    block = dc.Items([7, 8], ["a", "a b"])
+    assert block.search(["a", "a x a", "b a", "a b"]) == [(0, 7, 0, 0, 1), (1, 7, 0, 0, 1), (2, 7, 1, 0, 1), (3, 7, 0, 0, 1), (3, 8, 0, 0, 2)]
+
+
 def test_query_and_edges(spark):
     sf = "/root/testdata/sf0.01"
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
