@@ -4,7 +4,8 @@ Texts are words (lower case, without punctuation at their ends). A window of as
 if the word edit distance is at most ``EDIT_SHARE`` of the item's words. Windows that cannot qualify are skipped: k edits
 leave n - q + 1 - qk of an item's q-word runs, and a window with fewer is no candidate. Over each stretch of candidates
 one bit-parallel scan gives, for every end, the least distance of the item to any run of words with that end; where it
-is within the bound, the distance of the window itself is computed. Neither step loses a window, whatever the length.
+is within the bound, the distance of the window itself is computed. Neither step loses a window, whatever the length. A text
+that is shorter than the item, but within the bound, is one window.
 
 Items are the stated query set: they go to the tasks in blocks of a bounded size, one scan of the documents per block.
 Null texts are empty and match nothing; items without words match nothing; equal items are reported each by its own id.
@@ -167,6 +168,13 @@ class Items:
                 out.append([a, b])
         return [(a, b) for a, b in out]
 
+    def _short(self, k: int, places: np.ndarray, text_of: np.ndarray, before: np.ndarray) -> list[int]:
+        """The texts shorter than item ``k``, within its bound, that share enough runs with it."""
+        n, most, least = len(self.words[k]), self.most[k], self.needed[k][1]
+        text, times = np.unique(text_of[places], return_counts=True)
+        size = before[text + 1] - before[text]
+        return text[(times >= least) & (size < n) & (size >= n - most)].tolist()
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, first word of the window, edits, item words): the best window of each text and item."""
         hashes, before = words_of(texts)
@@ -178,6 +186,10 @@ class Items:
             if k not in self.masks:
                 self.masks[k] = masks_of(item)
             at = self.masks[k]
+            for text in self._short(k, places, text_of, before):
+                edits = edit_distance(item, hashes[before[text] : before[text + 1]].tolist(), most, at)
+                if edits <= most:
+                    best[text, k] = (edits, 0)
             for a, b in self._stretches(k, q, places, text_of, before):
                 text, read = int(text_of[a]), hashes[a : b + n].tolist()
                 # no window is nearer than the best run with its end, so the nearest ends go first and spare others

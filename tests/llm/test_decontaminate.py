@@ -92,6 +92,16 @@ def test_items_of_one_word():
     assert block.search(["a", "a x a", "b a", "a b"]) == [(0, 7, 0, 0, 1), (1, 7, 0, 0, 1), (2, 7, 1, 0, 1), (3, 7, 0, 0, 1), (3, 8, 0, 0, 2)]
 
 
+def test_short_text_that_is_a_cut_item():
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (7, 15, 40, 200)]
+    block = dc.Items(list(range(4)), [" ".join(x) for x in items])
+    for cut in (1, 2, 6, 30, 31):
+        texts = [item[:3] + item[3 + cut :] if k % 2 else item[: len(item) - cut] for k, item in enumerate(items)]
+        got = {(t, i, s, d) for t, i, s, d, _ in block.search([" ".join(x) for x in texts])}
+        assert got == {(k, k, 0, cut) for k, item in enumerate(items) if cut <= int(0.15 * len(item))}
+
+
 def test_query_and_edges(spark):
     sf = "/root/testdata/sf0.01"
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
