@@ -168,13 +168,31 @@ def neighbourhood_score(spark, sf_dir):
     SELECT t.source, coalesce(min(l.k) - 1, 50) AS prefix FROM t LEFT JOIN l ON l.source = t.source AND (l.d > 1 OR l.m < t.docs) GROUP BY t.source
     """,
 )
-def common_prefix_suffix(spark, sf_dir, most: int = 50):
-    """How many leading words all texts of a source share (at most ``most``)."""
-    words = table(spark, sf_dir, "documents").select("source", F.slice(F.split("text", " "), 1, most).alias("w"))
-    docs = words.groupBy("source").agg(F.count("*").alias("docs"))
-    places = words.select("source", F.posexplode("w").alias("k", "word")).groupBy("source", "k").agg(F.count_distinct("word").alias("d"), F.count("*").alias("m"))
-    broken = docs.join(places, "source", "left").where("d > 1 OR m < docs").groupBy("source").agg(F.min("k").alias("first"))
-    return docs.join(broken, "source", "left").select("source", F.coalesce("first", F.lit(most)).cast("long").alias("prefix"))
+def common_prefix_suffix(spark, sf_dir):
+    """How many leading words all texts of a source share; ``common_suffix`` has the other end."""
+    return shared_ends(table(spark, sf_dir, "documents")).select("source", "prefix")
+
+
+@query("common_suffix")
+def common_suffix(spark, sf_dir):
+    """How many words at their ends, behind the shared leading words, all texts of a source share."""
+    return shared_ends(table(spark, sf_dir, "documents")).select("source", "suffix")
+
+
+def shared_ends(docs):
+    """(source, prefix, suffix): words that all texts of a source share at their beginnings, and then at their ends.
+
+    What the least and the greatest word list have in common, all lists between them have too.
+    """
+    words = docs.select("source", F.split("text", " ").alias("w")).withColumn("r", F.reverse("w"))
+    sides = words.groupBy("source").agg(*[f(c).alias(f"{c}_{n}") for c in "wr" for n, f in (("least", F.min), ("most", F.max))], F.min(F.size("w")).alias("shortest"), (F.count("w") == F.count("*")).alias("whole"))
+
+    def shared(c: str):
+        unequal = F.array_position(F.zip_with(f"{c}_least", f"{c}_most", lambda a, b: a.eqNullSafe(b)), False)
+        return F.when(F.col("whole"), F.when(unequal > 0, unequal - 1).otherwise(F.size(f"{c}_least"))).otherwise(0).cast("long")
+
+    ends = sides.select("source", "shortest", shared("w").alias("prefix"), shared("r").alias("suffix"))
+    return ends.select("source", "prefix", F.least("suffix", F.greatest(F.col("shortest") - F.col("prefix"), F.lit(0))).cast("long").alias("suffix"))
 
 
 @query(
@@ -221,13 +239,13 @@ def structural_similarity(spark, sf_dir):
 
 @query("lcs_weighted")
 def lcs_weighted(spark, sf_dir):
-    """Weighted alignment of the first 40 words of neighbouring turns; words score by their common beginning."""
+    """Weighted alignment of the words of neighbouring turns; words score by their common beginning."""
 
     def score(x, y):
         n = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         return 2 * n / (len(x) + len(y)) if x and y and n > 1 else 0.0
 
-    return per_pair(spark, sf_dir, "score", "double", lambda a, b: round(sq.lcs_weighted(a[:40], b[:40], score), 6))
+    return per_pair(spark, sf_dir, "score", "double", lambda a, b: round(sq.lcs_weighted(a, b, score), 6))
 
 
 @query("score_matrix")
@@ -258,8 +276,8 @@ def lis_length(spark, sf_dir):
 
 @query("common_runs")
 def common_runs(spark, sf_dir):
-    """Runs of three or more words that all turns of a conversation hold in order (first 120 words)."""
-    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.slice(F.split(F.lower("text"), "\\s+"), 1, 120).alias("w")))), lambda t: t["w"]).alias("lists"))
+    """Runs of three or more words that all turns of a conversation hold in order."""
+    rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.split(F.lower("text"), "\\s+").alias("w")))), lambda t: t["w"]).alias("lists"))
 
     def run(batches):
         for batch in batches:
