@@ -193,9 +193,9 @@ def fit(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", t
     got.sort(key=lambda r: (r._id * 0x9E3779B97F4A7C15 % 2**64, r._id, r.t))
     texts, labels, size = [], [], 0
     for r in got:
+        if size + len(r.t) > SAMPLE_CHARS:
+            continue
         size += len(r.t)
-        if size > SAMPLE_CHARS:
-            break
         texts.append(r.t)
         labels.append(r.l)
     return learn(texts, labels, df, n)

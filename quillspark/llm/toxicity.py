@@ -228,9 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id
     rows.sort(key=lambda r: (r._id * 0x9E3779B97F4A7C15 % 2**64, r._id, r.body))
     texts, toxic, size = [], [], 0
     for r in rows:
+        if size + len(r.body) > SAMPLE_CHARS:
+            continue
         size += len(r.body)
-        if size > SAMPLE_CHARS:
-            break
         texts.append(r.body)
         toxic.append(r._toxic)
     return learn(texts, toxic)

@@ -37,3 +37,12 @@ def test_edges(spark):
     none = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(docs.limit(0), none).count() == 0
+
+
+def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 2000)
+    rows = [(0, "long " * 1000, "xx")] + [(k, ("the small house of words " if k % 2 else "das kleine haus der worte ") * 2, ("en", "de")[k % 2 == 0]) for k in range(1, 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")  # id 0 is first in the order
+    model = langid.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id > 0"), model).collect()}
+    assert got == {k: ("en", "de")[k % 2 == 0] for k in range(1, 31)}

@@ -43,3 +43,13 @@ def test_edges(spark):
     out = tx.score(docs, model).collect()
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", 2000)
+    monkeypatch.setattr(tx, "learn", lambda texts, toxic: learned.append((texts, toxic)))
+    rows = [(0, "long " * 1000)] + [(k, f"short {k}") for k in range(1, 31)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(31)], "doc_id long, toxic int")
+    tx.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(learned[0][0]) == sorted(f"short {k}" for k in range(1, 31)) and sum(learned[0][1]) == 15
