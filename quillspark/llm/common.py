@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; with slabs below, it bounds what a Python worker holds.
 ARROW_ROWS = 1000
@@ -46,6 +47,21 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name like ``stem`` that ``df`` does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def named(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[list[T.StructField], list[Column]]:
+    """(fields, columns) of ``df`` but for those named, quoted so that any name can be selected."""
+    gone = {c.lower() for c in without}
+    fields = [f for f in df.schema.fields if f.name.lower() not in gone]
+    return fields, [F.col("`" + f.name.replace("`", "``") + "`") for f in fields]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -101,6 +117,30 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+def within(rows: DataFrame, drawn: DataFrame, most: int, chars: int) -> list:
+    """Rows (id, body, ...) of the ``most`` drawn ids, in the order of a hash of the ids, whose texts have at most ``chars``
+    characters together; a text that does not fit is skipped.
+
+    Lengths are collected first, so no more text than that reaches the driver. Equal rows of an id count once; of an id
+    with several texts all are taken or none. At most twice ``most`` rows are looked at.
+    """
+    near = rows.join(F.broadcast(drawn.select("id").distinct()), "id").select("id", F.length("body").alias("size"), F.xxhash64("body"))
+    sizes: dict = {}
+    for r in near.distinct().limit(2 * most).collect():
+        sizes[r.id] = sizes.get(r.id, 0) + r.size
+    order = lambda i: (i * 0x9E3779B97F4A7C15 % 2**64, i)
+    left, taken = chars, []
+    for i in sorted(sizes, key=order):
+        if sizes[i] <= left:
+            left -= sizes[i]
+            taken.append((i,))
+    if not taken:
+        return []
+    chosen = rows.sparkSession.createDataFrame(taken, T.StructType([drawn.schema["id"]]))
+    got = rows.join(F.broadcast(drawn.join(F.broadcast(chosen), "id")), "id").distinct().limit(2 * most).collect()
+    return sorted(got, key=lambda r: (order(r.id), r.body))
+
+
 def fold_mod(column, modulus: int, remainder: int):
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder``."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus) == F.lit(remainder)

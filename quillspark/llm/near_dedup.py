@@ -13,8 +13,10 @@ blocks of texts, each block within one task, which returns only the links that j
 a bucket is verified, or its texts are already in one class. Classes are components.
 
 A null text is the empty text. Equal texts share a class whatever their number; only one of them takes part in the
-search. Rows that share an id are one document; null ids take the class of their text. Ties go to the smallest id. An
-empty table gives an empty result, and other columns pass through.
+search. Rows that share an id are one document, whose text is the one with the least digest; a row with a null id takes
+the class of a row with an id and its text, or has none. Ties go to the smallest id. Texts of any length are shingled
+whole, in slabs of bounded size. An empty table gives an empty result. Only the named columns are read, so other columns
+may have any names; ``keep_first`` keeps them all.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, gram_hashes, mix64, remove, shared_dir, slabs, small_batches, word_hashes
+from quillspark.llm.common import cut, gram_hashes, mix64, remove, shared_dir, slabs, small_batches, unused, word_hashes
 from quillspark.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -230,16 +232,47 @@ def _across(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return placed.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _digest(text):
+    """SHA-256 of the words of a text, in lower case with one blank between."""
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\s+", " ")), 256))
+
+
+def _repeated(df: DataFrame, own: Column) -> DataFrame:
+    """The ids that several rows have."""
+    return cut(df.where(own.isNotNull()).groupBy(own.alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node"))
+
+
+def one_row_each(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``df`` with one row of each id, that of the text with the least digest; rows with a null id stay.
+
+    Only ids are counted over all rows. Rows move only if some id repeats, and then only the rows of such ids.
+    """
+    own = F.col(doc_id)
+    again = _repeated(df, own)
+    if again.isEmpty():
+        return df
+    key, least, digest = (unused(df, x) for x in ("node", "least", "digest"))
+    again = again.toDF(key)
+    few = df.join(again, own == F.col(key)).withColumn(digest, _digest(F.col(text)))
+    first = few.groupBy(F.col(key).alias(f"{key}1")).agg(F.min(digest).alias(least))
+    few = few.join(first, (F.col(key) == F.col(f"{key}1")) & (F.col(digest) == F.col(least))).drop(key, f"{key}1", least, digest).dropDuplicates([doc_id])
+    return df.join(again, own == F.col(key), "left_anti").unionByName(few)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the smallest id of its class, and links of its distinct text by which
     the class was joined (no pair within a class is verified once it is whole)."""
     spark = df.sparkSession
     small_batches(spark)
-    body = F.coalesce(F.col(text), F.lit(""))
-    plain = F.trim(F.regexp_replace(F.lower(body), "\\s+", " "))
-    keyed = cut(df.select(F.col(doc_id).cast("long").alias("node"), F.unhex(F.sha2(plain, 256)).alias("digest")))
+    keyed = cut(df.select(F.col(doc_id).cast("long").alias("node"), _digest(F.col(text)).alias("digest")))
+    # a document's rows count once, with the least of its digests
+    again = _repeated(keyed, F.col("node"))
+    docs = df.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    if not again.isEmpty():
+        again = cut(keyed.join(again, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("least")))
+        keyed = cut(keyed.join(again, "node", "left").select("node", F.coalesce("least", "digest").alias("digest")))
+        docs = docs.join(again, "node", "left").where(F.col("least").isNull() | (_digest(F.col("body")) == F.col("least"))).drop("least")
     groups = cut(keyed.groupBy("digest").agg(F.min("node").alias("node")))
-    docs = df.select(F.col(doc_id).cast("long").alias("node"), body.alias("body"))
     banded = cut(_banded(docs).join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     rows = banded.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(_priority(0))["node"].alias("leader")).where("n > 1").drop("n")
@@ -270,6 +303,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each class: the one with the smallest id; rows with a null id stay."""
-    gone = near_duplicates(df, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``df`` with one document of each class, the one with the smallest id, in one row; rows with a null id stay."""
+    gone = unused(df, "gone")
+    others = near_duplicates(df, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()
+    return one_row_each(df, doc_id, text).join(others, F.col(doc_id) == F.col(gone), "left_anti")

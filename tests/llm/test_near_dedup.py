@@ -56,7 +56,7 @@ def test_chain_of_near_copies_and_edges(spark):
     assert {c for d, c in got if d and d >= 100} == {100}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (None, 3)} <= got
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
-    assert sorted(r.doc_id or 0 for r in near_dedup.keep_first(df).collect()) == [0, 1, 3, 3, 5, 100]
+    assert sorted(r.doc_id or 0 for r in near_dedup.keep_first(df).collect()) == [0, 1, 3, 5, 100]
 
 
 def family(rng, many, pairs, size=400, own=6):
@@ -110,3 +110,38 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(1, 30)] + [(100, 7), (200, 201), (300, 300)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got[30] == 1 and got[100] == 1 and got[201] == 200 and 300 not in got
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    same = "one two three four five six seven"
+    rows = [(5, same), (5, same), (5, same), (7, "alpha beta gamma delta epsilon zeta"), (7, "other words of the same document id"), (8, same + " "), (None, same), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, gone int, node int, digest int, least int")
+    got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 5)] * 3 + [(7, 7)] * 2 + [(8, 5), (None, 5), (None, None)], key=repr)
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 5, 7]
+    assert {r.text for _ in range(2) for r in near_dedup.keep_first(df.repartition(3)).collect() if r.doc_id == 7} <= {rows[3][1], rows[4][1]}
+
+
+def test_recall_on_a_hot_family(spark):
+    """Distinct near copies of one text in a few hot buckets; every link that brute force has must be found."""
+    rng = np.random.default_rng(12)
+    texts = family(rng, 2100, 300, size=120, own=4)
+    base = {k: texts[k] for k in list(texts)[:2100]}
+    for k in range(300):
+        words = base[k].split()
+        words[-1] = f"z{k}"  # a near copy of text k alone
+        base[10_000 + k] = " ".join(words)
+    sets = {k: grams(t) for k, t in base.items()}
+    want = {k for k in range(300) if len(sets[k] & sets[10_000 + k]) >= 0.8 * len(sets[k] | sets[10_000 + k])}
+    df = spark.createDataFrame(list(base.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert len(want) == 300 and sum(got[10_000 + k] == got[k] for k in want) >= 0.99 * len(want)
+
+
+def test_very_long_text_in_slabs(spark):
+    words = [f"w{k}" for k in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1000], *["z"] * 1000])), (3, "short text of six words only")]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
