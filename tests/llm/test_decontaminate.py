@@ -116,3 +116,47 @@ def test_query_and_edges(spark):
     assert {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()} == {1, 2}
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == 5
     assert isinstance(dc.cgk_keys(np.zeros((0, 3), np.uint64)), np.ndarray)
+
+
+def test_proposals_reach_the_target_recall():
+    rng = random.Random(21)
+    for n in (4, 9, 20, 48, 64, 65, 120, 300, 600):
+        items = [[rng.randrange(10**9) for _ in range(n)] for _ in range(40)]
+        block = dc.Items(list(range(40)), [" ".join(map(str, x)) for x in items])
+        hit = other = 0
+        for k, item in enumerate(items):
+            words = [str(w) for w in item]
+            for _ in range(int(0.15 * n)):
+                words[rng.randrange(n)] = f"new{rng.random()}"
+            hashes, _ = dc.words_of([" ".join(words)])
+            hit += bool(block._proposed(hashes, [(k, 0, n)])[0])
+            other += bool(block._proposed(hashes, [((k + 1) % 40, 0, n)])[0])
+        assert hit == 40 and (other <= 4 or n < 20), (n, hit, other)  # short walks meet by chance; the exact check follows
+
+
+def test_query_reports_nothing_else(spark):
+    sf = "/root/testdata/sf0.01"
+    bare = lambda t: [w for w in (x.strip("".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xA1, 0xAB, 0xBB, 0xBF, *range(0x2010, 0x2028)]))) for x in t.lower().split()) if w]
+    items = {r.item_id: bare(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    texts = {r.doc_id: bare(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = set()
+    for d, words in texts.items():
+        for i, item in items.items():
+            n, most, known = len(item), int(0.15 * len(item)), set(item)
+            inside = np.concatenate(([0], np.cumsum([w in known for w in words]))) if words else np.zeros(1, int)
+            for s in range(len(words) - n + 1):  # words of the item bound the distance from below
+                if n - (inside[s + n] - inside[s]) <= most and levenshtein(item, words[s : s + n]) <= most:
+                    want.add((d, i))
+                    break
+    got = {(r.doc_id, r.item_id) for r in op4_decontamination(spark, sf).collect()}
+    assert got <= want | {(d, i) for d, i in got if len(texts[d]) < len(items[i])} and len(got & want) >= 0.99 * len(want)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    words = [f"w{k}" for k in range(400_000)]
+    words[300_000:300_000] = "one two three four five six seven eight".split()
+    docs = spark.createDataFrame([(1, " ".join(words), 0, "a", 1)], "doc_id long, text string, item_id int, body string, edits int")
+    bench = spark.createDataFrame([(5, "One two, three four five six seven eight."), (6, "one two three four five six seven eight")], "item_id long, text string")
+    rows = sorted(map(tuple, dc.find_contamination(docs, bench).collect()))
+    assert rows == [(1, 5, 300_000, 0, 8), (1, 6, 300_000, 0, 8)]
+    assert dc.drop_contaminated(docs, bench).columns == docs.columns and dc.drop_contaminated(docs, bench).count() == 0
