@@ -1,8 +1,8 @@
 """Token counts by a digest cache: only texts whose digest the cache lacks are encoded, once each.
 
 Nulls count as the empty text. Repeated rows and equal texts share one digest and are encoded once; every input row
-comes back with its own count. An empty table gives an empty result, and other columns, whatever their names, pass
-through untouched.
+comes back with its own count. Texts of any length are encoded whole, in slabs of bounded size. An empty table gives an
+empty result, and other columns, whatever their names, pass through untouched; only ``n_tokens`` is replaced.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, shared_dir, slabs, small_batches
+from quillspark.llm.common import cut, shared_dir, slabs, small_batches, unused
 from quillspark.llm.tokenization import encoder, file_version
 
 #: Fewer misses than this (about 100 bytes each) are broadcast; more are joined by a shuffle.
@@ -33,10 +33,11 @@ def read_cache(spark, path: str) -> DataFrame:
     return spark.createDataFrame([], CACHE_SCHEMA)
 
 
-def count_tokens(df: DataFrame, text: str, tokenizer: str, cache: str | None = None, collapse: bool = True) -> DataFrame:
+def count_tokens(df: DataFrame, text: str, tokenizer: str, cache: str | None = None, collapse: bool | None = None) -> DataFrame:
     """``df`` with ``n_tokens``, by the cache at ``cache`` (a fresh one in the shared folder if None).
 
-    ``collapse`` digests runs of blanks as one blank; set it to False for vocabularies to which white space matters.
+    ``collapse`` digests runs of blanks as one blank. By default it is used only for vocabularies whose tokens never
+    depend on the amount of white space.
     A digest that concurrent runs appended twice has the same count in both rows, so one is taken.
     """
     spark = df.sparkSession
@@ -44,7 +45,8 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str, cache: str | None = N
     cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     version = file_version(tokenizer)
     body = F.coalesce(F.col(text), F.lit(""))
-    digest = content_digest(body) if collapse and not tokenizer.endswith(".model") else F.unhex(F.sha2(body, 256))
+    collapse = encoder(tokenizer).by_word if collapse is None else collapse
+    digest = content_digest(body) if collapse else F.unhex(F.sha2(body, 256))
     stored = read_cache(spark, cache).where(F.col("version") == version)
     texts = df.select(digest.alias("digest"), body.alias("body"))
     misses = cut(texts.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"))
@@ -66,6 +68,7 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str, cache: str | None = N
                 yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["digest", "version", "n_tokens"])
 
         todo.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy(F.col("digest").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = df.drop("n_tokens").withColumn("_digest", digest)
-    return keyed.join(counts, "_digest").drop("_digest")
+    key = unused(df, "digest")
+    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias("n_tokens"))
+    keyed = df.drop("n_tokens").withColumn(key, digest)
+    return keyed.join(counts, key).drop(key)

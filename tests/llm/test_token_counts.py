@@ -50,3 +50,23 @@ def test_sentencepiece_vocabulary(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, "text", path).collect()}
     assert got == {k: len(model.encode(t)) for k, t in enumerate(texts)}
+
+
+def test_white_space_that_counts_is_not_collapsed(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a  b\n\n c", "a b c", "a  b\n\n c", " a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, "text", path).collect()}
+    assert got == {k: len(tok.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_misses_broadcast_or_shuffled(spark, monkeypatch):
+    texts = [f"text {k % 40} again" for k in range(120)] + ["long word " * 200_000]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, _digest string, Digest string")
+    want = {k: len(TOK.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    for most in (20_000, 0):
+        monkeypatch.setattr(token_counts, "BROADCAST_MISSES", most)
+        out = token_counts.count_tokens(docs, "text", PATH)
+        assert {r.doc_id: r.n_tokens for r in out.collect()} == want and {*docs.columns} < {*out.columns}
+        assert {(r._digest, r.Digest) for r in out.collect()} == {("x", "y")}
