@@ -90,7 +90,7 @@ def op4_decontamination(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     """Toxicity of all documents; learned from labels whose id is not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~fold_mod(F.col("_id"), 5, 0))
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~fold_mod(F.col("doc_id"), 5, 0))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(fold_mod(F.col("doc_id"), 5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
 

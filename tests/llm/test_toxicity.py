@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from quillspark.llm import toxicity as tx
 from quillspark.llm.queries import op9_toxicity
 
@@ -53,3 +57,91 @@ def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(k, k % 2) for k in range(31)], "doc_id long, toxic int")
     tx.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert sorted(learned[0][0]) == sorted(f"short {k}" for k in range(1, 31)) and sum(learned[0][1]) == 15
+
+
+def plainly(tags, weights):
+    """The grammar again, word by word and without machines."""
+    total = 0.0
+    for k, tag in enumerate(tags):
+        if tag not in (tx.INSULT, tx.THREAT):
+            continue
+        before, behind, factor = tags[:k], tags[k + 1 :], 1.0
+        if tx.TARGET in before or tx.TARGET in behind:
+            factor *= tx.TARGET_FACTOR
+        if tx.REPORT in before or tx.REPORT in behind:
+            factor *= tx.REPORT_FACTOR
+        if tx.NEGATION in before[-tx.REACH :]:
+            factor *= tx.NEGATION_FACTOR
+        if tag == tx.THREAT and tx.TARGET not in behind[: tx.REACH] and not (not behind and tx.TARGET in before):
+            factor *= tx.IDLE_THREAT
+        total += weights[k] * factor
+    return total
+
+
+def test_grammar_matches_brute_force():
+    rng = random.Random(4)
+    for _ in range(3000):
+        tags = [rng.choice((tx.OTHER, tx.OTHER, *tx.TAGS)) for _ in range(rng.randrange(12))]
+        weights = [rng.random() for _ in tags]
+        assert abs(tx.clause_score(tags, weights) - plainly(tags, weights)) < 1e-12
+
+
+def test_features_match_brute_force():
+    rng = random.Random(6)
+    words = [*tx.INSULTS, *tx.THREATS, *tx.TARGETS, *tx.NEGATIONS, *tx.REPORTS, *["river", "house", "green"] * 30]
+    model = tx.Model()
+    texts = ["", "...", "-"]
+    for _ in range(300):
+        texts.append(" ".join(rng.choice(words) + rng.choice(["", "", "", "", ",", ".", '",', "!", ":"]) for _ in range(rng.randrange(60))))
+    got = model.features(texts)
+    for text, row in zip(texts, got):
+        clauses, now = [], []
+        for raw in text.lower().split():
+            tag, weight, ends = model.entry(raw)
+            now.append((tag, weight))
+            if ends:
+                clauses.append(now)
+                now = []
+        scores = [plainly([t for t, _ in c], [w for _, w in c]) for c in [*clauses, now]]
+        assert np.allclose(row, [1, np.log1p(sum(scores)), max(scores), 100 * sum(scores) / (len(text.split()) + 20)])
+
+
+def test_threats_need_someone():
+    assert clause("i will kill you") > clause("you should kill weeds")
+    assert clause("we will hurt them all") > clause("they hurt a knee")
+    assert clause("they will hang") > clause("hang the coat")
+
+
+def text_score(text):
+    return tx.Model().features([text])[0, 2]
+
+
+def test_reported_speech_on_either_side():
+    assert text_score('"you idiot", he said') == text_score('he said, "you idiot"') == text_score("he said: you idiot") < text_score("you idiot!")
+    assert text_score("he said so. you idiot") == text_score("you idiot")
+
+
+def test_learned_threats():
+    rng = random.Random(3)
+    texts, toxic = [], []
+    for k in range(240):
+        body = [rng.choice(["river", "house", "stone", "light"]) for _ in range(12)]
+        if k % 2:
+            body[4:4] = ["zorkling", "them"] if k % 4 == 1 else ["them", "are", "blorp"]
+        texts.append(f"doc{k} " + " ".join(body))
+        toxic.append(k % 2)
+    model = tx.learn(texts, toxic)
+    assert ("zorkling", True) in model.threats and ("blorp", True) not in model.threats
+    assert model.entry("zorkling")[0] == tx.THREAT and model.entry("blorp")[0] == tx.INSULT
+
+
+def test_clashing_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "you idiot " + "quiet river " * 400_000, 1, 2, 3), (2, "quiet river", 1, 2, 3)], "doc_id long, text string, _id int, _body int, body int")
+    model = tx.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    rows = tx.score(docs, model).collect()
+    assert [(r._id, r._body, r.body) for r in rows] == [(1, 2, 3)] * 2 and tx.keep_clean(docs, model).columns == docs.columns
+
+
+def test_ties_are_stable():
+    texts, toxic = [f"word{k % 9} bad{k % 3}" for k in range(90)], [k % 3 == 0 for k in range(90)]
+    assert tx.learn(texts, toxic) == tx.learn(texts, toxic)
