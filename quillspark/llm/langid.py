@@ -6,9 +6,11 @@ frequency is its share of the text's n-grams; its inverse document frequency com
 are learned on a bounded sample, four fifths for FTRL-Proximal (the L1 part keeps them sparse) and one fifth for the
 temperature.
 
-A null text, and one without a letter, is ``und`` with score 0. Null labels teach nothing. With no labels at all every
-text is ``und``; with one label every text with a letter gets it. Ties go to the first label in order. Repeated rows
-score alike, and other columns pass through.
+A null text, and one without a letter (a character of a Unicode category L), is ``und`` with score 0. Null labels teach
+nothing. With no labels at all every text is ``und``; with one label every text with a letter gets it. Ties go to the
+first label in order. Repeated rows score alike. Texts of any length are read whole, in slabs of bounded size. Empty
+tables give a model without labels and an empty result. Other columns pass through, whatever their names; only
+``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,19 +21,25 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, mix64, slabs, small_batches
+from quillspark.llm.common import cut, mix64, named, slabs, small_batches, unused, within
 
 ORDERS, DIM = (1, 2, 3, 4), 1 << 17
-#: Labelled texts in the training sample and the n-gram positions used of all of them together.
+#: Labelled texts in the training sample, and the characters that they may have in all; a text that does not fit is not taken.
 SAMPLE_TEXTS, SAMPLE_CHARS = 3_000, 12_000_000
 #: FTRL-Proximal: learning rate, its offset, L1 and L2 strength; passes over the sample and rows per step.
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.002, 0.0005, 6, 32
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]+")
 CHUNK_CHARS = 1_000_000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode category L; numbers such as ² and Ⅷ are not."""
+    return any(c.isalpha() for run in LETTER.finditer(text) for c in run.group())
+
+
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each order the bucket of the n-gram at each position, the position at which each text begins).
 
@@ -99,7 +107,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        known = [k for k, t in enumerate(texts) if LETTER.search(t)] if self.labels else []
+        known = [k for k, t in enumerate(texts) if has_letter(t)] if self.labels else []
         if known:
             p = softmax(self.logits([texts[k] for k in known]) / self.temperature)
             for k, row in zip(known, p):
@@ -163,8 +171,8 @@ def learn(texts: list[str], labels: list[str], df: np.ndarray, n: int) -> Model:
     if len(names) < 2:
         return Model(names, np.zeros((DIM, len(names)), np.float32), np.zeros(len(names)))
     y = np.array([names.index(x) for x in labels])
-    train = [k for k in range(len(texts)) if k % 5 and LETTER.search(texts[k])]
-    rest = [k for k in range(len(texts)) if k % 5 == 0 and LETTER.search(texts[k])]
+    train = [k for k in range(len(texts)) if k % 5 and has_letter(texts[k])]
+    rest = [k for k in range(len(texts)) if k % 5 == 0 and has_letter(texts[k])]
     scale = 20.0  # the shares of n-grams are small numbers; FTRL steps suit values near 1
     rows = []
     for k in train:
@@ -181,43 +189,37 @@ def learn(texts: list[str], labels: list[str], df: np.ndarray, n: int) -> Model:
 def fit(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from the usable rows with a text and a label: frequencies from all, weights from a bounded sample.
 
-    The sample takes documents in the order of a hash of their ids; ids and labels are drawn first, texts follow.
+    The sample takes documents in the order of a hash of their ids: ids first, then the lengths of their texts, and only
+    texts that fit the sample together come to the driver. ``usable`` is a condition on the columns of ``docs``.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
     small_batches(docs.sparkSession)
     df, n = document_frequencies(rows, text)
-    drawn = cut(rows.select(F.col(doc_id).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_TEXTS))
-    got = rows.join(F.broadcast(drawn), F.col(doc_id) == F.col("_id")).select("_id", F.col(text).alias("t"), F.col(lang).alias("l")).limit(2 * SAMPLE_TEXTS).collect()
-    got.sort(key=lambda r: (r._id * 0x9E3779B97F4A7C15 % 2**64, r._id, r.t))
-    texts, labels, size = [], [], 0
-    for r in got:
-        if size + len(r.t) > SAMPLE_CHARS:
-            continue
-        size += len(r.t)
-        texts.append(r.t)
-        labels.append(r.l)
-    return learn(texts, labels, df, n)
+    rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("label"))
+    drawn = cut(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS))
+    got = within(rows, drawn, SAMPLE_TEXTS, SAMPLE_CHARS)
+    return learn([r.body for r in got], [r.label for r in got], df, n)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without its text, with lang_pred and score."""
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name not in (text, "lang_pred", "score")]
-    names = [f.name for f in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
+    fields, columns = named(df, (text, "lang_pred", "score"))
+    names = [f.name for f in fields] + ["lang_pred", "score"]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found, score = [], []
-            for _, held in slabs(batch.column("_body").to_numpy(zero_copy_only=False), CHUNK_CHARS):
+            for _, held in slabs(batch.columns[-1].to_numpy(zero_copy_only=False), CHUNK_CHARS):
                 a, b = model.predict(held)
                 found += a
                 score.append(b)
-            columns = [batch.column(n) for n in names] + [pa.array(found, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            out = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return df.select(*names, F.coalesce(F.col(text), F.lit("")).alias("_body")).mapInArrow(run, schema)
+    return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(unused(df, "body"))).mapInArrow(run, schema)

@@ -46,3 +46,40 @@ def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
     model = langid.fit(docs)
     got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id > 0"), model).collect()}
     assert got == {k: ("en", "de")[k % 2 == 0] for k in range(1, 31)}
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, ["", "12 !", "²½", "Ⅷ ①", "_", "٣"])) and all(map(langid.has_letter, ["a", "1ß", "é", "日", "ª", "² x"]))
+
+
+def test_clashing_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the small house " * 300_000, "en", 1, 2, 3), (2, "das kleine haus " * 10, "de", 1, 2, 3)], "doc_id long, text string, lang string, _id int, _body int, body int")
+    model = langid.fit(docs)
+    rows = langid.identify(docs, model).collect()
+    assert [(r._id, r._body, r.body) for r in rows] == [(1, 2, 3)] * 2 and {r.lang_pred for r in rows} <= {"en", "de"}
+
+
+def test_scores_match_brute_force(spark):
+    """Probabilities again from the model's weights, n-gram by n-gram."""
+    rng = np.random.default_rng(9)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.DIM, 3)).astype(np.float32), rng.normal(size=3), 0.7)
+    texts = ["Hello, wörld", "x", "ab 12 cd", "ññ ÀÉ", "the quick brown fox"]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        plain = "".join(" " if ord(c) < 65 else c for c in text.lower())
+        padded, total, n = " " + plain + " " * 4, np.zeros(3), 0
+        for k in langid.ORDERS:
+            for p in range(len(plain) + 1):
+                h = 0
+                for j in range(k):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(padded[p + j]) + j + 1) % 2**64
+                total += model.weights[int(langid.mix64(np.array([h], np.uint64))[0]) & (langid.DIM - 1)]
+                n += 1
+        z = (total / n + model.bias) / 0.7
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert name == model.labels[int(want.argmax())] and abs(score - want.max()) < 1e-6
+
+
+def test_ties_go_to_the_first_label():
+    model = langid.Model(["a", "b"], np.zeros((langid.DIM, 2), np.float32), np.zeros(2))
+    assert model.predict(["x"])[0] == ["a"] and model.predict(["x"])[1][0] == 0.5
