@@ -7,7 +7,9 @@ one aggregate over all labelled rows. The list is emitted as one ordered CASE ex
 
 A null text has no words. Texts without words have zero statistics and ratios of 0. Labels that are null, and labelled
 ids without a document, teach nothing; without any labels the list is empty and every text is kept. Repeated rows count
-as often as they occur, ties between conditions go to the first in a fixed order. An empty table gives an empty result.
+as often as they occur, ties between conditions go to the first in a fixed order. Texts of any length are measured whole,
+in one row. An empty table gives an empty result. Other columns pass through, whatever their names; only the text and
+the columns of the result are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import cut, unused
 
 #: What separates words; and the characters that count as symbols. Fixed values of the result's contract.
 BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -87,9 +89,10 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("n_short"),
     )
-    made_here = {*counts, *FEATURES, "n_repeat_words", "n_distinct", "n_short", "_s", text}
+    made_here = {*counts, *FEATURES, "n_repeat_words", "n_distinct", "n_short", text}
     made = df.select(*[c for c in df.columns if c not in made_here], *[c.alias(k) for k, c in counts.items()])
-    made = made.withColumn("_s", per_row).select(*[c for c in made.columns if c != "words"], "_s.*")
+    both = unused(made, "per_row")
+    made = made.withColumn(both, per_row).select(*[c for c in made.columns if c != "words"], f"{both}.*")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     made = made.withColumns({
         "mean_word": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_words"),
@@ -214,8 +217,8 @@ def learn(labelled: DataFrame, bad: Column, features: tuple[str, ...] = FEATURES
 def judge(df: DataFrame, labels: DataFrame, text: str = "text", max_rules: int = MAX_RULES) -> tuple[DataFrame, DecisionList]:
     """(statistics of every row with base_failed, rule and kept, the learned list). ``labels``: doc_id, quality (1 is good)."""
     stats = cut(with_statistics(df, text))
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "quality")
-    rules = learn(stats.join(known, F.col("doc_id") == F.col("_id")), F.col("quality") == 0, max_rules=max_rules)
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    rules = learn(stats.select("doc_id", *FEATURES).join(known, "doc_id"), F.col("bad"), max_rules=max_rules)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.withColumn("base_failed", failed).withColumn("rule", rules.number())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

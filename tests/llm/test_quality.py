@@ -44,3 +44,26 @@ def test_no_labels_and_empty(spark):
     judged, rules = quality.judge(docs, labels)
     assert rules.rules == [] and judged.count() == 2
     assert quality.judge(docs.limit(0), labels)[0].count() == 0
+
+
+def test_verdict_matches_brute_force(spark):
+    """The list's rules applied row by row in Python, to the features of the same rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    judged, rules = quality.judge(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert rules.rules
+    for r in judged.collect():
+        met = [all((r[c.feature] > c.threshold) == c.above for c in rule) for rule in rules.rules]
+        number = met.index(True) + 1 if True in met else 0
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (number, failed, not failed and number == 0)
+
+
+def test_clashing_names_repeats_and_ties(spark):
+    rows = [(k % 30, "word " * (5 + k % 30), "q") for k in range(60)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, quality string, _id int, _s int, per_row int")
+    labels = spark.createDataFrame([(k, int(k > 15)) for k in range(30)], "doc_id long, quality int")
+    judged, rules = quality.judge(docs, labels)
+    again = quality.judge(docs, labels)[1]
+    assert judged.count() == 60 and str(rules) == str(again)
+    assert {(r.quality, r._id, r._s, r.per_row) for r in judged.collect()} == {("q", 1, 2, 3)}
