@@ -4,8 +4,10 @@ Every kind has a pattern, a validator and a score. Base kinds (email, ip, card,
 their validator. Added kinds (iban, ssn) keep a match when its score, raised by a checksum and by context words in the
 characters before it, reaches the threshold. Positions are code points, end exclusive.
 
-A null text is the empty text and has no spans. Repeated rows and ties are independent, since nothing crosses rows. An
-empty table gives an empty result. Other columns pass through, and only the result columns named here are replaced.
+A null text is the empty text and has no spans. Repeated rows are independent, since nothing crosses rows; spans of
+different kinds may overlap, and redaction replaces them together. Texts of any length are read whole, in one
+row; the work grows with the length of a text and its spans, not with their product. An empty table gives an empty
+result. Other columns pass through, and only the result columns named here are replaced.
 
 The patterns find the same matches as the plain ones in ``PLAIN`` but never scan a run of characters twice: a run can
 only match from its first character (or from the end of the match before), and quantifiers are possessive where the
@@ -37,8 +39,9 @@ IBAN_LENGTHS = {
 IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
 #: Characters before a match in which context words count.
 CONTEXT_CHARS = 40
-#: Score that an added kind needs.
-THRESHOLD = 0.6
+#: Score that an added kind needs: a checksum or context words must stand beside the pattern.
+THRESHOLD = 0.5
+SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
 @dataclass(frozen=True)
@@ -105,28 +108,67 @@ def confirmed(kind: str, match: Column) -> Column:
     }[kind]
 
 
+#: Values of one block of a running total, and characters of one piece of a text.
+BLOCK, PIECE = 64, 4096
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: a one-element transform binds it to a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op) -> Column:
+    """For each of an array of integers the total of those before it, 0 for the first; ``op`` is a sum or a maximum.
+
+    Totals run in blocks, since a fold copies its state at each step and must not hold an array that grows.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+    def over(b: Column) -> Column:
+        def within(totals: Column) -> Column:
+            inside = lambda x, k: bound(F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), op), lambda base: F.transform(x, lambda v, j: F.aggregate(F.slice(x, F.lit(1), j), base, op)))
+            return F.flatten(F.transform(b, inside))
+
+        return bound(F.transform(b, lambda x: F.aggregate(x, F.lit(0), op)), within)
+
+    return F.when(F.size(values) > 0, bound(blocks, over)).otherwise(F.array().cast("array<int>"))
+
+
+def cut_up(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` characters, so that any part of it is found without a walk from its start."""
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def between(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters ``a`` to ``b`` of the text that was cut up."""
+    first = F.floor(a / PIECE).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(near, a - first * PIECE + 1, b - a)).otherwise("")
+
+
 def kind_spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: array of (kind, start, end, score), by start."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    gaps, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        before = F.substring(text, F.greatest(begin - CONTEXT_CHARS, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT_CHARS)))
-        score = F.lit(kind.prior) + F.lit(BONUS_CHECKSUM if kind.name in ("card", "iban") else 0.0)
-        score = F.least(score + F.when(F.lower(before).rlike(rf"(?<!\p{{L}})(?:{kind.context})"), BONUS_CONTEXT).otherwise(0.0), F.lit(1.0))
-        keep = confirmed(kind.name, pair["match"])
-        if not kind.base:
-            keep = keep & (F.round(score, 6) >= (0.5 if kind.name == "iban" else THRESHOLD))
-        span = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), F.round(score, 6).alias("score"))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    found = F.aggregate(F.when(F.size(matches) > 0, pairs), start, step, lambda state: state["spans"])
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def spans(parts: Column, at: Column) -> Column:
+        def span(match: Column, k: Column) -> Column:
+            begin = F.get(at, k) + F.length(F.get(parts["gaps"], k))
+            before = between(parts["pieces"], F.greatest(begin - CONTEXT_CHARS, F.lit(0)), begin)
+            score = F.lit(kind.prior) + F.lit(BONUS_CHECKSUM if kind.name in ("card", "iban") else 0.0)
+            score = F.least(score + F.when(F.lower(before).rlike(rf"(?<!\p{{L}})(?:{kind.context})"), BONUS_CONTEXT).otherwise(0.0), F.lit(1.0))
+            made = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), (begin + F.length(match)).alias("end"), F.round(score, 6).alias("score"))
+            return F.when(confirmed(kind.name, match), made)
+
+        found = F.filter(F.transform(parts["matches"], span), lambda s: s.isNotNull())
+        return found if kind.base else F.filter(found, lambda s: s["score"] >= THRESHOLD)
+
+    def located(parts: Column) -> Column:
+        sizes = F.transform(parts["matches"], lambda m, k: F.length(m) + F.length(F.get(parts["gaps"], k)))
+        return bound(bound(sizes, lambda x: running(x, lambda a, b: a + b)), lambda at: spans(parts, at))
+
+    parts = F.struct(F.split(text, kind.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("matches"), cut_up(text).alias("pieces"))
     possible = F.contains(text, F.lit(kind.guard)) if kind.guard else F.lit(True)
-    return F.when(possible & text.rlike(kind.pattern), F.coalesce(found, none)).otherwise(none)
+    return F.when(possible & text.rlike(kind.pattern), bound(parts, located)).otherwise(none)
 
 
 def find_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -141,15 +183,19 @@ def joined(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` (from ``find_pii``) with each span replaced by its kind in brackets; the first of overlapping spans wins."""
+    """``df`` (from ``find_pii``) with each span replaced by its kind in brackets; spans that overlap are replaced together,
+    by the kind of the first, of several with one start by that of the longest. A null text stays null."""
     body = F.col(text)
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        own = F.array(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        fresh = F.struct((-s["neg_end"]).alias("at"), F.concat(state["parts"], own).alias("parts"))
-        return F.when(s["start"] >= state["at"], fresh).otherwise(F.struct(state["at"].alias("at"), state["parts"].alias("parts")))
 
-    done = F.aggregate(by_start, begin, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(body, state["at"] + 1, F.length(body))))
-    return df.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(body))
+    def replaced(x: Column) -> Column:
+        # x: the spans by start, and before each of them the furthest end so far
+        spans, reach = x["spans"], x["reach"]
+        fresh = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: F.get(spans, k)["start"] >= F.get(reach, k))
+        part = lambda at, k: F.concat(between(x["pieces"], F.get(reach, at), F.get(spans, at)["start"]), F.lit("["), F.upper(F.get(spans, at)["kind"]), F.lit("]"))
+        last = F.array_max(F.transform(spans, lambda s: -s["neg_end"]))
+        return F.concat(F.array_join(F.transform(fresh, part), ""), between(x["pieces"], last, F.length(body)))
+
+    reach = lambda spans: bound(F.transform(spans, lambda s: -s["neg_end"]), lambda ends: running(ends, lambda a, b: F.greatest(a, b)))
+    found = bound(by_start, lambda spans: F.struct(spans.alias("spans"), reach(spans).alias("reach"), cut_up(body).alias("pieces")))
+    return df.withColumn(text, F.when(F.size("pii_spans") > 0, bound(found, replaced)).otherwise(body))
