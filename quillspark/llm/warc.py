@@ -1,14 +1,18 @@
 """Web archives in ZIP packages: WARC records written to, and range-read from, stored ZIP members.
 
-Each task writes one package: a stored member with gzip-compressed WARC records, one gzip member each, and a stored index
-member that gives each record's place. Packages get a classic or a ZIP64 directory as their size asks. The reader opens a
-package, parses the end record, its ZIP64 form and the central directory, finds the members' bytes, and reads the records
-by ranges through the index; nothing is extracted. Without an index it walks the archive member.
+Each task writes packages of a bounded size: a stored member with gzip-compressed WARC records, one gzip member each, and
+a stored CDXJ index member, in the order of its keys, that gives each record's place. Packages get a classic or a ZIP64
+directory as their size asks. The reader opens a package, parses the end record, its ZIP64 form and the central
+directory, finds the members' bytes, reads its own range of the index and the records by ranges; nothing is extracted.
+Without an index it walks the archive member.
 
 Of pages with the same payload of at least ``LEAST_BYTES`` bytes, the one with the largest id is stored as a response and
-the others are revisits without a payload. A null payload is empty. Rows that share an id and payload are written once
-each; a null id is written as an empty record id and reads back as null. An empty table writes no package and reads back
-empty. Task attempts write files of their own names, and only the files in the manifest that Spark commits are read.
+the others are revisits without a payload; rows that share an id but not the payload are told apart by its digest. A null
+payload is empty. Repeated rows are written once each, all as responses where the id is the largest; a null id is written
+as an empty record id, a null address as none, and both read back as null. Addresses with line ends are written in base64
+in a header of their own. A payload of any length is one record, held once by its task. Only the named columns are read,
+so other columns may have any names. An empty table writes no package and reads back empty. Task attempts write files of
+their own names, and only the files in the manifest that Spark commits are read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +34,13 @@ from quillspark.llm.common import cut, shared_dir, small_batches
 LEAST_BYTES = 1000
 #: A task starts a new package after so many bytes.
 PACKAGE_BYTES = 1 << 28
-#: Records that one reading task reads at a time.
-READ_RECORDS = 2_000
+#: Records that one reading task reads at a time, and most partitions of reads.
+READ_RECORDS, READ_PARTITIONS = 2_000, 20_000
+#: Up to so many revisits (under 100 bytes each) are broadcast to the payloads; more are joined by a shuffle.
+BROADCAST_REVISITS = 50_000
+#: Bytes that a walk without an index reads at a time.
+WALK_BYTES = 1 << 16
+ENCODED_URI = "X-Target-URI-Base64"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -138,9 +148,11 @@ def record_bytes(kind: str, page_id, url: str, digest: str, payload: bytes, full
     """One WARC/1.1 record as a gzip member."""
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {base64.b64encode((url or '').encode()).decode() if url and any(c in url for c in chr(10) + chr(13)) else url or ''}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {full_length}",
     ]
+    if url is not None:
+        plain = not any(c in url for c in "\r\n")
+        head.append(f"WARC-Target-URI: {url}" if plain else f"{ENCODED_URI}: {base64.b64encode(url.encode()).decode()}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head.append(f"Content-Length: {len(payload)}")
@@ -160,15 +172,54 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def target_uri(headers: dict[str, str]) -> str | None:
+    """The address of a record, or None if it has none."""
+    if ENCODED_URI in headers:
+        return base64.b64decode(headers[ENCODED_URI]).decode()
+    return headers.get("WARC-Target-URI")
+
+
 def walk_records(raw: bytes):
-    """(offset, size) of each gzip member of an archive, for packages without an index."""
-    at = 0
-    while at < len(raw):
+    """(offset, size) of each gzip member of an archive in memory."""
+    return walk_ranges(lambda at, size: raw[at : at + size], len(raw))
+
+
+def walk_ranges(read_at, length: int):
+    """(offset, size) of each gzip member of ``length`` bytes, read front to back in small ranges."""
+    at, here, held = 0, 0, b""
+    while at < length:
         unpacker = zlib.decompressobj(31)
-        unpacker.decompress(raw[at:])
-        size = len(raw) - at - len(unpacker.unused_data)
-        yield at, size
-        at += size
+        while not unpacker.eof:
+            if not held:
+                held = read_at(here, min(WALK_BYTES, length - here))
+                here += len(held)
+                if not held:
+                    raise ValueError("the archive ends within a record")
+            unpacker.decompress(held)
+            held = unpacker.unused_data
+        end = here - len(held)
+        yield at, end - at
+        at = end
+
+
+def url_key(url: str | None) -> str:
+    """The sort key of an address in an index: its host from the top level down, then its path."""
+    from urllib.parse import quote, urlsplit
+
+    text = (url or "").strip()
+    try:
+        parts = urlsplit(text)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:
+        host = ""
+    key = f"{host}){parts.path or '/'}{'?' + parts.query if parts.query else ''}" if host else text
+    return quote(key.lower(), safe="/?&=,):;%@+~!*'($.-_") or "-"
+
+
+def index_line(url: str | None, kind: str, digest: str, offset: int, size: int) -> bytes:
+    """One CDXJ line: key, time stamp, and where the record lies."""
+    facts = {"url": url, "digest": f"sha1:{digest}", "mime": "warc/revisit" if kind == "revisit" else "text/html", "offset": offset, "length": size, "filename": ARCHIVE.split("/")[-1]}
+    return f"{url_key(url)} 19700101000000 {json.dumps(facts, separators=(',', ':'))}\n".encode()
 
 
 def _filesystem(folder: str):
@@ -188,15 +239,18 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", payload: str = "htm
 
 
 def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write all pages; returns the manifest (path, n_bytes, n_records) of the packages that count."""
+    """Write all pages; returns the manifest (path, n_bytes, n_records, marks) of the packages that count.
+
+    ``marks`` are the places in the index member at which each run of ``READ_RECORDS`` lines begins, and its end.
+    """
     small_batches(pages.sparkSession)
-    plan = plan_records(pages, page_id, payload).where("refers_to IS NOT NULL").select(F.col("page_id").alias("_page"), "refers_to").distinct()
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    joined = rows.join(plan, F.col("page_id") == F.col("_page"), "left").drop("_page")
+    plan = cut(plan_records(pages, page_id, payload).where("refers_to IS NOT NULL").distinct())
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha1(body).alias("digest"))
+    few = plan.count() <= BROADCAST_REVISITS
+    joined = rows.join(F.broadcast(plan) if few else plan, ["page_id", "digest", "n_bytes"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches):
-        import hashlib
-
         import pyarrow as pa
 
         system, root = _filesystem(folder)
@@ -209,15 +263,20 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 return
             out.end()
             out.begin(INDEX)
-            out.write("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in index).encode())
+            marks = []
+            for k, line in enumerate(sorted(index)):
+                at = out.write(line)
+                if k % READ_RECORDS == 0:
+                    marks.append(at)
+            marks.append(out.now["size"])
             out.end()
             out.close()
             out.stream.close()
-            done.append((path, out.at, len(index)))
+            done.append((path, out.at, len(index), marks))
             out, index = None, []
 
         for batch in batches:
-            for page, link, data, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")]):
+            for page, link, data, digest, refers in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]):
                 if out is not None and out.at > PACKAGE_BYTES:
                     close()
                 if out is None:
@@ -225,13 +284,13 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                     out = PackageWriter(system.open_output_stream(path))
                     out.begin(ARCHIVE)
                 kind = "response" if refers is None else "revisit"
-                digest = hashlib.sha1(data).hexdigest()
                 record = record_bytes(kind, page, link, digest, data if refers is None else b"", len(data), refers)
-                index.append([out.write(record), len(record)])
+                index.append(index_line(link, kind, digest, out.write(record), len(record)))
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "n_bytes", "n_records"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(types)], ["path", "n_bytes", "n_records", "marks"])
 
-    return cut(joined.mapInArrow(run, "path string, n_bytes long, n_records long"))
+    return cut(joined.mapInArrow(run, "path string, n_bytes long, n_records long, marks array<long>"))
 
 
 def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -241,7 +300,10 @@ def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
     of a revisit are its headers'.
     """
     small_batches(spark)
-    reads = manifest.select("path", "n_records", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1, F.lit(READ_RECORDS).cast("long"))).alias("first")).where("n_records > 0")
+    runs = manifest.where("n_records > 0").select("path", "n_records", F.explode(F.sequence(F.lit(0), F.size("marks") - 2)).alias("k"), "marks")
+    reads = runs.select("path", (F.col("k") * READ_RECORDS).cast("long").alias("first"), F.get("marks", F.col("k")).alias("begin"), F.get("marks", F.col("k") + 1).alias("end"))
+    # a number of partitions that adaptive execution leaves alone: the rows are few and small, what they stand for is not
+    parts = max(1, min(reads.count(), READ_PARTITIONS))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches):
@@ -251,7 +313,7 @@ def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
 
         system, _ = _filesystem(folder)
         for batch in batches:
-            for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
+            for path, first, begin, end in zip(*[batch.column(c).to_pylist() for c in ("path", "first", "begin", "end")]):
                 with system.open_input_file(path) as file:
 
                     def read_at(offset, size):
@@ -262,17 +324,18 @@ def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                     data = next(m for n, m in members.items() if n.endswith(".warc.gz"))
                     index = next((m for n, m in members.items() if n.startswith("indexes/")), None)
                     if index is None:
-                        places = list(walk_records(read_at(data.at, data.size)))
+                        places = islice(walk_ranges(lambda at, size: read_at(data.at + at, size), data.size), first, first + READ_RECORDS)
                     else:
-                        places = [json.loads(x) for x in read_at(index.at, index.size).splitlines()]
+                        facts = (json.loads(x[x.index(b"{") :]) for x in read_at(index.at + begin, end - begin).splitlines())
+                        places = ((f["offset"], f["length"]) for f in facts)
                     rows, held = [], 0
-                    for offset, size in places[first : first + READ_RECORDS]:
+                    for offset, size in places:
                         headers, payload = parse_record(read_at(data.at + offset, size))
                         digest, n = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["WARC-Payload-Length"])
                         if headers["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, n):
                             raise ValueError(f"record of {headers['WARC-Record-ID']} in {path} is damaged")
                         number = lambda name: int(headers[name][10:-1]) if headers.get(name, "<urn:page:>")[10:-1] else None
-                        rows.append((number("WARC-Record-ID"), headers["WARC-Target-URI"], n, digest, headers["WARC-Type"], number("WARC-Refers-To"), payload))
+                        rows.append((number("WARC-Record-ID"), target_uri(headers), n, digest, headers["WARC-Type"], number("WARC-Refers-To"), payload))
                         held += len(payload)
                         if held > 16_000_000:
                             yield _rows(pa, rows)
@@ -280,7 +343,7 @@ def read_packages(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                     if rows:
                         yield _rows(pa, rows)
 
-    return reads.repartition("path", "first").mapInArrow(run, schema)
+    return reads.repartition(parts).mapInArrow(run, schema)
 
 
 def _rows(pa, rows):
@@ -304,11 +367,12 @@ def in_memory(pages: list[tuple], force64: bool = False) -> bytes:
     out.begin(ARCHIVE)
     index = []
     for page, link, data in pages:
-        record = record_bytes("response", page, link, hashlib.sha1(data).hexdigest(), data, len(data), None)
-        index.append([out.write(record), len(record)])
+        digest = hashlib.sha1(data).hexdigest()
+        record = record_bytes("response", page, link, digest, data, len(data), None)
+        index.append(index_line(link, "response", digest, out.write(record), len(record)))
     out.end()
     out.begin(INDEX)
-    out.write("".join(json.dumps(x) + "\n" for x in index).encode())
+    out.write(b"".join(sorted(index)))
     out.end()
     out.close()
     return stream.getvalue()
