@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; with slabs below, it bounds what a Python worker holds.
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 #: Characters of text that Python-side kernels hold as words at a time.
 SLAB_CHARS = 4_000_000
 

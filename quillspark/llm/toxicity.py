@@ -171,7 +171,7 @@ class Model:
         """(tag, weight, whether a clause ends here) of one lower-case word with its punctuation."""
         found = self.known.get(raw)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             word, tag, weight = raw.strip(PUNCTUATION), OTHER, 0.0
             if word in self.words:
