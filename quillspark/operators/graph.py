@@ -26,15 +26,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
 
 
 def reachable(edges: DataFrame, starts: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(start, node, depth): what each start reaches over directed edges (a, b), with the least depth; cycles end."""
+    """(start, node, depth): what each start reaches over directed edges (a, b), with the least depth; cycles end.
+
+    The result has a row for each start and node that it reaches. A closure deeper than ``most_depth`` is an error.
+    """
     seen = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
     for depth in range(1, most_depth + 1):
         step = frontier.join(edges.select(F.col("a").alias("node"), "b"), "node").select("start", F.col("b").alias("node")).distinct()
         frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
-            break
+            return seen.where("depth > 0")
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    raise RuntimeError(f"the closure is deeper than {most_depth}")
 
 
 def fixpoint_prune(rules: DataFrame, most_rounds: int = 50, steps: int = 2) -> DataFrame:
@@ -54,3 +57,25 @@ def fixpoint_prune(rules: DataFrame, most_rounds: int = 50, steps: int = 2) -> D
             return left
         n = now
     raise RuntimeError("pruning did not settle")
+
+
+def hoist(df: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """(level, node, value): values that all branches of a node hold are moved up to it, from the deepest level to the root.
+
+    ``levels`` are columns from the root to the leaves that hold ``value`` (null where a leaf has none). A node is named
+    by its path. Each step is one count by parent and value, so no branch's values have to fit into one task.
+    """
+    path = lambda depth: F.concat_ws("/", *[F.col(c).cast("string") for c in levels[:depth]])
+    branches = df.select(*levels).distinct()
+    held = df.where(F.col(value).isNotNull()).select(*levels, value).distinct()
+    out = None
+    for depth in range(len(levels), 0, -1):
+        part = held
+        if depth > 1:
+            up = levels[: depth - 1]
+            whole = branches.select(*levels[:depth]).distinct().groupBy(*up).agg(F.count("*").alias("_all"))
+            common = held.groupBy(*up, value).agg(F.count("*").alias("_n")).join(whole, up).where("_n = _all").select(*up, value)
+            part, held = held.join(common, [*up, value], "left_anti"), common
+        rows = part.select(F.lit(levels[depth - 1]).alias("level"), path(depth).alias("node"), value)
+        out = rows if out is None else out.unionByName(rows)
+    return out

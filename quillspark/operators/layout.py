@@ -46,9 +46,13 @@ def leader_clusters(df: DataFrame, group: list[str], value: str, tolerance: floa
 
 
 def support(df: DataFrame, group: list[str], value: str, tolerance: float, out: str = "support") -> DataFrame:
-    """Number of rows of the group within ``tolerance`` of each row's value, by a range frame."""
+    """(group, value, n, out): each distinct value with its rows and the rows of the group within ``tolerance`` of it.
+
+    Rows are counted by value first, so the range frame runs over distinct values.
+    """
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("n"))
     frame = Window.partitionBy(*group).orderBy(value).rangeBetween(-tolerance, tolerance)
-    return df.withColumn(out, F.count("*").over(frame))
+    return counts.withColumn(out, F.sum("n").over(frame))
 
 
 def overlap_fraction(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

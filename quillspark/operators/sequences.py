@@ -6,6 +6,8 @@ per pair, and every pair is independent of all others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,24 @@ def islands(df: DataFrame, group: list[str], order: list[str], value: Column, ou
     return df.withColumn("_fresh", fresh).withColumn(out, F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
+def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in its group by ``order``.
+
+    Rows are dealt by ranges of (group, order) and written once, so that a group of any size spans many partitions; each
+    partition numbers its own rows, and the rows of a group in the partitions before it are added. ``order`` must tell
+    the rows of a group apart.
+    """
+    ranged = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    keys = [*group, "_part"]
+    starts = starts.toDF(*[f"_of_{c}" for c in keys], "_start")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])  # a null group is a group
+    placed = ranged.withColumn("_own", own).join(starts, same)
+    return placed.withColumn(out, (F.col("_own") + F.col("_start")).cast("long")).drop("_own", "_start", "_part", *[f"_of_{c}" for c in keys])
+
+
 def ema(values: Column, start: float = 1.0, keep: float = 0.7, low: float = 1.0, high: float = 8.0) -> Column:
     """Running calibration over an ordered array: clamped exponential mean, kept in whole thousandths."""
     clamp = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -76,6 +96,61 @@ def lis_length(values: list) -> int:
     return len(tails)
 
 
+def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of one longest common subsequence: the first that a walk from the front finds."""
+    rest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            rest[i][j] = rest[i + 1][j + 1] + 1 if a[i] == b[j] else max(rest[i + 1][j], rest[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rest[i + 1][j] >= rest[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def increasing(values: list) -> list[int]:
+    """Places of one longest strictly increasing subsequence, by patience sorting with links back."""
+    from bisect import bisect_left
+
+    tails: list = []
+    last: list[int] = []
+    back: list[int] = []
+    for k, v in enumerate(values):
+        at = bisect_left(tails, v)
+        tails[at : at + 1] = [v]
+        last[at : at + 1] = [k]
+        back.append(last[at - 1] if at else -1)
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def anchored_alignment(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
+    """(segments, matched places): items that stand once in each list and keep their order are anchors; what lies between
+    two of them is aligned on its own, so long lists cost the squares of their segments only."""
+    from collections import Counter
+
+    once_a, once_b = Counter(a), {x: k for k, x in enumerate(b)}
+    many_b = Counter(b)
+    shared = [(i, once_b[x]) for i, x in enumerate(a) if once_a[x] == 1 and many_b.get(x) == 1]
+    anchors = [shared[k] for k in increasing([j for _, j in shared])]
+    matched, i, j = [], 0, 0
+    for x, y in [*anchors, (len(a), len(b))]:
+        matched += [(i + p, j + q) for p, q in lcs_pairs(a[i:x], b[j:y])]
+        if x < len(a):
+            matched.append((x, y))
+        i, j = x + 1, y + 1
+    return len(anchors) + 1, matched
+
+
 def similarity(a: list, b: list) -> float:
     """Common subsequence over the mean length; 1 for two empty lists, 0 for one."""
     if not a and not b:

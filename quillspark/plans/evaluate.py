@@ -139,11 +139,11 @@ def translation_pivot(spark, sf_dir):
 
 @query(
     "translation_conflicts",
-    "SELECT role AS master, conv_id % 4 AS lang, count(DISTINCT md5(text)) AS n_texts, arg_max(md5(text), conv_id * 1000 + turn) AS winner FROM conversations GROUP BY ALL HAVING count(DISTINCT md5(text)) > 1",
+    "SELECT role AS master, conv_id % 4 AS lang, count(DISTINCT md5(text)) AS n_texts, arg_max(md5(text), {'c': conv_id, 't': turn}) AS winner FROM conversations GROUP BY ALL HAVING count(DISTINCT md5(text)) > 1",
 )
 def translation_conflicts(spark, sf_dir):
     """Keys with more than one text; the last writer wins."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("master"), (F.col("conv_id") % 4).alias("lang"), F.md5("text").alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("master"), (F.col("conv_id") % 4).alias("lang"), F.md5("text").alias("t"), F.struct("conv_id", "turn").alias("ord"))
     return rows.groupBy("master", "lang").agg(F.count_distinct("t").alias("n_texts"), F.max_by("t", "ord").alias("winner")).where("n_texts > 1")
 
 

@@ -57,7 +57,7 @@ def dominant_value(spark, sf_dir, tolerance: int = 2):
     """The value with most others within the tolerance, and their share; a tie goes to the smallest."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_size").alias("v"))
     near = lo.support(nodes, ["g"], "v", tolerance)
-    return near.groupBy("g").agg(F.max(F.struct("support", -F.col("v"))).alias("m"), F.count("*").alias("total")).select("g", (-F.col("m.col2")).alias("v"), F.round(F.col("m.support") / F.col("total"), 6).alias("share"))
+    return near.groupBy("g").agg(F.max(F.struct("support", -F.col("v"))).alias("m"), F.sum("n").alias("total")).select("g", (-F.col("m.col2")).alias("v"), F.round(F.col("m.support") / F.col("total"), 6).alias("share"))
 
 
 @query(
@@ -67,7 +67,7 @@ def dominant_value(spark, sf_dir, tolerance: int = 2):
 def significant_clusters(spark, sf_dir, tolerance: int = 1, least: int = 3):
     """Values with enough points around them."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.col("p_size").alias("v"))
-    return lo.support(nodes, ["g"], "v", tolerance).where(F.col("support") >= least).distinct()
+    return lo.support(nodes, ["g"], "v", tolerance).where(F.col("support") >= least).select("g", "v", "support")
 
 
 SPANS = "SELECT l_orderkey AS page, l_linenumber AS node, l_quantity AS y0, l_quantity + l_linenumber * 2 AS y1 FROM lineitem"
@@ -101,11 +101,16 @@ def overlap_fraction(spark, sf_dir):
     f"SELECT page, field, label, gap FROM (SELECT f.page, f.node AS field, l.node AS label, round(f.y0 - l.y1, 6) AS gap, row_number() OVER (PARTITION BY f.page, f.node ORDER BY f.y0 - l.y1, l.node) AS rn FROM ({SPANS}) f JOIN ({SPANS}) l ON f.page = l.page AND f.node % 2 = 0 AND l.node % 2 = 1 AND l.y1 <= f.y0) WHERE rn = 1",
 )
 def nearest_match(spark, sf_dir):
-    """The nearest label above each field."""
-    fields = spans(spark, sf_dir).where("node % 2 = 0").toDF("page", "field", "f0", "f1")
-    labels = spans(spark, sf_dir).where("node % 2 = 1").toDF("page", "label", "l0", "l1")
-    gaps = fields.join(labels, "page").where("l1 <= f0").select("page", "field", "label", (F.col("f0") - F.col("l1")).alias("gap"))
-    return gaps.groupBy("page", "field").agg(F.min(F.struct("gap", "label")).alias("m")).select("page", "field", "m.label", F.round("m.gap", 6).alias("gap"))
+    """The nearest label above each field: the last label that ends at or before the field's top, by one sorted pass."""
+    nodes = spans(spark, sf_dir)
+    label, field = F.col("node") % 2 == 1, F.col("node") % 2 == 0
+    # labels stand at their ends, before fields at the same place; of labels that end together the smallest comes last
+    order = Window.partitionBy("page").orderBy("at", "is_field", F.desc("node")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = nodes.select("page", "node", field.alias("is_field"), F.when(label, F.col("y1")).otherwise(F.col("y0")).alias("at"))
+    near = F.last(F.when(~F.col("is_field"), F.struct("at", "node")), ignorenulls=True).over(order)
+    found = placed.withColumn("near", near).where("is_field AND near IS NOT NULL")
+    best = found.groupBy("page", F.col("node").alias("field")).agg(F.min(F.struct((F.col("at") - F.col("near.at")).alias("gap"), F.col("near.node").alias("label"))).alias("m"))
+    return best.select("page", "field", "m.label", F.round("m.gap", 6).alias("gap"))
 
 
 @query(
@@ -189,5 +194,5 @@ def repeated_lines(spark, sf_dir, share: float = 0.05):
     """Lines that stand in at least a share of a source's documents, and in two."""
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
     pages = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("pages"))
-    counts = rows.groupBy("source", F.md5("line").alias("line")).agg(F.count_distinct("doc_id").alias("n"))
+    counts = rows.groupBy("source", F.md5("line").alias("line")).agg(F.count("*").alias("n"))  # a line stands once per document by now
     return counts.join(pages, "source").where((F.col("n") >= F.col("pages") * share) & (F.col("n") > 1)).select("source", "line", "n")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators.compare import distinct_first_seen, missing_values, ratio_or_one
+from quillspark.operators.compare import contained_values, distinct_first_seen, missing_values, ratio_or_one
 from quillspark.plans.registry import query
 from quillspark.plans.scalars import lines
 from quillspark.session import table
 
 NORM = r"trim(regexp_replace(replace(regexp_replace({}, '<[^>]*(>|\z)', '', 'g'), '>', ''), '\s+', ' ', 'g'))"
 OUTPUT = f"SELECT DISTINCT {NORM.format('l.line')} AS t FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l"
-INPUT = f"SELECT t, min(o) AS ord FROM (SELECT {NORM.format('l.line')} AS t, item_id * 1000 + n AS o FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark) l) WHERE t <> '' GROUP BY t"
+INPUT = f"""
+    SELECT t, m.i AS item_id, m.n AS n FROM (SELECT t, min({{'i': item_id, 'n': n}}) AS m FROM (SELECT {NORM.format("l.line")} AS t, item_id, n FROM (
+      SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark) l) WHERE t <> '' GROUP BY t)"""
 
 
 def norm(column):
@@ -20,10 +22,10 @@ def norm(column):
 
 
 def review_input(spark, sf_dir):
-    """Distinct normalised non-empty lines of the items, in the order first seen."""
+    """Distinct normalised non-empty lines of the items, each with the item and line where it stands first."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    rows = rows.select(norm(F.col("line")).alias("t"), (F.col("item_id") * 1000 + F.col("n") + 1).alias("ord")).where("t <> ''")
-    return distinct_first_seen(rows, "t", "ord")
+    rows = rows.select(norm(F.col("line")).alias("t"), F.struct("item_id", (F.col("n") + 1).cast("long").alias("n")).alias("at")).where("t <> ''")
+    return distinct_first_seen(rows, "t", "at").select("t", "at.item_id", "at.n")
 
 
 def review_output(spark, sf_dir):
@@ -36,34 +38,28 @@ def distinct_first_seen_query(spark, sf_dir):
     return review_input(spark, sf_dir)
 
 
-@query("coverage_missing", f"SELECT ord, t FROM ({INPUT}) WHERE t NOT IN ({OUTPUT}) ORDER BY ord LIMIT 200")
+@query("coverage_missing", f"SELECT item_id, n, t FROM ({INPUT}) WHERE t NOT IN ({OUTPUT}) ORDER BY item_id, n LIMIT 200")
 def coverage_missing(spark, sf_dir, cap: int = 200):
-    """The first input lines that no output line equals; the report lists at most ``cap``."""
-    return missing_values(review_input(spark, sf_dir), review_output(spark, sf_dir), "t").select("ord", "t").orderBy("ord").limit(cap)
+    """The first input lines that no output line equals; the report lists at most ``cap``.
+
+    Output lines are first reduced to those that are asked for, so that no others are shuffled.
+    """
+    wanted = review_input(spark, sf_dir)
+    present = review_output(spark, sf_dir).join(wanted.select("t"), "t", "left_semi")
+    return missing_values(wanted, present, "t").select("item_id", "n", "t").orderBy("item_id", "n").limit(cap)
 
 
 @query(
     "coverage_containers",
-    f"SELECT ord, t FROM ({INPUT}) i WHERE t NOT IN ({OUTPUT}) AND NOT EXISTS (SELECT 1 FROM ({OUTPUT}) o WHERE contains(o.t, i.t))",
+    f"SELECT item_id, n, t FROM ({INPUT}) i WHERE t NOT IN ({OUTPUT}) AND NOT EXISTS (SELECT 1 FROM ({OUTPUT}) o WHERE contains(o.t, i.t))",
 )
 def coverage_containers(spark, sf_dir):
     """Input lines that are neither an output line nor part of one.
 
-    Lines are compared through their first word pairs: a line that holds the text holds its leading pair of words, so an
-    equi-join on that pair finds the only lines to test. Lines of one word are found as words.
+    The input lines are the stated query set; all of them are looked for at once where an output line is read.
     """
-    missing = missing_values(review_input(spark, sf_dir), review_output(spark, sf_dir), "t")
-    words = F.split("t", " ")
-    # the first and last word of a contained text may be cut, so whole words are sure only inside it
-    inner = F.when(F.size(words) >= 4, F.concat_ws(" ", words[1], words[2])).otherwise(F.lit(""))
-    keyed = missing.withColumn("pair", inner)
-    out = review_output(spark, sf_dir).distinct().withColumnRenamed("t", "o")
-    split = out.select("o", F.split("o", " ").alias("w")).where(F.size("w") > 1)
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda x, y: F.concat_ws(" ", x, y))
-    exploded = split.select("o", F.explode(F.array_distinct(pairs)).alias("pair")).join(keyed.select("pair").distinct(), "pair", "left_semi")
-    long_hits = keyed.where("pair <> ''").join(exploded, "pair").where(F.contains("o", F.col("t"))).select("ord")
-    short_hits = keyed.where("pair = ''").join(out, F.contains(F.col("o"), F.col("t"))).select("ord")
-    return missing.join(long_hits.unionByName(short_hits).distinct(), "ord", "left_anti").select("ord", "t")
+    wanted = review_input(spark, sf_dir)
+    return wanted.join(contained_values(wanted, review_output(spark, sf_dir), "t"), "t", "left_anti").select("item_id", "n", "t")
 
 
 @query(
@@ -113,19 +109,23 @@ def rule_sweep(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.explode(F.array_compact(rules)).alias("rule"), "page_id")
 
 
+#: Prefix that the names of a kind must have; kinds without one have raw names.
+PREFIXES = (("STEEL", "Brand#1"), ("COPPER", "Brand#2"), ("BRASS", "Brand#3"))
+
+
 @query(
     "naming_bucket",
     """
-    SELECT p_partkey, CASE WHEN t IS NULL THEN 'raw' WHEN t = p_brand[1:7] THEN 'ok' ELSE 'wrong_prefix' END AS bucket
-    FROM part LEFT JOIN (SELECT DISTINCT p_brand[1:7] AS t FROM part) r ON r.t = p_brand[1:7]
+    SELECT p_partkey, CASE WHEN r.t IS NULL THEN 'raw' WHEN r.t = p_brand[1:7] THEN 'ok' ELSE 'wrong_prefix' END AS bucket
+    FROM part LEFT JOIN (VALUES ('STEEL', 'Brand#1'), ('COPPER', 'Brand#2'), ('BRASS', 'Brand#3')) r(kind, t) ON r.kind = list_last(string_split(p_type, ' '))
     """,
 )
 def naming_bucket(spark, sf_dir):
-    """Names against a table of valid prefixes: ok, wrong prefix, or raw."""
-    part = table(spark, sf_dir, "part").withColumn("own", F.substring("p_brand", 1, 7))
-    valid = part.select(F.col("own").alias("t")).distinct()
+    """Names against a table of the prefix of each kind: ok, wrong prefix, or raw where the kind has none."""
+    rules = spark.createDataFrame(PREFIXES, "kind string, t string")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 1, 7).alias("own"), F.element_at(F.split("p_type", " "), -1).alias("kind"))
     bucket = F.when(F.col("t").isNull(), "raw").when(F.col("t") == F.col("own"), "ok").otherwise("wrong_prefix")
-    return part.join(valid, F.col("own") == F.col("t"), "left").select("p_partkey", bucket.alias("bucket"))
+    return part.join(rules, "kind", "left").select("p_partkey", bucket.alias("bucket"))
 
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"

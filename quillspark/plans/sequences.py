@@ -140,7 +140,16 @@ def heading_parent(spark, sf_dir):
     return headings.select("page", "k", smaller.alias("parent"))
 
 
-@query("level_fold")
+@query(
+    "level_fold",
+    """
+    WITH RECURSIVE h AS (SELECT l_orderkey AS page, list(CAST(floor(l_quantity / 10) AS INT) ORDER BY l_linenumber, floor(l_quantity / 10)) AS h FROM lineitem GROUP BY l_orderkey),
+    r AS (SELECT page, h, 0 AS i, []::INT[] AS keys, []::INT[] AS lv, 0 AS level FROM h UNION ALL
+      SELECT page, h, i + 1, CASE WHEN list_contains(keys, x) THEN keys ELSE list_append(keys, x) END, CASE WHEN list_contains(keys, x) THEN lv ELSE list_append(lv, now) END, now FROM (
+        SELECT *, CASE WHEN list_contains(keys, x) THEN least(lv[list_position(keys, x)], level + 1) ELSE level + 1 END AS now FROM (SELECT *, h[i + 1] AS x FROM r WHERE i < len(h))))
+    SELECT page, i - 1 AS place, h[i] AS size, level FROM r WHERE i > 0
+    """,
+)
 def level_fold(spark, sf_dir):
     """Levels of headings by size: never more than one deeper than the heading before."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity") / 10).cast("int").alias("size")))).alias("h"))
@@ -163,20 +172,17 @@ def neighbourhood_score(spark, sf_dir):
 @query(
     "common_prefix_suffix",
     """
-    WITH p AS (SELECT source, doc_id, len(w) AS n, w FROM (SELECT source, doc_id, string_split(text, ' ') AS w FROM documents)), t AS (SELECT source, count(*) AS docs, min(n) AS shortest FROM p GROUP BY source),
-    e AS (SELECT source, unnest(range(1, least(n, 50) + 1)) AS k, w FROM p), l AS (SELECT source, k, count(DISTINCT w[k]) AS d, count(*) AS m FROM e GROUP BY source, k)
-    SELECT t.source, coalesce(min(l.k) - 1, 50) AS prefix FROM t LEFT JOIN l ON l.source = t.source AND (l.d > 1 OR l.m < t.docs) GROUP BY t.source
+    WITH p AS (SELECT source, doc_id, string_split(text, ' ') AS w FROM documents), t AS (SELECT source, count(*) AS docs, min(len(w)) AS shortest FROM p GROUP BY source),
+    e AS (SELECT source, unnest(w) AS x, generate_subscripts(w, 1) AS k, len(w) AS n FROM p),
+    f AS (SELECT source, k, count(DISTINCT x) AS d, count(*) AS m FROM e GROUP BY source, k), b AS (SELECT source, n - k + 1 AS k, count(DISTINCT x) AS d, count(*) AS m FROM e GROUP BY source, n - k + 1),
+    a AS (SELECT t.source, t.shortest, coalesce((SELECT min(f.k) FROM f WHERE f.source = t.source AND (f.d > 1 OR f.m < t.docs)) - 1, t.shortest) AS prefix,
+      coalesce((SELECT min(b.k) FROM b WHERE b.source = t.source AND (b.d > 1 OR b.m < t.docs)) - 1, t.shortest) AS suffix FROM t)
+    SELECT source, prefix, least(suffix, greatest(shortest - prefix, 0)) AS suffix FROM a
     """,
 )
 def common_prefix_suffix(spark, sf_dir):
-    """How many leading words all texts of a source share; ``common_suffix`` has the other end."""
-    return shared_ends(table(spark, sf_dir, "documents")).select("source", "prefix")
-
-
-@query("common_suffix")
-def common_suffix(spark, sf_dir):
-    """How many words at their ends, behind the shared leading words, all texts of a source share."""
-    return shared_ends(table(spark, sf_dir, "documents")).select("source", "suffix")
+    """How many words all texts of a source share at their beginnings, and behind those at their ends."""
+    return shared_ends(table(spark, sf_dir, "documents"))
 
 
 def shared_ends(docs):
@@ -195,18 +201,32 @@ def shared_ends(docs):
     return ends.select("source", "prefix", F.least("suffix", F.greatest(F.col("shortest") - F.col("prefix"), F.lit(0))).cast("long").alias("suffix"))
 
 
+PAIRS = r"""SELECT conv_id, turn, a, b FROM (SELECT conv_id, turn, w AS a, lead(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, string_split_regex(lower(text), '\s+') AS w FROM conversations)) WHERE b IS NOT NULL"""
+LIS = "list_append(best, 1 + coalesce(list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN v[j] < v[i + 1] THEN best[j] ELSE 0 END)), 0))"
+
+
 @query(
     "unique_anchor_join",
-    """
-    WITH w AS (SELECT conv_id, turn, unnest(string_split(lower(text), ' ')) AS word FROM conversations WHERE turn IN (0, 1)), u AS (SELECT conv_id, turn, word FROM w WHERE word <> '' GROUP BY conv_id, turn, word HAVING count(*) = 1)
-    SELECT a.conv_id, a.word FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.word = b.word AND a.turn = 0 AND b.turn = 1
+    f"""
+    WITH RECURSIVE p AS ({PAIRS}), x AS (SELECT conv_id, turn, unnest(a) AS word, generate_subscripts(a, 1) AS k FROM p), y AS (SELECT conv_id, turn, unnest(b) AS word, generate_subscripts(b, 1) AS k FROM p),
+    u AS (SELECT conv_id, turn, word, min(k) AS k FROM x GROUP BY ALL HAVING count(*) = 1), w AS (SELECT conv_id, turn, word, min(k) AS k FROM y GROUP BY ALL HAVING count(*) = 1),
+    v AS (SELECT u.conv_id, u.turn, list(w.k ORDER BY u.k) AS v FROM u JOIN w ON u.conv_id = w.conv_id AND u.turn = w.turn AND u.word = w.word WHERE u.word <> '' GROUP BY u.conv_id, u.turn),
+    r AS (SELECT conv_id, turn, v, 0 AS i, []::BIGINT[] AS best FROM v UNION ALL SELECT conv_id, turn, v, i + 1, {LIS} FROM r WHERE i < len(v))
+    SELECT conv_id, turn, CAST(len(v) AS BIGINT) AS n_anchors, list_max(best) AS n_ordered FROM r WHERE i = len(v)
     """,
 )
 def unique_anchor_join(spark, sf_dir):
-    """Words that stand exactly once in each of two texts."""
-    words = turns(spark, sf_dir).where("turn IN (0, 1)").select("conv_id", "turn", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
-    once = words.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n")).where("n = 1")
-    return once.where("turn = 0").select("conv_id", "word").join(once.where("turn = 1").select("conv_id", "word"), ["conv_id", "word"])
+    """Words that stand exactly once in a turn and once in the next, and how many of them keep their order."""
+    words = lambda side: pairs.select("conv_id", "turn", F.posexplode(side).alias("k", "word")).where("word <> ''").groupBy("conv_id", "turn", "word").agg(F.min("k").alias("k"), F.count("*").alias("n")).where("n = 1").drop("n")
+    pairs = neighbours(spark, sf_dir)
+    both = words("a").withColumnRenamed("k", "ka").join(words("b").withColumnRenamed("k", "kb"), ["conv_id", "turn", "word"])
+    lists = both.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("ka", "kb"))), lambda x: x["kb"]).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "turn": batch["turn"], "n_anchors": [len(v) for v in batch["v"]], "n_ordered": [sq.lis_length(list(v)) for v in batch["v"]]})
+
+    return lists.mapInPandas(run, "conv_id long, turn long, n_anchors long, n_ordered long")
 
 
 def neighbours(spark, sf_dir):
@@ -225,19 +245,34 @@ def per_pair(spark, sf_dir, name: str, kind: str, fn):
     return neighbours(spark, sf_dir).mapInPandas(run, f"conv_id long, turn long, {name} {kind}")
 
 
-@query("lcs_length")
+LCS = """
+    b AS (SELECT {key}, unnest(b) AS y, generate_subscripts(b, 1) AS j FROM p),
+    r AS (SELECT {key}, 0 AS i, j, {zero} AS v FROM b UNION ALL
+      SELECT {key}, i + 1, j, max(cand) OVER (PARTITION BY {key} ORDER BY j ROWS UNBOUNDED PRECEDING) FROM (
+        SELECT r.*, greatest(r.v, coalesce(lag(r.v) OVER (PARTITION BY {rkey} ORDER BY r.j), 0) + {gain}) AS cand
+        FROM r JOIN p USING ({key}) JOIN b USING ({key}, j) WHERE r.i < len(p.a))),
+    m AS (SELECT {key}, max(v) AS v FROM r GROUP BY ALL)
+    """
+EQUAL = LCS.replace("{zero}", "0::BIGINT").replace("{gain}", "CASE WHEN p.a[r.i + 1] = b.y THEN 1 ELSE 0 END")
+BY_TURN = lambda q: q.replace("{key}", "conv_id, turn").replace("{rkey}", "r.conv_id, r.turn")
+BY_PAIR = lambda q: q.replace("{key}", "conv_id, i0, j0").replace("{rkey}", "r.conv_id, r.i0, r.j0")
+PREFIX = "len(list_filter(range(1, least(length(p.a[r.i + 1]), length(b.y)) + 1), lambda k: p.a[r.i + 1][1:k] = b.y[1:k]))"
+WEIGHTED = LCS.replace("{zero}", "0::DOUBLE").replace("{gain}", f"CASE WHEN {PREFIX} > 1 THEN 2::DOUBLE * {PREFIX} / (length(p.a[r.i + 1]) + length(b.y)) ELSE 0 END")
+
+
+@query("lcs_length", f"WITH RECURSIVE p AS ({PAIRS}), {BY_TURN(EQUAL)} SELECT conv_id, turn, v AS lcs FROM m")
 def lcs_length(spark, sf_dir):
     """Longest common subsequence of the words of neighbouring turns."""
     return per_pair(spark, sf_dir, "lcs", "long", sq.lcs_length)
 
 
-@query("structural_similarity")
+@query("structural_similarity", f"WITH RECURSIVE p AS ({PAIRS}), {BY_TURN(EQUAL)} SELECT conv_id, turn, 2::DOUBLE * v / (len(a) + len(b)) AS similarity FROM m JOIN p USING (conv_id, turn)")
 def structural_similarity(spark, sf_dir):
     """Common subsequence over the mean length."""
     return per_pair(spark, sf_dir, "similarity", "double", sq.similarity)
 
 
-@query("lcs_weighted")
+@query("lcs_weighted", f"WITH RECURSIVE p AS ({PAIRS}), {BY_TURN(WEIGHTED)} SELECT conv_id, turn, round(v, 6) AS score FROM m")
 def lcs_weighted(spark, sf_dir):
     """Weighted alignment of the words of neighbouring turns; words score by their common beginning."""
 
@@ -248,7 +283,13 @@ def lcs_weighted(spark, sf_dir):
     return per_pair(spark, sf_dir, "score", "double", lambda a, b: round(sq.lcs_weighted(a, b, score), 6))
 
 
-@query("score_matrix")
+@query(
+    "score_matrix",
+    rf"""
+    WITH RECURSIVE w AS (SELECT conv_id, turn, string_split_regex(lower(text), '\s+') AS w FROM conversations), p AS (SELECT x.conv_id, x.turn AS i0, y.turn AS j0, x.w AS a, y.w AS b FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.turn < y.turn),
+    {BY_PAIR(EQUAL)} SELECT conv_id, i0 AS i, j0 AS j, round(2::DOUBLE * v / (len(a) + len(b)), 6) AS score FROM m JOIN p USING (conv_id, i0, j0)
+    """,
+)
 def score_matrix(spark, sf_dir):
     """Similarity of every two turns of a conversation; conversations are short."""
     words = F.split(F.lower("text"), "\\s+")
@@ -262,7 +303,14 @@ def score_matrix(spark, sf_dir):
     return left.join(right, "conv_id").where("i < j").mapInPandas(run, "conv_id long, i long, j long, score double")
 
 
-@query("lis_length")
+@query(
+    "lis_length",
+    f"""
+    WITH RECURSIVE v AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
+    r AS (SELECT user_id, v, 0 AS i, []::BIGINT[] AS best FROM v UNION ALL SELECT user_id, v, i + 1, {LIS} FROM r WHERE i < len(v))
+    SELECT user_id, list_max(best) AS lis FROM r WHERE i = len(v)
+    """,
+)
 def lis_length(spark, sf_dir):
     """Longest increasing subsequence of each user's event values."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"]).alias("v"))
@@ -274,6 +322,18 @@ def lis_length(spark, sf_dir):
     return rows.mapInPandas(run, "user_id long, lis long")
 
 
+@query("anchored_segments")
+def anchored_segments(spark, sf_dir):
+    """Neighbouring turns aligned between the words that anchor both: segments, and words aligned in all of them."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sq.anchored_alignment(list(a), list(b)) for a, b in zip(batch["a"], batch["b"])]
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "turn": batch["turn"], "n_segments": [n for n, _ in found], "n_aligned": [len(m) for _, m in found]})
+
+    return neighbours(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, n_segments long, n_aligned long")
+
+
 @query("common_runs")
 def common_runs(spark, sf_dir):
     """Runs of three or more words that all turns of a conversation hold in order."""
@@ -287,7 +347,18 @@ def common_runs(spark, sf_dir):
     return rows.mapInPandas(run, "conv_id long, n_runs long, longest long")
 
 
-@query("set_cover")
+@query(
+    "set_cover",
+    """
+    WITH RECURSIVE b AS (SELECT a || '-' || z AS name, range(a, z + 1) AS s, row_number() OVER (ORDER BY z - a DESC, a || '-' || z) AS rank FROM range(1, 8) t(a), range(1, 8) u(z) WHERE z BETWEEN a AND least(a + 2, 7)),
+    o AS (SELECT l_orderkey AS row_id, list_sort(list(DISTINCT l_linenumber::BIGINT)) AS s FROM lineitem GROUP BY l_orderkey),
+    r AS (SELECT DISTINCT s, []::BIGINT[] AS done, []::BIGINT[] AS ranks, []::VARCHAR[] AS names FROM o UNION ALL
+      SELECT r.s, list_concat(r.done, b.s), list_append(r.ranks, b.rank), list_append(r.names, b.name) FROM r JOIN b ON list_contains(b.s, list_min(list_filter(r.s, lambda x: NOT list_contains(r.done, x))))
+        AND len(list_intersect(b.s, r.s)) = len(b.s) AND len(list_intersect(b.s, r.done)) = 0),
+    k AS (SELECT s, names FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY len(ranks), ranks) AS n FROM r WHERE len(done) = len(s)) WHERE n = 1)
+    SELECT row_id, array_to_string(list_sort(k.names), ',') AS cover FROM o LEFT JOIN k ON o.s = k.s
+    """,
+)
 def set_cover(spark, sf_dir):
     """For each order the fewest disjoint bundles that make up its line numbers; null where none do."""
     bundles = {f"{a}-{b}": frozenset(range(a, b + 1)) for a in range(1, 8) for b in range(a, min(a + 2, 7) + 1)}
@@ -301,7 +372,14 @@ def set_cover(spark, sf_dir):
     return rows.mapInPandas(run, "row_id long, cover string")
 
 
-@query("state_merge")
+@query(
+    "state_merge",
+    r"""
+    WITH w AS (SELECT DISTINCT role, conv_id, word FROM (SELECT role, conv_id, unnest(string_split_regex(lower(text), '\s+')) AS word FROM conversations)),
+    n AS (SELECT role, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT role, count(DISTINCT conv_id) AS m FROM conversations GROUP BY role)
+    SELECT role, count(*) FILTER (WHERE n = m) AS hoisted, count(*) FILTER (WHERE n < m) AS conditional FROM n JOIN s USING (role) GROUP BY role
+    """,
+)
 def state_merge(spark, sf_dir):
     """States of a role path merged: words that every state has are hoisted, the rest stays conditional."""
     words = turns(spark, sf_dir).select("role", "conv_id", F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+"))).alias("word"))
@@ -310,9 +388,16 @@ def state_merge(spark, sf_dir):
     return counts.join(states, "role").groupBy("role").agg(F.count(F.when(F.col("n") == F.col("n_states"), 1)).alias("hoisted"), F.count(F.when(F.col("n") < F.col("n_states"), 1)).alias("conditional"))
 
 
-@query("lang_guess")
+@query(
+    "lang_guess",
+    r"""
+    SELECT doc_id, list_sort([{'n': len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'den', 'von', 'ist'))), 'l': 'de'}, {'n': len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in', 'is', 'that'))), 'l': 'en'},
+      {'n': len(list_filter(w, lambda x: x IN ('de', 'la', 'que', 'el', 'en', 'los', 'las'))), 'l': 'es'}, {'n': len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'des', 'du', 'une', 'est'))), 'l': 'fr'}], 'DESC')[1].l AS guess
+    FROM (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}]+') AS w FROM documents)
+    """,
+)
 def lang_guess(spark, sf_dir):
-    """Language of visible text by counts of frequent words; ties go to the first in order."""
+    """Language of visible text by counts of frequent words; ties go to the last in order."""
     common = {"de": "der die das und den von ist", "en": "the and of to in is that", "es": "de la que el en los las", "fr": "le la les des du une est"}
     words = F.split(F.lower("text"), "[^\\p{L}]+")
     scores = []
@@ -325,7 +410,13 @@ def _in(listed: list[str]):
     return lambda w: w.isin(listed)
 
 
-@query("uuid5")
+@query(
+    "uuid5",
+    """
+    SELECT page_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(instr('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS id
+    FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+    """,
+)
 def uuid5(spark, sf_dir):
     """Version-5 identifiers of page addresses in a fixed namespace."""
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.operators.compare import both_ways
+from quillspark.operators.sequences import number_rows
 from quillspark.plans.registry import query
 from quillspark.session import table
 
@@ -244,41 +244,50 @@ def changed_values(spark, sf_dir):
     return rows.select("id", now.alias("now"), before.alias("before")).where(F.col("now") != F.col("before"))
 
 
+#: Labels by word of a type, in the order in which they are tried; what a user would hold as a table of its own.
+DICTIONARY = (("exact", "ECONOMY BRUSHED STEEL", "brushed"), ("word", "STEEL", "metal"), ("word", "COPPER", "wire"))
+
+
 @query(
     "fallback_lookup",
     """
-    SELECT p.p_partkey, coalesce(d.v, f.v, 'fd_' || p.p_name) AS label FROM part p
-    LEFT JOIN (SELECT DISTINCT 'Brand#1' AS k, 'first' AS v) d ON contains(p.p_brand, d.k) LEFT JOIN (SELECT 'STEEL' AS k, 'metal' AS v) f ON contains(p.p_type, f.k)
+    WITH d AS (SELECT * FROM (VALUES ('exact', 'ECONOMY BRUSHED STEEL', 'brushed'), ('word', 'STEEL', 'metal'), ('word', 'COPPER', 'wire')) d(how, k, v))
+    SELECT p_partkey, coalesce((SELECT v FROM d WHERE how = 'exact' AND k = p_type), (SELECT v FROM d WHERE how = 'word' AND k = list_last(string_split(p_type, ' '))), 'fd_' || p_name) AS label FROM part
     """,
 )
 def fallback_lookup(spark, sf_dir):
-    """A label by the first dictionary key that matches, else by a fallback, else made up."""
-    label = F.when(F.contains("p_brand", F.lit("Brand#1")), "first").when(F.contains("p_type", F.lit("STEEL")), "metal").otherwise(F.concat(F.lit("fd_"), "p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+    """A label by the whole key in a dictionary, else by its last word, else made up; both are joins with the dictionary."""
+    words = spark.createDataFrame(DICTIONARY, "how string, k string, v string")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_type").alias("whole"), F.element_at(F.split("p_type", " "), -1).alias("word"))
+    exact = words.where("how = 'exact'").select(F.col("k").alias("whole"), F.col("v").alias("first"))
+    near = words.where("how = 'word'").select(F.col("k").alias("word"), F.col("v").alias("second"))
+    found = part.join(exact, "whole", "left").join(near, "word", "left")
+    return found.select("p_partkey", F.coalesce("first", "second", F.concat(F.lit("fd_"), "p_name")).alias("label"))
 
 
-SETS = "SELECT l_orderkey AS k, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem WHERE l_orderkey < 400 GROUP BY l_orderkey"
+SETS = "SELECT l_orderkey AS k, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem GROUP BY l_orderkey"
 
 
 @query(
     "best_subset_match",
     f"""
-    WITH s AS ({SETS}), p AS (SELECT k, s FROM s WHERE k % 2 = 0), t AS (SELECT k, s FROM s WHERE k % 2 = 1 AND k < 60)
-    SELECT panel, type, overlap FROM (SELECT p.k AS panel, t.k AS type, len(list_intersect(p.s, t.s)) AS overlap, row_number() OVER (PARTITION BY p.k ORDER BY len(list_intersect(p.s, t.s)) DESC, len(t.s) DESC, t.k) AS rn
-      FROM p, t WHERE len(list_intersect(p.s, t.s)) * 2 >= len(p.s)) WHERE rn = 1
+    WITH s AS ({SETS}), p AS (SELECT DISTINCT s FROM s WHERE k % 2 = 0), t AS (SELECT s, min(k) AS k FROM s WHERE k % 2 = 1 GROUP BY s),
+         m AS (SELECT p.s, t.k AS type, len(list_intersect(p.s, t.s)) AS overlap, row_number() OVER (PARTITION BY p.s ORDER BY len(list_intersect(p.s, t.s)) DESC, len(t.s) DESC, t.k) AS rn FROM p, t WHERE len(list_intersect(p.s, t.s)) * 2 >= len(p.s))
+    SELECT s.k AS panel, m.type, m.overlap FROM s JOIN m ON m.s = s.s AND m.rn = 1 WHERE s.k % 2 = 0
     """,
 )
 def best_subset_match(spark, sf_dir):
     """For each panel the type that shares most of its elements, at least half; larger types, then smaller ids, win ties.
 
-    Pairs come from an equi-join on elements, not from all panels with all types.
+    Panels, and types, of the same elements are matched once: pairs are distinct sets that share an element.
     """
-    elements = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("e")).distinct()
-    sizes = elements.groupBy("k").agg(F.count("*").alias("n"))
-    panels, types = elements.where("k % 2 = 0").withColumnRenamed("k", "panel"), elements.where("k % 2 = 1 AND k < 60").withColumnRenamed("k", "type")
-    overlap = panels.join(types, "e").groupBy("panel", "type").agg(F.count("*").alias("overlap"))
-    sized = overlap.join(sizes.toDF("panel", "np"), "panel").join(sizes.toDF("type", "nt"), "type").where("overlap * 2 >= np")
-    return sized.groupBy("panel").agg(F.max(F.struct("overlap", "nt", -F.col("type"))).alias("m")).select("panel", (-F.col("m.col3")).alias("type"), "m.overlap")
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("s"))
+    panels, types = sets.where("k % 2 = 0"), sets.where("k % 2 = 1").groupBy("s").agg(F.min("k").alias("type"))
+    left = panels.select("s").distinct().select("s", F.explode("s").alias("e"))
+    right = types.select("type", F.size("s").alias("nt"), F.explode("s").alias("e"))
+    overlap = left.join(right, "e").groupBy("s", "type", "nt").agg(F.count("*").alias("overlap")).where(F.col("overlap") * 2 >= F.size("s"))
+    best = overlap.groupBy("s").agg(F.max(F.struct("overlap", "nt", (-F.col("type")).alias("low"))).alias("m"))
+    return panels.join(best, "s").select(F.col("k").alias("panel"), (-F.col("m.low")).alias("type"), "m.overlap")
 
 
 @query("relational_division", "SELECT l_orderkey AS row_id FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3")
@@ -319,17 +328,33 @@ def nearest_scope(spark, sf_dir):
     return found.where("target IS NOT NULL")
 
 
-@query("path_replace", "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'replaced' ELSE lang END AS value, row_number() OVER (ORDER BY doc_id) AS ord FROM documents WHERE doc_id % 10 <> 7 AND doc_id < 500")
+@query("path_replace", "SELECT source, doc_id, CASE WHEN doc_id % 10 = 3 THEN 'replaced' ELSE lang END AS value, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents WHERE doc_id % 10 <> 7")
 def path_replace(spark, sf_dir):
-    """Nodes replaced and removed by key in one batch, then renumbered.
+    """Nodes of each source's tree replaced and removed by key in one batch, then renumbered."""
+    ensure_checkpoint_dir(spark)
+    nodes = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("lang").alias("value"))
+    edits = nodes.where("doc_id % 10 IN (3, 7)").select("doc_id", F.when(F.col("doc_id") % 10 == 7, "remove").otherwise("replace").alias("edit"))
+    left = nodes.join(edits, "doc_id", "left").where("edit IS NULL OR edit <> 'remove'")
+    made = left.select("source", "doc_id", F.when(F.col("edit") == "replace", "replaced").otherwise(F.col("value")).alias("value"))
+    return number_rows(made, ["source"], ["doc_id"], "ord").select("source", "doc_id", "value", "ord")
+
 
-    The order is that of one document's nodes, here below id 500: a tree is small, and its numbering is one task's work.
+@query(
+    "hoist_common",
     """
-    nodes = table(spark, sf_dir, "documents").where("doc_id < 500").select("doc_id", F.col("lang").alias("value"))
-    removed = nodes.where("doc_id % 10 = 7").select("doc_id")
-    new = nodes.where("doc_id % 10 = 3").select("doc_id", F.lit("replaced").alias("value"))
-    left = nodes.join(removed, "doc_id", "left_anti").join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-    return left.withColumn("ord", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    WITH h AS (SELECT DISTINCT 'all' AS root, r_name AS region, n_name AS nation, c_mktsegment AS v FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    b AS (SELECT region, count(DISTINCT nation) AS m FROM h GROUP BY region), r AS (SELECT region, v FROM h JOIN b USING (region) GROUP BY region, v, m HAVING count(*) = m),
+    t AS (SELECT v FROM r GROUP BY v HAVING count(*) = (SELECT count(*) FROM b))
+    SELECT 'nation' AS level, 'all/' || region || '/' || nation AS node, v AS segment FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.region = h.region AND r.v = h.v)
+    UNION ALL SELECT 'region', 'all/' || region, v FROM r WHERE v NOT IN (SELECT v FROM t) UNION ALL SELECT 'root', 'all', v FROM t
+    """,
+)
+def hoist_common(spark, sf_dir):
+    """Market segments that all nations of a region have moved up to it, and those that all regions then have to the root."""
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+    nation = table(spark, sf_dir, "nation").join(region, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"), "region")
+    held = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("segment")).distinct().join(nation, "c_nationkey")
+    return graph.hoist(held.withColumn("root", F.lit("all")), ["root", "region", "nation"], "segment")
 
 
 @query("structural_hash", "SELECT md5(string_agg(role, '|' ORDER BY turn)) AS shape, count(*) AS n_turns, conv_id FROM conversations GROUP BY conv_id")
@@ -348,15 +373,17 @@ def map_merge(spark, sf_dir):
     return sides.select("k", merged["x"].alias("label"))
 
 
-@query("merge_duplicates", "SELECT o_orderpriority AS condition, min(o_orderkey) AS first_at, list_sort(list(DISTINCT o_custkey)) AS content FROM orders WHERE o_orderkey < 300 GROUP BY o_orderpriority")
+@query("merge_duplicates", "SELECT o_orderpriority || strftime(o_orderdate, ' %Y-%m-%d') AS condition, min(o_orderkey) AS first_at, list_sort(list(DISTINCT o_custkey)) AS content FROM orders GROUP BY 1")
 def merge_duplicates(spark, sf_dir):
-    """Conditionals with the same condition merged at the first one's place."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 300").groupBy(F.col("o_orderpriority").alias("condition"), "o_orderkey").agg(F.collect_set("o_custkey").alias("content"))
-    return rows.groupBy("condition").agg(F.min("o_orderkey").alias("first_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("content")))).alias("content"))
+    """Conditionals with the same condition (a priority on a day) merged at the first one's place."""
+    condition = F.concat("o_orderpriority", F.date_format("o_orderdate", " yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "orders").groupBy(condition.alias("condition"))
+    return rows.agg(F.min("o_orderkey").alias("first_at"), F.array_sort(F.collect_set("o_custkey")).alias("content"))
 
 
 @query("unique_suffix", "SELECT p_partkey, CASE WHEN rn = 1 THEN p_brand ELSE p_brand || rn END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)")
 def unique_suffix(spark, sf_dir):
     """Names made unique by the suffixes 2, 3, …"""
-    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", k.alias("k")).select("p_partkey", F.when(F.col("k") == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.col("k").cast("string"))).alias("name"))
+    ensure_checkpoint_dir(spark)
+    part = number_rows(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], "k")
+    return part.select("p_partkey", F.when(F.col("k") == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.col("k").cast("string"))).alias("name"))

@@ -35,10 +35,30 @@ def session_windows(spark, sf_dir):
     return sw.session_counts(events(spark, sf_dir)).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
 
 
-@query("watermark_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query("watermark_dedup", "SELECT event_id, user_id, event_type FROM events")
 def watermark_dedup(spark, sf_dir):
-    """The first event of each user and kind."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """A stream in which every event arrives twice, each event kept once: the streaming operator over all that is there."""
+    twice = sw.event_stream(spark, sf_dir, pattern="events.parquet").unionByName(sw.event_stream(spark, sf_dir, pattern="events.parquet"))
+    return sw.run_to_shared(sw.first_seen(twice).select("event_id", "user_id", "event_type"))
+
+
+@query(
+    "sliding_window",
+    """
+    SELECT strftime(begins, '%Y-%m-%d %H:%M') AS begins, event_type, count(*) AS n FROM (
+      SELECT event_type, unnest([date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6 - k) FOR k IN range(4)]) AS begins FROM events) GROUP BY ALL
+    """,
+)
+def sliding_window(spark, sf_dir):
+    """Counts per kind in windows of a day that begin every six hours."""
+    counts = sw.sliding_counts(events(spark, sf_dir))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("begins"), "event_type", "n")
+
+
+@query("batch_upserts", "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type")
+def batch_upserts(spark, sf_dir):
+    """Totals per kind kept up to date from a stream: each micro-batch is merged into the table of totals."""
+    return sw.run_upserts(sw.event_stream(spark, sf_dir, pattern="events.parquet"))
 
 
 @query(
