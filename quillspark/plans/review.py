@@ -110,20 +110,20 @@ def rule_sweep(spark, sf_dir):
 
 
 #: Prefix that the names of a kind must have; kinds without one have raw names.
-PREFIXES = (("STEEL", "Brand#1"), ("COPPER", "Brand#2"), ("BRASS", "Brand#3"))
+PREFIXES = (("MEDIUM", "Brand#1"), ("LARGE", "Brand#2"), ("PROMO", "Brand#1"))
 
 
 @query(
     "naming_bucket",
     """
     SELECT p_partkey, CASE WHEN r.t IS NULL THEN 'raw' WHEN r.t = p_brand[1:7] THEN 'ok' ELSE 'wrong_prefix' END AS bucket
-    FROM part LEFT JOIN (VALUES ('STEEL', 'Brand#1'), ('COPPER', 'Brand#2'), ('BRASS', 'Brand#3')) r(kind, t) ON r.kind = list_last(string_split(p_type, ' '))
+    FROM part LEFT JOIN (VALUES ('MEDIUM', 'Brand#1'), ('LARGE', 'Brand#2'), ('PROMO', 'Brand#1')) r(kind, t) ON r.kind = p_type
     """,
 )
 def naming_bucket(spark, sf_dir):
     """Names against a table of the prefix of each kind: ok, wrong prefix, or raw where the kind has none."""
     rules = spark.createDataFrame(PREFIXES, "kind string, t string")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 1, 7).alias("own"), F.element_at(F.split("p_type", " "), -1).alias("kind"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 1, 7).alias("own"), F.col("p_type").alias("kind"))
     bucket = F.when(F.col("t").isNull(), "raw").when(F.col("t") == F.col("own"), "ok").otherwise("wrong_prefix")
     return part.join(rules, "kind", "left").select("p_partkey", bucket.alias("bucket"))
 

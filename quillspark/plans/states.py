@@ -244,24 +244,24 @@ def changed_values(spark, sf_dir):
     return rows.select("id", now.alias("now"), before.alias("before")).where(F.col("now") != F.col("before"))
 
 
-#: Labels by word of a type, in the order in which they are tried; what a user would hold as a table of its own.
-DICTIONARY = (("exact", "ECONOMY BRUSHED STEEL", "brushed"), ("word", "STEEL", "metal"), ("word", "COPPER", "wire"))
+#: Labels by type, and by brand where the type has none; what a user would hold as a table of its own.
+DICTIONARY = (("type", "ECONOMY", "budget"), ("brand", "Brand#3", "third"), ("brand", "Brand#4", "fourth"))
 
 
 @query(
     "fallback_lookup",
     """
-    WITH d AS (SELECT * FROM (VALUES ('exact', 'ECONOMY BRUSHED STEEL', 'brushed'), ('word', 'STEEL', 'metal'), ('word', 'COPPER', 'wire')) d(how, k, v))
-    SELECT p_partkey, coalesce((SELECT v FROM d WHERE how = 'exact' AND k = p_type), (SELECT v FROM d WHERE how = 'word' AND k = list_last(string_split(p_type, ' '))), 'fd_' || p_name) AS label FROM part
+    WITH d AS (SELECT * FROM (VALUES ('type', 'ECONOMY', 'budget'), ('brand', 'Brand#3', 'third'), ('brand', 'Brand#4', 'fourth')) d(how, k, v))
+    SELECT p_partkey, coalesce((SELECT v FROM d WHERE how = 'type' AND k = p_type), (SELECT v FROM d WHERE how = 'brand' AND k = p_brand), 'fd_' || p_name) AS label FROM part
     """,
 )
 def fallback_lookup(spark, sf_dir):
-    """A label by the whole key in a dictionary, else by its last word, else made up; both are joins with the dictionary."""
+    """A label by type in a dictionary, else by brand, else made up; both are joins with the dictionary."""
     words = spark.createDataFrame(DICTIONARY, "how string, k string, v string")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_type").alias("whole"), F.element_at(F.split("p_type", " "), -1).alias("word"))
-    exact = words.where("how = 'exact'").select(F.col("k").alias("whole"), F.col("v").alias("first"))
-    near = words.where("how = 'word'").select(F.col("k").alias("word"), F.col("v").alias("second"))
-    found = part.join(exact, "whole", "left").join(near, "word", "left")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    first = words.where("how = 'type'").select(F.col("k").alias("p_type"), F.col("v").alias("first"))
+    second = words.where("how = 'brand'").select(F.col("k").alias("p_brand"), F.col("v").alias("second"))
+    found = part.join(first, "p_type", "left").join(second, "p_brand", "left")
     return found.select("p_partkey", F.coalesce("first", "second", F.concat(F.lit("fd_"), "p_name")).alias("label"))
 
 
