@@ -78,7 +78,7 @@ def _maximal(turns: DataFrame, ranges: DataFrame, block_turns: int) -> DataFrame
     brief = turns.select("conv_id", "id", *[F.xxhash64(F.lit(k), "role", F.lit("\0"), "text").alias(f"t{k}") for k in (1, 2)])
     hashes = cut(rolling(_placed(brief, ranges), block_turns))
     whole = hashes.where("place = n_turns").groupBy("h1", "h2", "n_turns").agg(F.min("conv_id").alias("conv_id"))
-    inner = hashes.where("place < n_turns").select("h1", "h2", F.col("place").alias("n_turns"))
+    inner = hashes.where("place < n_turns").select("h1", "h2", F.col("place").alias("n_turns")).distinct()  # beginnings that many share are met once
     return whole.join(inner, ["h1", "h2", "n_turns"], "left_anti").select("conv_id", "n_turns")
 
 
