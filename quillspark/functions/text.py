@@ -117,6 +117,24 @@ def pascal_case(text: Column) -> Column:
     return F.when(F.size(words) == 0, "Unknown").otherwise(F.array_join(F.transform(words, one), ""))
 
 
+def truncate_camel(text: Column, most: int) -> Column:
+    """Names of over ``most`` characters cut before the last capital within reach, or at ``most`` without one."""
+    head = F.substring(text, 1, most)
+    short = F.regexp_extract(head, "^(.+)[A-Z]", 1)
+    return F.when(F.length(text) <= most, text).when(short != "", short).otherwise(head)
+
+
+def is_single_sentence(text: Column) -> Column:
+    """Not empty and at most one sentence: one end mark only at the end, or several of which none but the last has a
+    capitalised word behind it. Marks beside digits, those of a short leading letter label and those between capitals
+    of an abbreviation end nothing."""
+    body = F.regexp_replace(F.trim(text), "^\\p{L}{1,4}\\.", "")
+    body = F.regexp_replace(F.regexp_replace(body, "([0-9])[.!?]", "$1,"), "[.!?]([0-9])", ",$1")
+    ends = F.regexp_count(body, F.lit("[.!?]"))
+    one = F.when(ends == 0, True).when(ends == 1, body.rlike("[.!?]\\z"))
+    return (F.trim(text) != "") & one.otherwise(~body.rlike("(?s)[.!?]\\s*\\p{Lu}+([!?]|[^.\\p{Lu}].*[.!?])"))
+
+
 def strip_lang_suffix(text: Column) -> Column:
     """A language suffix in one case removed."""
     return F.regexp_replace(text, "_(DE|EN|FR|IT|ES|de|en|fr|it|es)$", "")

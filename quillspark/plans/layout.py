@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import geometry as geo
 from quillspark.operators import layout as lo
 from quillspark.plans.registry import query
 from quillspark.session import table
@@ -196,3 +197,75 @@ def repeated_lines(spark, sf_dir, share: float = 0.05):
     pages = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("pages"))
     counts = rows.groupBy("source", F.md5("line").alias("line")).agg(F.count("*").alias("n"))  # a line stands once per document by now
     return counts.join(pages, "source").where((F.col("n") >= F.col("pages") * share) & (F.col("n") > 1)).select("source", "line", "n")
+
+
+BOXES = "SELECT l_orderkey AS page, l_linenumber::INT AS node, (l_discount * 1000)::DOUBLE AS x, l_quantity::DOUBLE AS y, (l_tax * 500 + 5)::DOUBLE AS w, (l_linenumber * 4)::DOUBLE AS h FROM lineitem"
+
+
+def boxes(spark, sf_dir):
+    """Nodes of a page as boxes."""
+    x, w, h = F.col("l_discount") * 1000, F.col("l_tax") * 500 + 5, F.col("l_linenumber") * 4
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("node"), *[v.cast("double").alias(n) for v, n in ((x, "x"), (F.col("l_quantity"), "y"), (w, "w"), (h, "h"))])
+
+
+@query(
+    "box_relations",
+    f"""
+    WITH n AS ({BOXES}), p AS (SELECT a.page, a.node, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS \"by\", b.w AS bw, b.h AS bh FROM n a JOIN n b ON a.page = b.page AND b.node = a.node + 1)
+    SELECT page, node, CASE WHEN bx >= ax + aw THEN round(bx - (ax + aw), 6) END AS gap_x, CASE WHEN \"by\" >= ay + ah THEN round(\"by\" - (ay + ah), 6) END AS gap_y,
+      abs((ay + ah / 2) - (\"by\" + bh / 2)) <= greatest(ah, bh) / 2 + 1 AS same_line, ax + aw >= bx AND ax <= bx + bw AS overlap_x, ay + ah >= \"by\" AND ay <= \"by\" + bh AS overlap_y,
+      ay + ah <= \"by\" AS above, \"by\" + bh <= ay AS below, ax + aw <= bx AS left_of, bx + bw <= ax AS right_of,
+      round(CASE WHEN least(ax + aw, bx + bw) > greatest(ax, bx) AND least(ay + ah, \"by\" + bh) > greatest(ay, \"by\") THEN (least(ax + aw, bx + bw) - greatest(ax, bx)) * (least(ay + ah, \"by\" + bh) - greatest(ay, \"by\")) / (bw * bh) ELSE 0 END, 6) AS inside,
+      round((greatest(ax + aw, bx + bw) - least(ax, bx)) * (greatest(ay + ah, \"by\" + bh) - least(ay, \"by\")), 4) AS union_area, greatest(aw, ah) / least(aw, ah) - 1 <= 0.25 AS square, aw <= 20 AND ah <= 20 AS small FROM p
+    """.replace('\\"', '"'),
+)
+def box_relations(spark, sf_dir):
+    """How each box of a page stands to the next."""
+    nodes = boxes(spark, sf_dir)
+    first = nodes.select("page", "node", F.struct("x", "y", "w", "h").alias("a"))
+    second = nodes.select("page", (F.col("node") - 1).alias("node"), F.struct("x", "y", "w", "h").alias("b"))
+    a, b = geo.Box.of(F.col("a")), geo.Box.of(F.col("b"))
+    around = geo.union(a, b)
+    found = {
+        "gap_x": F.round(geo.gap(a, b, "x"), 6), "gap_y": F.round(geo.gap(a, b, "y"), 6), "same_line": geo.same_line(a, b, 1.0),
+        "overlap_x": geo.overlaps(a, b, "x"), "overlap_y": geo.overlaps(a, b, "y"), "above": geo.before(a, b, "y"), "below": geo.before(b, a, "y"),
+        "left_of": geo.before(a, b, "x"), "right_of": geo.before(b, a, "x"), "inside": F.round(geo.share_inside(a, b), 6),
+        "union_area": F.round(around.w * around.h, 4), "square": geo.is_square(a, 0.25), "small": geo.fits(a, 20),
+    }
+    return first.join(second, ["page", "node"]).select("page", "node", *[c.alias(n) for n, c in found.items()])
+
+
+SIDES = ("above", "below", "left", "right")
+
+
+@query(
+    "label_by_side",
+    f"""
+    WITH n AS ({BOXES}), p AS (SELECT f.page, f.node AS field, l.node AS label, f.x AS fx, f.y AS fy, f.w AS fw, f.h AS fh, l.x AS lx, l.y AS ly, l.w AS lw, l.h AS lh FROM n f JOIN n l ON f.page = l.page AND f.node % 2 = 0 AND l.node % 2 = 1),
+    c AS (SELECT page, field, label, fx + fw >= lx - 2 AND fx <= lx + lw + 2 AS col, abs((fy + fh / 2) - (ly + lh / 2)) <= greatest(fh, lh) / 2 + 2 AS line,
+      fy - (ly + lh) AS up, ly - (fy + fh) AS down, fx - (lx + lw) AS l, lx - (fx + fw) AS r, (fx + fw / 2) - (lx + lw / 2) AS mx, (fy + fh / 2) - (ly + lh / 2) AS my FROM p),
+    s AS (SELECT page, field, label, 'above' AS side, CASE WHEN up >= 0 THEN up WHEN -up <= 2 AND my > 0 THEN 0 END AS gap FROM c WHERE col
+      UNION ALL SELECT page, field, label, 'below', CASE WHEN down >= 0 THEN down WHEN -down <= 2 AND my < 0 THEN 0 END FROM c WHERE col
+      UNION ALL SELECT page, field, label, 'left', CASE WHEN l >= 0 THEN l WHEN -l <= 2 AND mx > 0 THEN 0 END FROM c WHERE line
+      UNION ALL SELECT page, field, label, 'right', CASE WHEN r >= 0 THEN r WHEN -r <= 2 AND mx < 0 THEN 0 END FROM c WHERE line)
+    SELECT page, field, side, label, round(gap, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY page, field, side ORDER BY gap, label) AS k FROM s WHERE gap <= 30) WHERE k = 1
+    """,
+)
+def label_by_side(spark, sf_dir, most: float = 30.0, tolerance: float = 2.0):
+    """The nearest label of each field on each of four sides; the smaller number wins a tie.
+
+    The labels of a page stand in one array beside its fields, so no pair becomes a row.
+    """
+    nodes = boxes(spark, sf_dir).select("page", "node", F.struct("node", "x", "y", "w", "h").alias("box"))
+    fields, labels = (F.array_sort(F.collect_list(F.when(F.col("node") % 2 == k, F.col("box")))).alias(n) for k, n in ((0, "fields"), (1, "labels")))
+    pages = nodes.groupBy("page").agg(fields, labels).where("size(fields) > 0 AND size(labels) > 0").select("page", F.explode("fields").alias("f"), "labels")
+
+    def nearest(side):
+        def one(label):
+            return F.struct(geo.beside(geo.Box.of(F.col("f")), geo.Box.of(label), side, most, tolerance).alias("gap"), label["node"].alias("label"))
+
+        return F.struct(F.lit(side).alias("side"), F.array_min(F.filter(F.transform("labels", one), lambda c: c["gap"].isNotNull())).alias("m"))
+
+    found = pages.select("page", F.col("f.node").alias("field"), F.explode(F.array(*map(nearest, SIDES))).alias("s")).where("s.m IS NOT NULL")
+    found = found.groupBy("page", "field", "s.side").agg(F.min("s.m").alias("m"))  # fields that share a number are one
+    return found.select("page", "field", "side", "m.label", F.round("m.gap", 6).alias("gap"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import geometry as geo
 from quillspark.functions import text as tx
 from quillspark.plans.registry import query
 from quillspark.session import table
@@ -308,3 +309,34 @@ def array_exists(spark, sf_dir):
     """Whether a page's tags hold a given one."""
     tags = F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.exists(tags, lambda t: t == "table").alias("has_table"))
+
+
+@query(
+    "single_sentence_lines",
+    rf"""
+    WITH b AS (SELECT doc_id, trim(line) AS t, regexp_replace(regexp_replace(regexp_replace(trim(line), '^\p{{L}}{{1,4}}\.', ''), '([0-9])[.!?]', '\1,', 'g'), '[.!?]([0-9])', ',\1', 'g') AS b FROM ({LINES}))
+    SELECT doc_id, count(*) AS n_lines FROM b WHERE t <> '' AND CASE len(regexp_extract_all(b, '[.!?]')) WHEN 0 THEN true WHEN 1 THEN regexp_matches(b, '[.!?]\z')
+      ELSE NOT regexp_matches(b, '(?s)[.!?]\s*\p{{Lu}}+([!?]|[^.\p{{Lu}}].*[.!?])') END GROUP BY doc_id
+    """,
+)
+def single_sentence_lines(spark, sf_dir):
+    """Lines of each document that hold at most one sentence."""
+    return lines(spark, sf_dir).where(tx.is_single_sentence(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+PASCAL = "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split_regex(p_type || ' ' || p_brand, '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: CASE WHEN x = upper(x) THEN x ELSE upper(x[1]) || lower(x[2:]) END), '') AS s FROM part"
+
+
+@query("truncate_name", f"SELECT p_partkey, CASE WHEN length(s) <= 9 THEN s WHEN regexp_matches(s[1:9], '^.+[A-Z]') THEN regexp_extract(s[1:9], '^(.+)[A-Z]', 1) ELSE s[1:9] END AS short FROM ({PASCAL})")
+def truncate_name(spark, sf_dir, most: int = 9):
+    """Camel-case names cut at a word."""
+    name = tx.pascal_case(F.concat_ws(" ", "p_type", "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.truncate_camel(name, most).alias("short"))
+
+
+@query("ink_to_rgb", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round((1 - {v}::DOUBLE) * (1 - l_tax::DOUBLE), 6) AS {n}" for v, n in (("l_discount", "red"), ("(l_discount / 2)", "green"), ("(l_tax * 2)", "blue"))) + " FROM lineitem")
+def ink_to_rgb(spark, sf_dir):
+    """Colours of four inks as red, green and blue."""
+    c, k = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    colours = [F.round(v, 6).alias(n) for v, n in zip(geo.rgb(c, c / 2, k * 2, k), ("red", "green", "blue"))]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *colours)
