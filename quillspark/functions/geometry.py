@@ -99,8 +99,8 @@ def union(a: Box, b: Box) -> Box:
 
 
 def is_square(a: Box, tolerance: float) -> Column:
-    """Sides whose ratio is 1 within the tolerance; not for a box without extent."""
-    return F.when((a.w == 0) | (a.h == 0), False).otherwise(F.greatest(a.w, a.h) / F.when((a.w != 0) & (a.h != 0), F.least(a.w, a.h)) - 1 <= tolerance)
+    """Sides whose ratio is 1 within the tolerance, without a division; not for a box without extent."""
+    return (a.w != 0) & (a.h != 0) & (F.greatest(a.w, a.h) <= F.least(a.w, a.h) * (1 + tolerance))
 
 
 def fits(a: Box, most: float) -> Column:

@@ -269,3 +269,43 @@ def label_by_side(spark, sf_dir, most: float = 30.0, tolerance: float = 2.0):
     found = pages.select("page", F.col("f.node").alias("field"), F.explode(F.array(*map(nearest, SIDES))).alias("s")).where("s.m IS NOT NULL")
     found = found.groupBy("page", "field", "s.side").agg(F.min("s.m").alias("m"))  # fields that share a number are one
     return found.select("page", "field", "side", "m.label", F.round("m.gap", 6).alias("gap"))
+
+
+@query(
+    "greedy_headers",
+    f"""
+    WITH RECURSIVE n AS ({BOXES}), f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY node, x, y, w, h) AS k, count(*) OVER (PARTITION BY page) AS m FROM n WHERE node % 2 = 0),
+    c AS (SELECT page, k, m, field, list(header ORDER BY gap, header) AS near FROM (
+        SELECT f.page, f.k, f.m, f.node AS field, l.node AS header, min(f.y - (l.y + l.h)) AS gap FROM f JOIN n l ON l.page = f.page AND l.node % 2 = 1
+        WHERE f.y >= l.y + l.h AND f.y - (l.y + l.h) <= 40 AND f.x + f.w >= l.x - 20 AND f.x <= l.x + l.w + 20 GROUP BY ALL) GROUP BY page, k, m, field),
+    s AS (SELECT page, k, m, [near[1]] AS used, [field] AS fields FROM c WHERE k = 1
+      UNION ALL SELECT s.page, c.k, s.m, list_append(s.used, list_filter(c.near, lambda h: NOT list_contains(s.used, h))[1]), list_append(s.fields, c.field)
+      FROM s JOIN c ON c.page = s.page AND c.k = s.k + 1 WHERE len(list_filter(c.near, lambda h: NOT list_contains(s.used, h))) > 0)
+    SELECT page, unnest(fields) AS field, unnest(used) AS header FROM s WHERE k = m
+    """,
+)
+def greedy_headers(spark, sf_dir, most: float = 40.0, tolerance: float = 20.0):
+    """Fields of each page with the nearest header above that no field before took; no rows if one field finds none.
+
+    A page is one row with its boxes in arrays; its fields are folded in order.
+    """
+    nodes = boxes(spark, sf_dir).select("page", "node", F.struct("node", "x", "y", "w", "h").alias("box"))
+    fields, headers = (F.array_sort(F.collect_list(F.when(F.col("node") % 2 == k, F.col("box")))).alias(n) for k, n in ((0, "fields"), (1, "headers")))
+    pages = nodes.groupBy("page").agg(fields, headers).where("size(fields) > 0 AND size(headers) > 0")
+    kind = "array<struct<field:int,header:int>>"
+
+    def step(taken, field):
+        below = geo.Box.of(field)
+
+        def one(header):
+            above = geo.Box.of(header)
+            free = ~F.exists(taken, lambda t: t["header"] == header["node"])
+            near = F.when(free & geo.overlaps(above, below, "x", tolerance), geo.gap(above, below, "y"))
+            return F.struct(near.alias("gap"), header["node"].alias("header"))
+
+        best = F.array_min(F.filter(F.transform("headers", one), lambda c: c["gap"] <= most))
+        # a field without a header makes the list null, and it stays null
+        return F.when(best.isNotNull(), F.concat(taken, F.array(F.struct(field["node"].alias("field"), best["header"].alias("header"))).cast(kind)))
+
+    folded = pages.select("page", F.aggregate("fields", F.array().cast(kind), step).alias("taken"))
+    return folded.select("page", F.explode("taken").alias("t")).select("page", "t.field", "t.header")
