@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, unused
+from quillspark.llm.common import cut, named, unused
 
 #: What separates words; and the characters that count as symbols. Fixed values of the result's contract.
 BLANK, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -89,10 +89,10 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size(F.filter("words", lambda w: F.length(w) <= 3)).alias("n_short"),
     )
-    made_here = {*counts, *FEATURES, "n_repeat_words", "n_distinct", "n_short", text}
-    made = df.select(*[c for c in df.columns if c not in made_here], *[c.alias(k) for k, c in counts.items()])
+    _, others = named(df, (*counts, *FEATURES, "n_repeat_words", "n_distinct", "n_short", text))
+    made = df.select(*others, *[c.alias(k) for k, c in counts.items()])
     both = unused(made, "per_row")
-    made = made.withColumn(both, per_row).select(*[c for c in made.columns if c != "words"], f"{both}.*")
+    made = made.withColumn(both, per_row).select(*named(made, ("words",))[1], f"{both}.*")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     made = made.withColumns({
         "mean_word": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_words"),

@@ -67,3 +67,13 @@ def test_clashing_names_repeats_and_ties(spark):
     again = quality.judge(docs, labels)[1]
     assert judged.count() == 60 and str(rules) == str(again)
     assert {(r.quality, r._id, r._s, r.per_row) for r in judged.collect()} == {("q", 1, 2, 3)}
+
+
+def test_names_that_clash_in_another_case_or_need_quotes(spark):
+    rows = spark.createDataFrame([(1, "a b c a b c", 1, 2, 3, 4)], "doc_id long, text string, N_Words int, `Words` int, `x.y` int, per_row int")
+    out = quality.with_statistics(rows)
+    assert [c for c in out.columns if c in ("x.y", "per_row", "N_Words", "Words")] == ["x.y", "per_row"]
+    row = out.first()
+    assert (row.n_words, row["x.y"], row.per_row) == (6, 3, 4)
+    judged, _ = quality.judge(rows, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert judged.count() == 1
