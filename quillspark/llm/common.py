@@ -67,6 +67,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` of columns with any names: Spark looks them up by name, which fails at a dot, so ``run`` has them by place."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def slabs(texts: Iterable[str | None], chars: int = SLAB_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first position, texts) runs of about ``chars`` characters; None becomes the empty text."""
     first, held, size = 0, [], 0

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import distinct_hashes, gram_hashes, mix64, slabs, small_batches
+from quillspark.llm.common import distinct_hashes, gram_hashes, map_arrow, mix64, slabs, small_batches
 
 EDIT_SHARE = 0.15
 #: Independent walks, tables per walk, coordinates per table of ``cgk_keys``.
@@ -303,7 +303,7 @@ def find_contamination(df: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", edit_share: float = EDIT_SHARE) -> DataFrame:
     """``df`` without the documents that hold an item; all columns stay, and no row moves between tasks."""
     small_batches(df.sparkSession)
-    at = df.columns.index(text)
+    names, at = df.columns, df.columns.index(text)
     for ids, texts in _blocks(items, item_id, item_text):
 
         def run(batches, ids=ids, texts=texts):
@@ -314,7 +314,7 @@ def drop_contaminated(df: DataFrame, items: DataFrame, text: str = "text", item_
                 keep = np.ones(batch.num_rows, bool)
                 for first, held in slabs(batch.column(at).to_numpy(zero_copy_only=False)):
                     keep[[first + t for t, *_ in block.search(held)]] = False
-                yield batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names)
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_arrow(df, run, df.schema)
     return df

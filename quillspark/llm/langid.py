@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, mix64, named, slabs, small_batches, unused, within
+from quillspark.llm.common import cut, map_arrow, mix64, named, slabs, small_batches, unused, within
 
 ORDERS, DIM = (1, 2, 3, 4), 1 << 17
 #: Labelled texts in the training sample, and the characters that they may have in all; a text that does not fit is not taken.
@@ -222,4 +222,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(unused(df, "body"))).mapInArrow(run, schema)
+    return map_arrow(df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(unused(df, "body"))), run, schema)

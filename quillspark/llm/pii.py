@@ -171,10 +171,10 @@ def kind_spans(text: Column, kind: Kind) -> Column:
     return F.when(possible & text.rlike(kind.pattern), bound(parts, located)).otherwise(none)
 
 
-def find_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``df`` with ``pii_spans``: all spans of all kinds, in the order of ``kinds`` and then by start."""
+def find_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, spans: str = "pii_spans") -> DataFrame:
+    """``df`` with ``spans``: all spans of all kinds, in the order of ``kinds`` and then by start."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("pii_spans", F.concat(*[kind_spans(body, k) for k in kinds]))
+    return df.withColumn(spans, F.concat(*[kind_spans(body, k) for k in kinds]))
 
 
 def joined(spans: Column) -> Column:
@@ -182,20 +182,20 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` (from ``find_pii``) with each span replaced by its kind in brackets; spans that overlap are replaced together,
+def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
+    """``df`` (from ``find_pii``, with its column ``spans``) with each span replaced by its kind in brackets; spans that overlap are replaced together,
     by the kind of the first, of several with one start by that of the longest. A null text stays null."""
     body = F.col(text)
-    by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
 
     def replaced(x: Column) -> Column:
         # x: the spans by start, and before each of them the furthest end so far
-        spans, reach = x["spans"], x["reach"]
-        fresh = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: F.get(spans, k)["start"] >= F.get(reach, k))
-        part = lambda at, k: F.concat(between(x["pieces"], F.get(reach, at), F.get(spans, at)["start"]), F.lit("["), F.upper(F.get(spans, at)["kind"]), F.lit("]"))
-        last = F.array_max(F.transform(spans, lambda s: -s["neg_end"]))
+        ordered, reach = x["spans"], x["reach"]
+        fresh = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda k: F.get(ordered, k)["start"] >= F.get(reach, k))
+        part = lambda at, k: F.concat(between(x["pieces"], F.get(reach, at), F.get(ordered, at)["start"]), F.lit("["), F.upper(F.get(ordered, at)["kind"]), F.lit("]"))
+        last = F.array_max(F.transform(ordered, lambda s: -s["neg_end"]))
         return F.concat(F.array_join(F.transform(fresh, part), ""), between(x["pieces"], last, F.length(body)))
 
-    reach = lambda spans: bound(F.transform(spans, lambda s: -s["neg_end"]), lambda ends: running(ends, lambda a, b: F.greatest(a, b)))
-    found = bound(by_start, lambda spans: F.struct(spans.alias("spans"), reach(spans).alias("reach"), cut_up(body).alias("pieces")))
-    return df.withColumn(text, F.when(F.size("pii_spans") > 0, bound(found, replaced)).otherwise(body))
+    reach = lambda ordered: bound(F.transform(ordered, lambda s: -s["neg_end"]), lambda ends: running(ends, lambda a, b: F.greatest(a, b)))
+    found = bound(by_start, lambda ordered: F.struct(ordered.alias("spans"), reach(ordered).alias("reach"), cut_up(body).alias("pieces")))
+    return df.withColumn(text, F.when(F.size(spans) > 0, bound(found, replaced)).otherwise(body))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, named, slabs, small_batches, unused, within
+from quillspark.llm.common import cut, map_arrow, named, slabs, small_batches, unused, within
 
 #: Labelled texts in the sample from which words and weights are learned, and the characters that they may have in all; a
 #: text that does not fit is not taken.
@@ -325,13 +325,13 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
             p = np.round(np.concatenate(parts), 9) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names)
 
-    return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(unused(df, "body"))).mapInArrow(run, schema)
+    return map_arrow(df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(unused(df, "body"))), run, schema)
 
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that score below ``threshold``, with all their columns."""
     small_batches(df.sparkSession)
-    at = df.columns.index(text)
+    names, at = df.columns, df.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
@@ -339,6 +339,6 @@ def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float
         for batch in batches:
             parts = [model.score(model.features(held)) for _, held in slabs(batch.column(at).to_numpy(zero_copy_only=False), SLAB)]
             if parts:
-                yield batch.filter(pa.array(np.round(np.concatenate(parts), 9) < threshold))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(np.round(np.concatenate(parts), 9) < threshold)).columns, names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
