@@ -93,7 +93,8 @@ def cgk_keys(windows: np.ndarray) -> np.ndarray:
     """LSH keys (walks * tables, windows) of all walks over windows of equal length; the same for items of that length.
 
     Coordinates are drawn from the first 2n steps, in which a walk reads about n symbols; later ones would mostly
-    compare padding with padding.
+    compare padding with padding. A key that read nothing but padding says nothing of the window, so it is mixed with
+    all of it and meets only equal ones.
     """
     many, n = windows.shape
     steps = 2 * n
@@ -107,12 +108,15 @@ def cgk_keys(windows: np.ndarray) -> np.ndarray:
     origin = np.arange(many) * (n + 1)
     place = np.zeros((WALKS, many), np.int64)
     keys = np.zeros((WALKS, TABLES, many), np.uint64)
+    empty = np.ones((WALKS, TABLES, many), bool)
     for j in range(max(chosen) + 1):
         symbol = flat[origin + place]
         for w, t, b in chosen.get(j, ()):
+            empty[w, t] &= symbol[w] == 0
             keys[w, t] ^= mix64(symbol[w] + np.uint64((b * TABLES + t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         bit = (symbol ^ salts[j]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)
         place = np.minimum(place + bit.astype(np.int64), n)
+    keys ^= np.where(empty, mix64(windows.sum(axis=1)), np.uint64(0))
     return keys.reshape(WALKS * TABLES, many)
 
 
