@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, langid, near_dedup, packing, pii, quality, token_counts, toxicity, warc
+from quillspark.llm import chat, decontaminate, langid, licenses, near_dedup, packing, pii, quality, token_counts, toxicity, warc
 from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
@@ -141,3 +141,23 @@ def op8_warc(spark, sf_dir):
 def op6_chat_formatting(spark, sf_dir):
     """Maximal conversations rendered with the chat template."""
     return chat.format_chats(documents(spark, sf_dir, "conversations"))
+
+
+@query("op13_license_scans")
+def op13_license_scans(spark, sf_dir):
+    """License phrases and signatures of all documents; the score is the confidence of the surest detection left."""
+    scanned = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base, kept = F.col("license_scan.base"), F.col("license_scan.detections")
+    base_labels = F.transform(base, lambda p: p["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return scanned.select(
+        "doc_id",
+        "license_scan.n_words",
+        F.aggregate(base, F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["last"])).alias("last_word"),
+        joined(base_labels).alias("base_labels"),
+        joined(F.concat(base_labels, F.transform(kept, lambda d: d["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.transform(kept, lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform(kept, lambda d: F.concat_ws(":", d["label"], d["start"], d["end"])), ",").alias("detections"),
+    )
