@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontaminate, langid, licenses, near_dedup, packing, pii, quality, token_counts, toxicity, warc
+from quillspark.llm import chat, decontaminate, divergence, langid, licenses, near_dedup, packing, pii, quality, token_counts, toxicity, vector_codes, warc
 from quillspark.llm.common import documents, fold_mod
 
 QUERIES, SQL = {}, {}
@@ -161,3 +161,68 @@ def op13_license_scans(spark, sf_dir):
         F.coalesce(F.array_max(F.transform(kept, lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
         F.array_join(F.transform(kept, lambda d: F.concat_ws(":", d["label"], d["start"], d["end"])), ",").alias("detections"),
     )
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    own AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+            FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    p AS MATERIALIZED (SELECT own.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p FROM own JOIN v ON own.lang = v.lang),
+    al AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, term),
+    q AS (SELECT al.lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM al JOIN v ON al.lang = v.lang),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT p.lang, source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op12_source_divergence(spark, sf_dir):
+    """Divergence of the sources of each language, and the terms that set each of them apart."""
+    return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+def vector_code_sql(rounds: int = 6) -> str:
+    """SQL of the product codes: one pair of tables for each round, all distances measured."""
+    steps = [
+        """
+        v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, label, p, e[p * (len(e) // 8) + 1:(p + 1) * (len(e) // 8)] AS x FROM v, range(8) t(p)),
+        b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS b FROM x WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))
+        """
+    ]
+    assign = """
+        a{r} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(k, d * 16 + k) AS k, min(d) AS d
+             FROM (SELECT vec_id, label, x.p, x, k, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{r} ON x.p = b{r}.p) GROUP BY vec_id, label, p, x)
+        """
+    move = """
+        s{r} AS (SELECT p, k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 1 + (SELECT max(len(b)) FROM b0)) t(j) GROUP BY p, k, j),
+        m{r} AS (SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS b FROM s{r} GROUP BY p, k),
+        b{next} AS MATERIALIZED (SELECT p, k, coalesce(m.b, o.b) AS b FROM b{r} o LEFT JOIN m{r} m USING (p, k))
+        """
+    for r in range(rounds):
+        steps += [assign.format(r=r), move.format(r=r, next=r + 1)]
+    steps.append(assign.format(r=rounds))
+    return f"""
+        WITH {','.join(steps)},
+        c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, k)) AS h FROM b{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM c, h
+        """
+
+
+@query("op11_vector_codes", vector_code_sql())
+def op11_vector_codes(spark, sf_dir):
+    """Product codes of all vectors, with their errors and those of their labels."""
+    coded = vector_codes.compress(documents(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
