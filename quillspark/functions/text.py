@@ -161,3 +161,14 @@ def content_hash(digests: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of two (unit) vectors, in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Fixed value: the namespace of addresses in RFC 4122.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """Version-5 identifier of a name: a SHA-1 digest with the version in digit 13 and the variant in the top bits of digit 17."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab" * 4), F.instr(F.lit("0123456789abcdef"), F.substring(h, 17, 1)), F.lit(1))
+    return F.when(name.isNotNull(), F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ class RowModule:
 
 @dataclass(frozen=True)
 class SetModule:
-    """Claims the nodes that ``claims`` returns of all free nodes: the key columns and ``kind``, each node once."""
+    """Claims the nodes that ``claims`` returns of all free nodes: the key columns and ``kind``; of two kinds of a key the lesser counts."""
 
     name: str
     claims: Callable[[DataFrame], DataFrame]
@@ -36,8 +37,10 @@ def run_modules(nodes: DataFrame, modules: Iterable[RowModule | SetModule], keys
         if isinstance(m, RowModule):
             kind = m.kind
         else:
-            claims = m.claims(done.where("module IS NULL").drop("module", "kind")).select(*keys, F.col("kind").alias("_claim"))
-            done, kind = done.join(claims, keys, "left"), F.col("_claim")
+            # one claim for each key, whatever a module returns; a null is a key like others, so repeated rows are claimed together
+            claims = m.claims(done.where("module IS NULL").drop("module", "kind")).groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("kind").alias("_claim"))
+            same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+            done, kind = done.join(claims, same, "left").drop(*[f"_of_{k}" for k in keys]), F.col("_claim")
         hit = F.col("module").isNull() & kind.isNotNull()
         done = done.withColumns({"module": F.when(hit, m.name).otherwise(F.col("module")), "kind": F.when(hit, kind).otherwise(F.col("kind"))}).drop("_claim")
     return done
@@ -52,8 +55,8 @@ def repeated_nodes(group: str, item: str, text: str, keys: list[str], share: flo
     def claims(free: DataFrame) -> DataFrame:
         hashed = free.select(group, item, *[k for k in keys if k not in (group, item)], F.md5(text).alias("_h"))
         items = hashed.select(group, item).distinct().groupBy(group).agg(F.count("*").alias("_all"))
-        often = hashed.select(group, item, "_h").distinct().groupBy(group, "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-        often = often.join(items, group).where(F.col("_n") >= F.col("_all") * share).select(group, "_h")
-        return hashed.join(often, [group, "_h"], "left_semi").select(*keys, F.lit("repeated").alias("kind"))
+        often = hashed.select(group, item, "_h").distinct().groupBy(F.col(group).alias("_group"), "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        often = often.join(items, F.col("_group").eqNullSafe(F.col(group))).where(F.col("_n") >= F.col("_all") * share).select("_group", F.col("_h").alias("_of"))
+        return hashed.join(often, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_h") == F.col("_of")), "left_semi").select(*keys, F.lit("repeated").alias("kind"))
 
     return claims

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as tx
 from quillspark.operators import sequences as sq
 from quillspark.plans.registry import query
 from quillspark.session import table
@@ -280,7 +279,7 @@ def lcs_weighted(spark, sf_dir):
         n = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         return 2 * n / (len(x) + len(y)) if x and y and n > 1 else 0.0
 
-    return per_pair(spark, sf_dir, "score", "double", lambda a, b: round(sq.lcs_weighted(a, b, score), 6))
+    return per_pair(spark, sf_dir, "score", "double", lambda a, b: sq.lcs_weighted(a, b, score)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -298,9 +297,10 @@ def score_matrix(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "i": batch["i"], "j": batch["j"], "score": [round(sq.similarity(list(a), list(b)), 6) for a, b in zip(batch["a"], batch["b"])]})
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "i": batch["i"], "j": batch["j"], "score": [sq.similarity(list(a), list(b)) for a, b in zip(batch["a"], batch["b"])]})
 
-    return left.join(right, "conv_id").where("i < j").mapInPandas(run, "conv_id long, i long, j long, score double")
+    scored = left.join(right, "conv_id").where("i < j").mapInPandas(run, "conv_id long, i long, j long, score double")
+    return scored.withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -418,10 +418,5 @@ def _in(listed: list[str]):
     """,
 )
 def uuid5(spark, sf_dir):
-    """Version-5 identifiers of page addresses in a fixed namespace."""
-
-    @F.pandas_udf("string")
-    def ids(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: str(uuid.uuid5(uuid.NAMESPACE_URL, u)))
-
-    return table(spark, sf_dir, "pages").select("page_id", ids("url").alias("id"))
+    """Version-5 identifiers of page addresses in the namespace of addresses; null without one."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.uuid5(F.col("url")).alias("id"))
