@@ -209,3 +209,36 @@ def consolidate(aligned: DataFrame, key: list[str]) -> DataFrame:
     for step in PASSES:
         entries = step(entries, key).checkpoint()
     return entries
+
+
+def merge_states(leaves: DataFrame, selections: list[str], path: str) -> DataFrame:
+    """One tree from the trees of many states: (path, depth, kind, level, condition, n_states, states) for each node and condition.
+
+    A state is a choice for each of ``selections``, the outer first; its tree holds the paths of its leaves (arrays of names) and all their
+    beginnings. A node that is in all states of its parent is ``common``. Another is ``conditional``: it stands under each
+    condition, a beginning of the choices, that holds all states which the parent has there, and under none within such a
+    one. ``states`` is the bitmap of those, by their rank among all. All levels of the tree are merged at once: a node asks only
+    its parent. Paths with a null in them or no names are left out; a null choice is a choice; repeated leaves count once.
+    """
+    width = len(selections)
+    choice = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in selections])
+    known = F.array(*[F.col(c).isNotNull() for c in selections])  # tells a null choice from an empty one
+    rows = leaves.where(F.col(path).isNotNull() & (F.size(path) > 0) & ~F.exists(path, lambda x: x.isNull())).select(choice.alias("choice"), known.alias("known"), F.col(path).alias("leaf")).distinct()
+    rank = rows.select("choice", "known").distinct().withColumn("rank", F.row_number().over(Window.orderBy("choice", "known")))  # one row for each state
+    nodes = rows.select("choice", "known", F.explode(F.transform(F.sequence(F.lit(0), F.size("leaf")), lambda k: F.slice("leaf", F.lit(1), k))).alias("path")).distinct()
+    nodes = nodes.join(rank, ["choice", "known"])
+    levels = nodes.select("path", "rank", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("level"), "choice", "known")
+    under = levels.select("path", "rank", "level", F.slice("choice", F.lit(1), F.col("level")).alias("choice"), F.slice("known", F.lit(1), F.col("level")).alias("known"))
+    # a bitmap covers 32,768 states; more fall into further buckets, which are added up
+    bucket = under.groupBy("path", "level", "choice", "known", F.expr("bitmap_bucket_number(rank)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(rank))").alias("bits"))
+    counts = bucket.groupBy("path", "level", "choice", "known").agg(F.sum(F.expr("bitmap_count(bits)")).alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "bits")))).alias("states")).checkpoint()
+    parents = counts.select(F.col("path").alias("up"), "level", "choice", "known", F.col("n").alias("of"))
+    full = counts.where(F.size("path") > 0).withColumn("up", F.slice("path", F.lit(1), F.size("path") - 1)).join(parents, ["up", "level", "choice", "known"]).where("n = of")
+    # drop conditions within a wider one of the same node
+    wider = full.select("path", "level", "choice", "known")
+    inner = full.select("path", "choice", "known", "level", "n", "states", F.explode_outer(F.when(F.col("level") > 0, F.sequence(F.lit(0), F.col("level") - 1))).alias("above"))
+    held = inner.select("path", F.col("level"), "choice", "known", F.col("above").alias("w_level"), F.slice("choice", F.lit(1), F.coalesce("above", F.lit(0))).alias("w_choice"), F.slice("known", F.lit(1), F.coalesce("above", F.lit(0))).alias("w_known"))
+    covered = held.where("w_level IS NOT NULL").join(wider.toDF("path", "w_level", "w_choice", "w_known"), ["path", "w_level", "w_choice", "w_known"], "left_semi").select("path", "level", "choice", "known").distinct()
+    least = full.join(covered, ["path", "level", "choice", "known"], "left_anti")
+    condition = F.transform(F.arrays_zip("choice", "known"), lambda c: F.when(c["known"], c["choice"]))
+    return least.select("path", F.size("path").alias("depth"), F.when(F.col("level") == 0, "common").otherwise("conditional").alias("kind"), "level", condition.alias("condition"), F.col("n").alias("n_states"), "states")

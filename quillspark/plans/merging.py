@@ -47,3 +47,27 @@ def orphan_consolidation(spark, sf_dir):
     merged = merge.consolidate(aligned_nodes(table(spark, sf_dir, "conversations")), ["conv_id"])
     digest = lambda c: F.md5(F.coalesce(c, F.lit("-")))
     return merged.select("conv_id", "pos", "side", "kind", "via", F.size("members").alias("n_members"), F.array_join(F.array_sort("members"), ",").alias("members"), digest("left_text").alias("left_md5"), digest("right_text").alias("right_md5"))
+
+
+@query(
+    "recursive_state_merge",
+    """
+    WITH o AS (SELECT DISTINCT o_orderstatus AS s1, o_orderpriority AS s2, r_name AS a, n_name AS b, c_mktsegment AS c
+               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    p AS (SELECT DISTINCT '' AS path, 0 AS depth, NULL AS up, s1, s2 FROM o UNION SELECT a, 1, '', s1, s2 FROM o UNION SELECT a || '/' || b, 2, a, s1, s2 FROM o UNION SELECT a || '/' || b || '/' || c, 3, a || '/' || b, s1, s2 FROM o),
+    u AS (SELECT path, depth, up, s1, s2, 0 AS level, 'all' AS prefix FROM p UNION ALL SELECT path, depth, up, s1, s2, 1, s1 FROM p UNION ALL SELECT path, depth, up, s1, s2, 2, s1 || '/' || s2 FROM p),
+    n AS (SELECT path, depth, up, level, prefix, any_value(s1) AS s1, count(*) AS n FROM u GROUP BY path, depth, up, level, prefix),
+    f AS (SELECT x.path, x.depth, x.level, x.prefix, x.s1, x.n FROM n x JOIN n y ON y.path = x.up AND y.prefix = x.prefix AND x.n = y.n),
+    m AS (SELECT * FROM f WHERE level = 0 OR (level = 1 AND NOT EXISTS (SELECT 1 FROM f z WHERE z.path = f.path AND z.level = 0))
+          OR (level = 2 AND NOT EXISTS (SELECT 1 FROM f z WHERE z.path = f.path AND (z.level = 0 OR (z.level = 1 AND z.prefix = f.s1)))))
+    SELECT path, depth, CASE WHEN level = 0 THEN 'common' ELSE 'conditional' END AS kind, level, prefix AS condition, n AS n_states FROM m
+    """,
+)
+def recursive_state_merge(spark, sf_dir):
+    """Trees of region, nation and segment, one for each order status and priority, as one tree of common and conditional nodes."""
+    ensure_checkpoint_dir(spark)
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name", "n_name")
+    customers = table(spark, sf_dir, "customer").join(places, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), F.array("r_name", "n_name", "c_mktsegment").alias("path"))
+    states = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority").join(customers, "o_custkey")
+    merged = merge.merge_states(states, ["o_orderstatus", "o_orderpriority"], "path")
+    return merged.select(F.array_join("path", "/").alias("path"), "depth", "kind", "level", F.when(F.col("level") == 0, "all").otherwise(F.array_join("condition", "/")).alias("condition"), "n_states")

@@ -195,3 +195,45 @@ def test_query_of_conversations(spark):
     assert len({g[4] for g in got}) >= 4
     lines = merging.aligned_nodes(spark.read.parquet(f"{sf}/conversations.parquet")).count()
     assert sum(len(g[5].split(",")) for g in got) == lines
+
+
+def states_by_sets(rows, width):
+    """{(path, condition)} of common and conditional nodes, from sets of states."""
+    have = {}
+    for *choice, leaf in rows:
+        if leaf and None not in leaf:
+            for k in range(len(leaf) + 1):
+                have.setdefault(tuple(leaf[:k]), set()).add(tuple(choice))
+    out = set()
+    for path, states in have.items():
+        if not path:
+            continue
+        parent, open_states = have[path[:-1]], {()}
+        for level in range(width + 1):
+            following = set()
+            for prefix in open_states:
+                under = {s for s in parent if s[:level] == prefix}
+                own = {s for s in states if s[:level] == prefix}
+                if own == under:
+                    out.add((path, prefix, len(own)))
+                elif own:
+                    following |= {s[: level + 1] for s in own}
+            open_states = following
+    return out
+
+
+def test_states_merge_to_common_and_conditional_nodes(spark):
+    ensure_checkpoint_dir(spark)
+    rng = random.Random(4)
+    for n in (0, 3, 60, 400):
+        rows = [(rng.choice("ab"), rng.choice(["x", "", None]), rng.choice("12"), [rng.choice("pq") for _ in range(rng.randint(0, 3))] if rng.random() < 0.9 else rng.choice([None, ["p", None]])) for _ in range(n)]
+        df = spark.createDataFrame(rows, "s string, t string, u string, path array<string>")
+        got = {(tuple(r.path), tuple(r.condition), r.n_states) for r in merge.merge_states(df, ["s", "t", "u"], "path").collect()}
+        assert got == states_by_sets(rows, 3)
+
+
+def test_state_bitmaps_name_the_states(spark):
+    rows = [(s, ["a"]) for s in "xyz"] + [(s, ["a", "b"]) for s in "xz"]
+    got = {tuple(r.path): (r.kind, r.states) for r in merge.merge_states(spark.createDataFrame(rows, "s string, path array<string>"), ["s"], "path").where("level = 0 OR condition = array('x')").collect()}
+    assert got["a",][0] == "common" and list(got["a",][1].values())[0][0] == 0b111
+    assert got["a", "b"][0] == "conditional" and list(got["a", "b"][1].values())[0][0] == 0b001
