@@ -122,28 +122,30 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def within(rows: DataFrame, drawn: DataFrame, most: int, chars: int) -> list:
-    """Rows (id, body, ...) of the ``most`` drawn ids, in the order of a hash of the ids, whose texts have at most ``chars``
+def within(rows: DataFrame, drawn: DataFrame, chars: int) -> list:
+    """Rows (id, body, ...) of the drawn ids, one for each, in the order of a hash of the ids, whose texts have at most ``chars``
     characters together; a text that does not fit is skipped.
 
-    Lengths are collected first, so no more text than that reaches the driver. Equal rows of an id count once; of an id
-    with several texts all are taken or none. At most twice ``most`` rows are looked at.
+    Of an id with several texts that with the least hash counts, and of rows with one text that with the least other
+    columns, so the result does not hang on partitions. Lengths come first: the driver gets one number for each drawn
+    id, whose count the caller bounds, and then no more text than ``chars``.
     """
-    near = rows.join(F.broadcast(drawn.select("id").distinct()), "id").select("id", F.length("body").alias("size"), F.xxhash64("body"))
-    sizes: dict = {}
-    for r in near.distinct().limit(2 * most).collect():
-        sizes[r.id] = sizes.get(r.id, 0) + r.size
-    order = lambda i: (i * 0x9E3779B97F4A7C15 % 2**64, i)
+    digest = F.xxhash64("body").alias("digest")
+    near = rows.join(F.broadcast(drawn.select("id").distinct()), "id")
+    first = near.groupBy("id").agg(F.min(F.struct(digest, F.length("body").alias("size"))).alias("text")).select("id", "text.*").collect()
+    order = lambda r: (r.id * 0x9E3779B97F4A7C15 % 2**64, r.id)
     left, taken = chars, []
-    for i in sorted(sizes, key=order):
-        if sizes[i] <= left:
-            left -= sizes[i]
-            taken.append((i,))
+    for r in sorted(first, key=order):
+        if r.size <= left:
+            left -= r.size
+            taken.append((r.id, r.digest))
     if not taken:
         return []
-    chosen = rows.sparkSession.createDataFrame(taken, T.StructType([drawn.schema["id"]]))
-    got = rows.join(F.broadcast(drawn.join(F.broadcast(chosen), "id")), "id").distinct().limit(2 * most).collect()
-    return sorted(got, key=lambda r: (order(r.id), r.body))
+    chosen = rows.sparkSession.createDataFrame(taken, T.StructType([drawn.schema["id"], T.StructField("digest", T.LongType())]))
+    whole = near.withColumn("digest", digest).join(F.broadcast(chosen), ["id", "digest"]).drop("digest")
+    others = [c for c in whole.columns if c != "id"]
+    got = whole.groupBy("id").agg(F.min(F.struct(*others)).alias("row")).select("id", "row.*").collect()
+    return sorted(got, key=order)
 
 
 def fold_mod(column, modulus: int, remainder: int):

@@ -190,7 +190,8 @@ def fit(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", t
     """A model from the usable rows with a text and a label: frequencies from all, weights from a bounded sample.
 
     The sample takes documents in the order of a hash of their ids: ids first, then the lengths of their texts, and only
-    texts that fit the sample together come to the driver. ``usable`` is a condition on the columns of ``docs``.
+    texts that fit the sample together come to the driver. Of an id with several texts or languages one text and language
+    counts. ``usable`` is a condition on the columns of ``docs``.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     if usable is not None:
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", t
     df, n = document_frequencies(rows, text)
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("label"))
     drawn = cut(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS))
-    got = within(rows, drawn, SAMPLE_TEXTS, SAMPLE_CHARS)
+    got = within(rows, drawn, SAMPLE_CHARS)
     return learn([r.body for r in got], [r.label for r in got], df, n)
 
 

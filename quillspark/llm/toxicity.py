@@ -261,8 +261,11 @@ def _threats(texts: list[str], chosen: set[tuple[str, bool]]) -> frozenset[tuple
 
 
 def learn(texts: list[str], toxic: list[int]) -> Model:
-    """Words from two thirds of the texts, the logistic function from the rest."""
-    rows = list(dict(zip(texts, toxic)).items())  # equal texts count once
+    """Words from two thirds of the texts, the logistic function from the rest; equal texts count once, and not at all if their labels differ."""
+    kinds: dict[str, set] = {}
+    for text, y in zip(texts, toxic):
+        kinds.setdefault(text, set()).add(y)
+    rows = [(text, *ys) for text, ys in kinds.items() if len(ys) == 1]
     choose = [r for k, r in enumerate(rows) if k % 3]
     count = [sum(not y for _, y in choose), sum(bool(y) for _, y in choose)]
     if not all(count):
@@ -297,17 +300,18 @@ def learn(texts: list[str], toxic: list[int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from a sample of at most ``SAMPLE_TEXTS`` labelled documents, taken in the order of a hash of their ids.
 
-    Ids come first, then the lengths of their texts, and only texts that fit the sample together come to the driver.
+    Ids come first, then the lengths of their texts, and only texts that fit the sample together come to the driver. An id
+    with labels of both kinds teaches nothing; of one with several texts, that with the least hash stands for it.
     ``usable`` is a condition on the columns of ``labels`` (doc_id, toxic).
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if usable is not None:
         known = known.where(usable)
-    known = known.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    drawn = cut(known.orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE_TEXTS))
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("toxic").cast("int")).alias("toxic"), F.max(F.col("toxic").cast("int")).alias("most")).where("toxic = most").drop("most")
+    drawn = cut(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    got = within(rows, drawn, SAMPLE_TEXTS, SAMPLE_CHARS)
-    return learn([r.body for r in got], [r.toxic for r in got])
+    got, label = within(rows, drawn, SAMPLE_CHARS), {r.id: r.toxic for r in drawn.collect()}
+    return learn([r.body for r in got], [label[r.id] for r in got])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
