@@ -125,3 +125,73 @@ def violations(nodes: DataFrame, keys: list[str], required: dict[str, list[str]]
     open_uses = uses.select(*keys, "pre", "prefix", F.explode("around").alias("at")).join(declared, [*keys, "prefix", "at"], "left_semi").select(*keys, "pre", "prefix").distinct()
     undeclared = uses.join(open_uses, [*keys, "pre", "prefix"], "left_anti").select(*keys, "pre", F.lit("undeclared_prefix").alias("rule"), F.col("prefix").alias("detail"))
     return plain.unionByName(wrong).unionByName(undeclared)
+
+
+#: What an edit does to the node at its path; the last three put a new node before it, behind its subtree, or behind its children.
+EDITS = ("set", "replace", "remove", "insert_before", "insert_after", "insert_child")
+
+
+def judge_edits(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """``edits`` (keys, seq, op, path, name, text) with ``pre``, ``last``, ``depth``, ``ancestors`` of their node and ``fault``, null where there is none.
+
+    Faults: ``unknown`` operation; ``missing`` path; ``no_value``, a new node without a name or a set without a text; ``root``, a root removed
+    or a node put beside it; ``overlap``, of two that set, replace or remove one node, or of one in a subtree that another replaces
+    or removes (the later of the two in document order, or in ``seq``, has it). All paths are those of the tree as it is.
+    """
+    at = nodes.select(*keys, "path", "pre", "last", "depth", "ancestors")
+    found = edits.join(at, [*keys, "path"], "left")
+    inserts = F.col("op").startswith("insert")
+    own = (
+        F.when(~F.coalesce(F.col("op").isin(*EDITS), F.lit(False)), "unknown")
+        .when(F.col("pre").isNull(), "missing")
+        .when((inserts | (F.col("op") == "replace")) & F.col("name").isNull() | (F.col("op") == "set") & F.col("text").isNull(), "no_value")
+        .when((F.col("depth") == 0) & F.col("op").isin("remove", "insert_before", "insert_after"), "root")
+    )
+    judged = found.withColumn("own", own).withColumn("whole", F.col("own").isNull() & F.col("op").isin("replace", "remove")).withColumn("beside", F.coalesce(F.col("op").isin("insert_before", "insert_after"), F.lit(False)))
+    # edits in document order: how far the subtrees reach that those before replace or remove. What is put beside a node stays
+    # if that node goes, but not if a subtree around it goes, so only those that begin before the node count there.
+    rank = F.when(F.col("whole"), 0).otherwise(1)
+    order = Window.partitionBy(*keys).orderBy("pre", rank, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*keys, "pre").orderBy(rank, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    touches = F.col("own").isNull() & ~inserts
+    end = F.when(F.col("whole"), F.col("last"))
+    judged = judged.withColumns({"reach": F.max(end).over(order), "outer": F.max(end).over(before), "touched": F.sum(F.when(touches, 1).otherwise(0)).over(same)})
+    overlap = F.col("own").isNull() & F.when(F.col("beside"), F.coalesce(F.col("outer") >= F.col("pre"), F.lit(False))).otherwise(F.coalesce(F.col("reach") >= F.col("pre"), F.lit(False)) | (touches & (F.col("touched") > 0)))
+    return judged.select(*edits.columns, "pre", "last", "depth", "ancestors", F.coalesce("own", F.when(overlap, "overlap")).alias("fault"))
+
+
+def apply_edits(nodes: DataFrame, edits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the trees after their batches, verdicts): the edits of a document are one batch, which is applied whole or not at all.
+
+    Trees have keys, ``pre``, ``last``, ``depth``, ``name``, ``ord``, ``path``, ``text``, numbered anew; verdicts have keys, ``accepted``, ``n_edits``, ``faults`` (``seq:fault``).
+    New nodes of one place stand in the order of ``seq``. ``keys`` must tell documents apart and ``seq`` the edits of one; null keys match nothing.
+    """
+    judged = judge_edits(nodes, edits, keys).checkpoint()
+    faults = F.array_sort(F.collect_list(F.when(F.col("fault").isNotNull(), F.struct("seq", "fault"))))
+    verdicts = judged.groupBy(*keys).agg(F.count("*").alias("n_edits"), F.array_join(F.transform(faults, lambda f: F.concat_ws(":", f["seq"], f["fault"])), ",").alias("faults"))
+    verdicts = verdicts.select(*keys, (F.col("faults") == "").alias("accepted"), "n_edits", "faults").checkpoint()
+    good = judged.join(verdicts.where("accepted").select(*keys), keys, "left_semi")
+
+    gone = good.where("op IN ('remove', 'replace')").select(*keys, F.col("pre").alias("gone"))
+    inside = nodes.select(*keys, "pre", F.explode("ancestors").alias("gone")).join(gone, [*keys, "gone"], "left_semi").select(*keys, "pre").distinct()
+    out = inside.unionByName(good.where("op = 'remove'").select(*keys, "pre"))
+    changes = good.where("op IN ('set', 'replace')").select(*keys, "pre", F.lit(True).alias("changed"), F.when(F.col("op") == "replace", F.col("name")).alias("new_name"), F.col("text").alias("new_text"))
+    kept = nodes.select(*keys, "pre", "depth", "ancestors", "name", "text").join(out, [*keys, "pre"], "left_anti").join(changes, [*keys, "pre"], "left")
+    kept = kept.select(*keys, F.col("pre").alias("id"), "depth", "ancestors", F.coalesce("new_name", "name").alias("name"), F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("text")).alias("text"), F.struct(F.col("pre").alias("at"), F.lit(1).alias("phase"), F.lit(0).alias("up"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq")).alias("place"))
+    child = F.col("op") == "insert_child"
+    depth = F.col("depth") + F.when(child, 1).otherwise(0)
+    # behind a subtree the deeper new nodes come first, and of one depth those behind a sibling before those behind all children
+    place = F.struct(F.when(F.col("op") == "insert_before", F.col("pre")).otherwise(F.col("last")).alias("at"), F.when(F.col("op") == "insert_before", 0).otherwise(2).alias("phase"), (-depth).alias("up"), F.when(child, 1).otherwise(0).alias("kind"), F.col("seq").cast("long").alias("seq"))
+    line = F.when(child, F.concat("ancestors", F.array("pre"))).otherwise(F.col("ancestors"))
+    new_id = -F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+    made = good.where("op LIKE 'insert%'").select(*keys, new_id.alias("id"), depth.alias("depth"), line.alias("ancestors"), "name", "text", place.alias("place"))
+    tree = kept.unionByName(made).withColumn("pre", F.row_number().over(Window.partitionBy(*keys).orderBy("place")) - 1)
+    parent = F.try_element_at("ancestors", F.lit(-1))
+    tree = tree.withColumn("ord", F.row_number().over(Window.partitionBy(*keys, parent, "name").orderBy("pre")) - 1).drop("place").checkpoint()
+
+    line = tree.select(*keys, "id", F.posexplode(F.concat("ancestors", F.array("id"))).alias("step", "of"))
+    lasts = tree.select(*keys, F.col("pre").alias("p"), F.explode(F.concat("ancestors", F.array("id"))).alias("id")).groupBy(*keys, "id").agg(F.max("p").alias("last"))
+    label = tree.select(*keys, F.col("id").alias("of"), F.format_string("/%s#%d", "name", "ord").alias("label"))
+    paths = line.join(label, [*keys, "of"]).groupBy(*keys, "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "label"))), lambda s: s["label"]), "").alias("path"))
+    return tree.join(lasts, [*keys, "id"]).join(paths, [*keys, "id"]).select(*keys, "pre", "last", "depth", "name", "ord", "path", "text"), verdicts

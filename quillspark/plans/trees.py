@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import trees
+from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.plans.registry import query
 from quillspark.session import table
 from quillspark.sources.markup import node_table
@@ -47,3 +48,32 @@ def scope_walk(spark, sf_dir):
     asked = nodes.where(F.col("name").isin("b", "a", "div")).select("page_id", F.col("pre").alias("context"), wanted.alias("wanted"))
     asked = asked.withColumn("ref_id", F.concat_ws(":", "context", "wanted"))
     return trees.resolve_scopes(nodes, asked, ["page_id"]).select("page_id", "context", "wanted", "target", "level")
+
+
+def edit_log(nodes):
+    """Edits of every page: new headings and texts, list items removed, paragraphs added; some batches hold a fault."""
+    edit = lambda rows, seq, op, name, text: rows.select("page_id", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), "path", F.lit(name).cast("string").alias("name"), F.lit(text).cast("string").alias("text"))
+    of = lambda name, at=0: nodes.where((F.col("name") == name) & (F.col("nth") == at))
+    log = [
+        edit(of("h1"), 1, "replace", "h2", "A new heading"),
+        edit(of("li", 1), 2, "remove", None, None),
+        edit(of("title"), 3, "set", None, "A new title"),
+        edit(of("p"), 4, "insert_before", "p", "First"),
+        edit(of("li", 1), 5, "insert_after", "li", "Instead"),
+        edit(of("ul"), 6, "insert_child", "li", "Last"),
+        edit(of("nav").where("page_id % 4 = 1"), 7, "remove", None, None),  # with its items, two of which have edits
+        edit(of("html").where("page_id % 4 = 2").withColumn("path", F.lit("/html#0/nowhere#0")), 8, "set", None, "x"),
+    ]
+    out = log[0]
+    for more in log[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("tree_edit_batches")
+def tree_edit_batches(spark, sf_dir):
+    """All pages after their batches of edits: batches with a fault leave their page as it was."""
+    ensure_checkpoint_dir(spark)
+    nodes = page_nodes(spark, sf_dir).checkpoint()
+    tree, verdicts = trees.apply_edits(nodes, edit_log(nodes), ["page_id"])
+    return tree.join(verdicts, "page_id", "left").select("page_id", "pre", "last", "depth", "path", F.md5("text").alias("text_md5"), F.coalesce("accepted", F.lit(False)).alias("edited"), "faults")

@@ -212,3 +212,117 @@ def test_queries_of_pages(spark):
     assert scopes and all(r.target == nearest(pages[r.page_id], r.context, r.wanted) for r in scopes)
     fit = {r.expr_id for r in run("path_expressions")}
     assert {plans.EXPRESSIONS.index(e) for e in ("$", "$.body..a", "ul.li[2].a", "a[3]", "$..footer")} <= fit and plans.EXPRESSIONS.index("a.") not in fit
+
+
+class Tree:
+    """A tree of lists, edited in place."""
+
+    def __init__(self, name, text):
+        self.name, self.text, self.children = name, text, []
+
+
+def grown(nodes):
+    made = [Tree(n["name"], "".join(n["text"])) for n in nodes]
+    roots = []
+    for n, t in zip(nodes, made):
+        (made[n["parent"]].children if n["parent"] is not None else roots).append(t)
+    return roots, made
+
+
+def listed(roots):
+    out = []
+
+    def visit(trees_, path, depth):
+        seen = {}
+        for t in trees_:
+            k = seen.get(t.name, 0)
+            seen[t.name] = k + 1
+            here = f"{path}/{t.name}#{k}"
+            out.append([here, depth, t.text, len(out), 0])
+            row = out[-1]
+            visit(t.children, here, depth + 1)
+            row[4] = len(out) - 1
+
+    visit(roots, "", 0)
+    return [tuple(r) for r in out]
+
+
+def replayed(nodes, edits):
+    """(faults, tree after the batch) by pairs of edits and by hand."""
+    at = {n["path"]: n for n in nodes}
+    faults = {}
+    for e in edits:
+        n = at.get(e["path"])
+        if e["op"] not in trees.EDITS:
+            faults[e["seq"]] = "unknown"
+        elif n is None:
+            faults[e["seq"]] = "missing"
+        elif ((e["op"].startswith("insert") or e["op"] == "replace") and e["name"] is None) or (e["op"] == "set" and e["text"] is None):
+            faults[e["seq"]] = "no_value"
+        elif n["depth"] == 0 and e["op"] in ("remove", "insert_before", "insert_after"):
+            faults[e["seq"]] = "root"
+    sound = [e for e in edits if e["seq"] not in faults]
+    whole = [e for e in sound if e["op"] in ("replace", "remove")]
+    for e in sound:
+        n, beside = at[e["path"]], e["op"] in ("insert_before", "insert_after")
+        around = [at[w["path"]] for w in whole if at[w["path"]]["pre"] in n["ancestors"]]
+        here = [w for w in sound if w["path"] == e["path"] and not w["op"].startswith("insert") and w is not e]
+        earlier = [w for w in here if (w["op"] == "set", w["seq"]) < (e["op"] not in ("replace", "remove"), e["seq"])]
+        if around or (not beside and e["op"] != "insert_child" and earlier) or (e["op"] == "insert_child" and any(w["op"] in ("replace", "remove") for w in here)):
+            faults[e["seq"]] = "overlap"
+    roots, made = grown(nodes)
+    if faults:
+        return faults, listed(roots)
+    parent_list = lambda n: made[n["parent"]].children if n["parent"] is not None else roots
+    for e in sorted(sound, key=lambda e: (e["op"] == "remove", e["op"] == "insert_child", -e["seq"] if e["op"] == "insert_after" else e["seq"])):
+        n = at[e["path"]]
+        t, beside = made[n["pre"]], parent_list(n)
+        if e["op"] == "set":
+            t.text = e["text"]
+        elif e["op"] == "replace":
+            t.name, t.text, t.children = e["name"], e["text"], []
+        elif e["op"] == "remove":
+            beside.remove(t)
+        elif e["op"] == "insert_child":
+            t.children.append(Tree(e["name"], e["text"]))
+        else:
+            beside.insert(beside.index(t) + (e["op"] == "insert_after"), Tree(e["name"], e["text"]))
+    return faults, listed(roots)
+
+
+def test_batches_equal_a_replay(spark):
+    from quillspark.operators.checkpoints import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    rng = random.Random(9)
+    texts = {k: "".join(rng.choice(["<a>", "<b>", "<c>", "x", "</a>", "</b>", "</c>"]) for _ in range(rng.randint(1, 40))) for k in range(150)}
+    log, want, verdicts = [], {}, {}
+    for doc, text in texts.items():
+        nodes = markup.nodes_of(text)
+        edits = []
+        for seq in range(rng.choice([0, 1, 2, 3, 6])):
+            path = rng.choice(nodes)["path"] if nodes and rng.random() < 0.97 else "/no#0"
+            op = rng.choice(trees.EDITS if rng.random() < 0.98 else ["move", None])
+            edits.append({"seq": seq, "op": op, "path": path, "name": rng.choice(["a", "n"]) if rng.random() < 0.97 else None, "text": rng.choice(["t", ""]) if rng.random() < 0.97 else None})
+        log += [(doc, *e.values()) for e in edits]
+        faults, want[doc] = replayed(nodes, edits)
+        if edits:
+            verdicts[doc] = (not faults, len(edits), ",".join(f"{s}:{f}" for s, f in sorted(faults.items())))
+    table = markup.node_table(spark.createDataFrame(list(texts.items()), "doc int, html string"), ["doc"], "html")
+    after, said = trees.apply_edits(table, spark.createDataFrame(log, "doc int, seq long, op string, path string, name string, text string"), ["doc"])
+    assert {r.doc: (r.accepted, r.n_edits, r.faults) for r in said.collect()} == verdicts
+    got = {doc: [] for doc in texts}
+    for r in sorted(after.collect(), key=lambda r: (r.doc, r.pre)):
+        got[r.doc].append((r.path, r.depth, r.text, r.pre, r.last))
+    assert got == want and 20 < sum(v[0] for v in verdicts.values()) < len(verdicts)
+
+
+def test_edit_query_of_pages(spark):
+    from quillspark.plans import catalog
+
+    rows = catalog.QUERIES["tree_edit_batches"](spark, "/root/testdata/sf0.001").collect()
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r.page_id, []).append(r)
+    assert all(any(r.path.endswith("/h2#0") for r in page) == page[0].edited for page in by_page.values())
+    assert {page[0].edited for page in by_page.values()} == {True, False} and all(("8:missing" in page[0].faults) == (p % 4 == 2) for p, page in by_page.items())
