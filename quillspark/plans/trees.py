@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import trees
+from quillspark.operators import derive, trees
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.plans.registry import query
 from quillspark.session import table
@@ -77,3 +77,52 @@ def tree_edit_batches(spark, sf_dir):
     nodes = page_nodes(spark, sf_dir).checkpoint()
     tree, verdicts = trees.apply_edits(nodes, edit_log(nodes), ["page_id"])
     return tree.join(verdicts, "page_id", "left").select("page_id", "pre", "last", "depth", "path", F.md5("text").alias("text_md5"), F.coalesce("accepted", F.lit(False)).alias("edited"), "faults")
+
+
+@query("schema_derivation")
+def schema_derivation(spark, sf_dir):
+    """A schema for the tree of every page, and how many of its elements needed a suffix."""
+    ensure_checkpoint_dir(spark)
+    nodes = page_nodes(spark, sf_dir).checkpoint()
+    schemas, refs = derive.derive_schemas(nodes, ["page_id"])
+    renamed = refs.join(nodes.select("page_id", "pre", "name"), ["page_id", "pre"]).where(F.element_at(F.split("reference", "/"), -1) != F.col("name"))
+    counts = nodes.groupBy("page_id").agg(F.count("*").alias("n_elements")).join(renamed.groupBy("page_id").agg(F.count("*").alias("n_renamed")), "page_id", "left").na.fill(0, ["n_renamed"])
+    return schemas.join(counts, "page_id").select("page_id", "root", F.md5("schema").alias("schema_md5"), F.length("schema").alias("n_chars"), "n_elements", "n_renamed")
+
+
+#: Rules of pages: rule, scope, element, attribute, pattern, unless, absent, least, severity.
+PAGE_RULES = [
+    ("script", "text", None, None, "<script", None, False, 1, "warning"),
+    ("no_lang", "text", None, None, "<html[^>]* lang=", None, True, 1, "error"),
+    ("comment", "text", None, None, "<!--", None, False, 1, "info"),
+    ("double_h1", "text", None, None, "<h1[ >]", None, False, 2, "error"),
+    ("many_links", "text", None, None, "<a[ >]", '<html lang="de"', False, 6, "info"),
+    ("no_footer", "text", None, None, "<footer", None, True, 1, "warning"),
+    ("entities", "text", None, None, "&amp;&amp;", None, False, 1, "info"),
+    ("relative_link", "element", "a", "href", "^/", None, False, 1, "info"),
+    ("outside_link", "element", "a", "href", "^https?://", None, False, 1, "info"),
+    ("comma_link", "element", "a", "href", ",$", None, False, 1, "warning"),
+    ("no_target", "element", "a", "href", None, None, True, 1, "error"),
+    ("no_charset", "element", "meta", "charset", "^(?:utf|UTF)-8$", None, True, 1, "error"),
+    ("foreign_page", "element", "html", "lang", "^(?:de|fr|es)$", None, False, 1, "info"),
+    ("no_page_lang", "element", "html", "lang", "^[a-z]{2}$", None, True, 1, "error"),
+    ("advert", "element", "div", "class", "(?:^| )ad(?: |$)", None, False, 1, "warning"),
+    ("unclassed", "element", "div|p", "class", None, "^id=", True, 1, "info"),
+    ("symbols", "element", "h1|title", None, "[#*%$]", None, False, 1, "warning"),
+    ("empty_heading", "element", "h1", None, "^\\s*$", None, False, 1, "error"),
+    ("long_heading", "element", "h[1-6]", None, ".{60,}", None, False, 1, "warning"),
+    ("inline_style", "element", None, "style", None, None, False, 1, "warning"),
+    ("click_handler", "element", None, "onclick", None, None, False, 1, "error"),
+    ("tracking", "element", "script", None, "track\\(", None, False, 1, "warning"),
+    ("bold_start", "element", "b", None, "^[A-Z]", None, False, 1, "info"),
+]
+RULE_SCHEMA = "rule string, scope string, element string, attribute string, pattern string, unless string, absent boolean, least int, severity string"
+
+
+@query("rule_table")
+def rule_table(spark, sf_dir):
+    """Findings of a table of rules over the texts and the elements of all pages."""
+    rules = spark.createDataFrame(PAGE_RULES, RULE_SCHEMA)
+    whole = derive.text_findings(table(spark, sf_dir, "pages").select("page_id", "html"), "html", rules)
+    parts = derive.element_findings(page_nodes(spark, sf_dir), ["page_id"], rules)
+    return whole.select("page_id", F.lit(None).cast("int").alias("pre"), "rule", "severity", F.col("n").cast("string").alias("detail")).unionByName(parts.select("page_id", "pre", "rule", "severity", "detail"))
