@@ -30,8 +30,12 @@ class SetModule:
     claims: Callable[[DataFrame], DataFrame]
 
 
-def run_modules(nodes: DataFrame, modules: Iterable[RowModule | SetModule], keys: list[str]) -> DataFrame:
-    """``nodes`` with ``module`` and ``kind`` of the first module that claims each, null where none does."""
+def run_modules(nodes: DataFrame, modules: Iterable[RowModule | SetModule], keys: list[str], cut_after: int = 2) -> DataFrame:
+    """``nodes`` with ``module`` and ``kind`` of the first module that claims each, null where none does.
+
+    A set module's plan holds that of all before it twice, so after every ``cut_after`` of them the nodes are written to the checkpoint folder.
+    """
+    sets = 0
     done = nodes.withColumns({"module": F.lit(None).cast("string"), "kind": F.lit(None).cast("string")})
     for m in modules:
         if isinstance(m, RowModule):
@@ -40,9 +44,12 @@ def run_modules(nodes: DataFrame, modules: Iterable[RowModule | SetModule], keys
             # one claim for each key, whatever a module returns; a null is a key like others, so repeated rows are claimed together
             claims = m.claims(done.where("module IS NULL").drop("module", "kind")).groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("kind").alias("_claim"))
             same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+            sets += 1
             done, kind = done.join(claims, same, "left").drop(*[f"_of_{k}" for k in keys]), F.col("_claim")
         hit = F.col("module").isNull() & kind.isNotNull()
         done = done.withColumns({"module": F.when(hit, m.name).otherwise(F.col("module")), "kind": F.when(hit, kind).otherwise(F.col("kind"))}).drop("_claim")
+        if isinstance(m, SetModule) and sets % cut_after == 0:
+            done = done.checkpoint()
     return done
 
 
