@@ -2,11 +2,15 @@
 
 Documents are encoded where they are read; from there on only piece lengths move. Pieces are dealt into groups of a
 bounded number of tokens, each group is packed by best-fit decreasing and compared with a lower bound on its number of
-sequences. Full sequences are settled. The pieces of sequences with gaps are exchanged: dealt anew over fewer groups and
-packed again, as long as that saves sequences and the bound leaves room.
+sequences. Where the bound leaves room, the sequences of a group with gaps exchange pieces: those of the emptiest, and of
+some drawn at random, are packed again, each sequence with the set of pieces that fits it best; this is kept if it takes
+fewer, and repeated until the bound is met or ``FRUITLESS`` attempts in a row (more where pieces are few) save nothing. Full sequences are then settled, and the
+pieces of those with gaps are dealt anew over fewer groups and packed again, as long as that saves sequences, at most
+``ROUNDS`` times. Attempts and rounds limit how good a packing gets, never which pieces are placed.
 
 A null text is an empty document (its terminator only). Ties in length go by piece number. Repeated rows are packed as
-documents of their own. Null ids pass through. Very long documents are cut into full pieces, which take a sequence each.
+documents of their own. Null ids pass through. Very long documents are cut into full pieces, which take a sequence each. An
+empty table gives an empty result; columns other than id and text are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from quillspark.llm.tokenization import encoder
 GROUP_TOKENS, GROUP_PIECES = 1 << 25, 400_000
 #: Most exchanges of gap documents between groups.
 ROUNDS = 4
+#: Attempts in a row without a saving before a group gives up, and pieces that one attempt packs again.
+FRUITLESS, POOL = 12, 2_500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -99,13 +105,77 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
+def fullest(lengths: np.ndarray, capacity: int, order: np.ndarray) -> np.ndarray:
+    """Sequence number of each piece: each sequence takes the next piece in ``order`` and the set of others that fills it best.
+
+    Sums that a room allows are the bits of a number; pieces are added until one fills the room or all were tried, and the
+    sets are read back from the numbers before each piece.
+    """
+    size, left, bins, b = lengths.tolist(), order.tolist(), np.zeros(len(lengths), np.int64), 0
+    while left:
+        room, sums, steps = capacity - size[left[0]], 1, []
+        mask = (1 << (room + 1)) - 1
+        for k in left[1:]:
+            more = sums | (sums << size[k] & mask)
+            if more != sums:
+                steps.append((k, sums))
+                sums = more
+                if sums >> room:
+                    break
+        best, taken = sums.bit_length() - 1, {left[0]}
+        for k, before in reversed(steps):
+            if not before >> best & 1:
+                taken.add(k)
+                best -= size[k]
+        bins[list(taken)] = b
+        b += 1
+        left = [k for k in left if k not in taken]
+    return bins
+
+
+def exchange(lengths: np.ndarray, bins: np.ndarray, capacity: int, bound: int, seed: int = 0) -> np.ndarray:
+    """``bins`` or a packing with fewer sequences, where the bound leaves room."""
+    rng, fruitless = np.random.default_rng(seed), 0
+    most = FRUITLESS * max(1, POOL // max(len(lengths), 1))  # few pieces are packed again quickly
+    while fruitless < most and len(lengths) and bins.max() + 1 > bound:
+        fill, many = np.bincount(bins, lengths), np.bincount(bins)
+        rank = fill + (rng.random(len(fill)) * capacity * fruitless / most)  # the emptiest first, later more at random
+        chosen = np.argsort(rank, kind="stable")
+        chosen = chosen[np.cumsum(many[chosen]) <= POOL]
+        pool = np.flatnonzero(np.isin(bins, chosen))
+        noise = 1 + 0.15 * rng.standard_normal(len(pool)) * (fruitless > 0)
+        again = fullest(lengths[pool], capacity, np.argsort(-lengths[pool] * noise, kind="stable"))
+        if len(pool) and again.max() + 1 < len(chosen):
+            bins = bins.copy()
+            bins[pool] = bins.max() + 1 + again
+            bins = np.unique(bins, return_inverse=True)[1]
+            fruitless = 0
+        else:
+            fruitless += 1
+    return bins
+
+
+def placed(lengths: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offset of each piece in its sequence, how full each sequence is)."""
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    fill = np.bincount(bins, lengths).astype(np.int64)
+    offsets = np.empty(len(lengths), np.int64)
+    offsets[order] = ends - lengths[order] - (np.cumsum(fill) - fill)[bins[order]]
+    return offsets, fill
+
+
 def _pack_groups(items: DataFrame, groups: int, seed: int, capacity: int) -> DataFrame:
     """Each group packed; ``filled`` is the fill of the piece's sequence."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("item", ignore_index=True)
-        bins, offsets, fill = best_fit_decreasing(group["length"].to_numpy(), capacity)
-        bound = lower_bound(group["length"].to_numpy(), capacity)
+        lengths = group["length"].to_numpy()
+        bins, _, fill = best_fit_decreasing(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        if len(fill) > bound:
+            bins = exchange(lengths, bins, capacity, bound, seed)
+        offsets, fill = placed(lengths, bins)
         number = (seed << 56) + (int(group["grp"].iloc[0]) << 28) + bins
         return group.assign(sequence_id=number, offset=offsets, filled=fill[bins], group_bins=len(fill), group_bound=bound)
 

@@ -82,3 +82,53 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.length) for r in rows if r.doc_id in (1, 2, 3)) == [(1, 1), (2, 1), (3, 3), (3, 3)]
     assert sum(r.length for r in rows if r.doc_id == 4) == 5001
     assert packing.pack_documents(docs.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_exchange_saves_where_the_bound_leaves_room():
+    saved = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        for low, high, n in ((1, 2049, 200), (300, 1200, 100), (300, 1200, 1_500)):
+            lengths = rng.integers(low, high, n)
+            bins, _, fill = packing.best_fit_decreasing(lengths, 2048)
+            bound = packing.lower_bound(lengths, 2048)
+            again = packing.exchange(lengths, bins, 2048, bound)
+            offsets, filled = packing.placed(lengths, again)
+            assert bound <= len(filled) <= len(fill) and filled.max() <= 2048 and set(again) == set(range(len(filled)))
+            for b in range(len(filled)):  # gapless from 0
+                at = np.flatnonzero(again == b)
+                at = at[np.argsort(offsets[at])]
+                assert offsets[at].tolist() == (np.cumsum(lengths[at]) - lengths[at]).tolist()
+            assert (packing.exchange(lengths, bins, 2048, bound) == again).all()  # the same each time
+            saved += len(fill) - len(filled)
+    assert saved >= 10
+
+
+def test_fullest_sets_equal_all_subsets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        lengths = rng.integers(1, 20, rng.integers(1, 9))
+        bins = packing.fullest(lengths, 30, np.argsort(-lengths, kind="stable"))
+        first = [k for k in range(len(lengths)) if bins[k] == 0]
+        head, rest = int(lengths.max()), np.delete(lengths, int(np.argsort(-lengths, kind="stable")[0])).tolist()
+        best = max(sum(c) for n in range(len(rest) + 1) for c in combinations(rest, n) if head + sum(c) <= 30)
+        assert lengths[first].sum() == head + best
+
+
+def test_exchange_of_nothing_and_of_full_sequences():
+    none = np.zeros(0, np.int64)
+    assert len(packing.exchange(none, none, 10, 0)) == 0 and [len(x) for x in packing.placed(none, none)] == [0, 0]
+    full = np.full(5, 10)
+    assert packing.exchange(full, np.arange(5), 10, 5).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_other_columns_repeated_rows_and_empty_tables(spark):
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, None, None)], "doc_id long, text string, Piece int, `a.b` string")
+    rows = packing.pack_documents(df, "doc_id", "text", tokenizer).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"] and len({(r.sequence_id, r.offset) for r in rows}) == 3
+    assert packing.pack_documents(df.where("false"), "doc_id", "text", tokenizer).collect() == []
