@@ -7,6 +7,7 @@ per pair, and every pair is independent of all others.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,17 +98,27 @@ def lis_length(values: list) -> int:
 
 
 def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions of one longest common subsequence: the first that a walk from the front finds."""
-    rest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            rest[i][j] = rest[i + 1][j + 1] + 1 if a[i] == b[j] else max(rest[i + 1][j], rest[i][j + 1])
+    """Positions of one longest common subsequence: the first that a walk from the front finds.
+
+    A row for each suffix of ``a`` is one number with a bit for each item of ``b`` from its end; its zeros among the lowest
+    bits count the common subsequence of both suffixes, so the rows of two lists of 20,000 items take 50 MB.
+    """
+    at: dict = {}
+    for k, y in enumerate(reversed(b)):
+        at[y] = at.get(y, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for x in reversed(a):
+        hit = rows[-1] & at.get(x, 0)
+        rows.append((rows[-1] + hit | rows[-1] - hit) & full)
+    rows.reverse()
+    common = lambda i, j: len(b) - j - (rows[i] & (1 << len(b) - j) - 1).bit_count()
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif rest[i + 1][j] >= rest[i][j + 1]:
+        elif common(i + 1, j) == common(i, j):  # this item of a is not needed
             i += 1
         else:
             j += 1
@@ -159,34 +170,16 @@ def similarity(a: list, b: list) -> float:
 
 
 def common_runs(lists: list[list], least: int = 3) -> list[list]:
-    """Runs of the first list, ``least`` long or more, that all other lists hold in the same order."""
-    first, keep = lists[0], None
-    for other in lists[1:]:
-        table = [[0] * (len(other) + 1) for _ in range(len(first) + 1)]
-        for i in range(len(first) - 1, -1, -1):
-            for j in range(len(other) - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if first[i] == other[j] else max(table[i + 1][j], table[i][j + 1])
-        i = j = 0
-        matched = {}
-        while i < len(first) and j < len(other):
-            if first[i] == other[j]:
-                matched[i] = j
-                i, j = i + 1, j + 1
-            elif table[i + 1][j] >= table[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        keep = {i: (m,) for i, m in matched.items()} if keep is None else {i: (*keep[i], m) for i, m in matched.items() if i in keep}
-    runs, run = [], []
-    for i in range(len(first) + 1):
-        fits = keep is None or (i in keep and (not run or all(a == b + 1 for a, b in zip(keep[i], keep[i - 1]))))
-        if i < len(first) and fits:
-            run.append(first[i])
-            continue
-        if len(run) >= least:
-            runs.append(run)
-        run = [first[i]] if i < len(first) and keep is not None and i in keep else []
-    return runs
+    """Runs of the first list, ``least`` long or more, that all other lists hold in the same order.
+
+    Items that each alignment with the first list matches are kept; a run goes on while the place in every list does.
+    """
+    first, *others = lists
+    places = [dict(lcs_pairs(first, other)) for other in others]
+    shared = [i for i in range(len(first)) if all(i in p for p in places)]
+    moves = groupby(enumerate(shared), key=lambda e: (e[1] - e[0], *[p[e[1]] - e[1] for p in places]))
+    runs = [[first[i] for _, i in run] for _, run in moves]
+    return [r for r in runs if len(r) >= least]
 
 
 def set_cover(target: frozenset, sets: dict) -> list | None:

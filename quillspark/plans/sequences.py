@@ -334,6 +334,19 @@ def anchored_segments(spark, sf_dir):
     return neighbours(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, n_segments long, n_aligned long")
 
 
+@query("anchored_alignment")
+def anchored_alignment(spark, sf_dir):
+    """Neighbouring turns aligned between the words that anchor both: each matched pair of places, from 0."""
+
+    def run(batches):
+        for batch in batches:
+            for conv, turn, a, b in zip(batch["conv_id"], batch["turn"], batch["a"], batch["b"]):
+                matched = sq.anchored_alignment(list(a), list(b))[1]
+                yield pd.DataFrame({"conv_id": conv, "turn": turn, "a_place": [i for i, _ in matched], "b_place": [j for _, j in matched]}).astype({"a_place": "int64", "b_place": "int64"})
+
+    return neighbours(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, a_place long, b_place long")
+
+
 @query("common_runs")
 def common_runs(spark, sf_dir):
     """Runs of three or more words that all turns of a conversation hold in order."""
