@@ -84,7 +84,40 @@ def form_boxes(spark, sf_dir):
     return boxes.groupBy("page", "node").agg(F.min(F.struct("node_kind", "x", "y", "w", "h")).alias("box")).select("page", "node", "box.*")
 
 
-@query("form_modules")
+def form_modules_sql() -> str:
+    """SQL of the same modules: for each one the nodes that it claims, and those that stay free."""
+    runs = lambda kind, line, start, size, gap: f"""SELECT page, node FROM (SELECT *, count(*) OVER (PARTITION BY page, {line}, run) AS n FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY page, {line} ORDER BY {start}, {start} + {size}, node ROWS UNBOUNDED PRECEDING) AS run FROM (
+        SELECT *, CASE WHEN {start} - max({start} + {size}) OVER (PARTITION BY page, {line} ORDER BY {start}, {start} + {size}, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS fresh FROM free WHERE k = '{kind}'))) WHERE n >= 2"""
+    label = lambda along, across, size, gap: f"""SELECT page, node FROM (SELECT *, lead(k) OVER w AS next_k, lead({along}) OVER w - {along} - {size} AS gap FROM free WINDOW w AS (PARTITION BY page, {across} ORDER BY {along}, node))
+        WHERE k = 'text' AND next_k = 'field' AND gap BETWEEN 0 AND {gap}"""
+    leaders = lambda v, tolerance: f"""(SELECT page, list_reduce(list_transform(list_sort(list(DISTINCT {v})), lambda a: [a]), lambda done, a: CASE WHEN a[1] - done[len(done)] > {tolerance} THEN list_concat(done, a) ELSE done END) AS firsts FROM g GROUP BY page)"""
+    first = "list_max(list_filter({}.firsts, lambda a: a <= g.{}))"
+    cross = lambda where, tolerance, rows, columns: f"""WITH g AS (SELECT * FROM free WHERE {where}), z AS (SELECT g.page, g.node, {first.format("p", "y")} AS r, {first.format("q", "x")} AS c FROM g JOIN {leaders("y", tolerance)} p ON p.page = g.page JOIN {leaders("x", tolerance)} q ON q.page = g.page)
+        SELECT page, node FROM z WHERE (page, r) IN (SELECT (page, r) FROM z GROUP BY page, r HAVING count(DISTINCT c) >= {columns}) AND (page, c) IN (SELECT (page, c) FROM z GROUP BY page, c HAVING count(DISTINCT r) >= {rows})"""
+    repeat = f"""WITH g AS (SELECT * FROM free), z AS (SELECT g.page, g.node, g.k || '@' || g.x AS s, {first.format("p", "y")} AS r FROM g JOIN {leaders("y", 1)} p ON p.page = g.page), t AS (SELECT page, r, list_sort(list(s)) AS shape, count(*) AS n FROM z GROUP BY page, r),
+        u AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY r) AS run FROM (SELECT *, CASE WHEN lag(shape) OVER (PARTITION BY page ORDER BY r) = shape THEN 0 ELSE 1 END AS fresh FROM t)),
+        v AS (SELECT page, r FROM (SELECT *, count(*) OVER (PARTITION BY page, run) AS long FROM u) WHERE long >= 2 AND n >= 2) SELECT z.page, z.node FROM z JOIN v ON v.page = z.page AND v.r = z.r"""
+    single = lambda kind: f"SELECT page, node FROM free WHERE k = '{kind}'"
+    steps = [
+        ("radio_group", "group", runs("radio", "x", "y", "h", 8)), ("radio", "single", single("radio")), ("checkbox_group", "group", runs("checkbox", "x", "y", "h", 8)), ("checkbox", "single", single("checkbox")),
+        ("inline_label", "left", label("x", "y", "w", 25)), ("caption", "above", label("y", "x", "h", 6)), ("field_table", "cell", cross("k = 'field'", 4, 2, 2)), ("repeat", "row", repeat), ("grid", "cell", cross("true", 2, 3, 3)),
+        ("text_block", "line", runs("text", "y", "x", "w", 30)), ("column_layout", "column", "SELECT page, node FROM (SELECT *, count(*) OVER (PARTITION BY page, x) AS n, count(*) OVER (PARTITION BY page) AS every FROM free) WHERE n >= 3 AND n >= every * 0.2"),
+        ("field", "single", single("field")), ("text", "single", "SELECT page, node FROM free"),
+    ]
+    ctes = [
+        """f0 AS MATERIALIZED (SELECT page, node, b.k, b.x, b.y, b.w, b.h FROM (SELECT page, node, min({'k': k, 'x': x, 'y': y, 'w': w, 'h': h}) AS b FROM (
+           SELECT l_partkey AS page, l_orderkey * 8 + l_linenumber AS node, CASE WHEN l_linestatus = 'O' AND l_linenumber % 5 = 0 THEN 'radio' WHEN l_returnflag = 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'checkbox' ELSE 'radio' END
+             WHEN l_returnflag = 'A' OR l_linenumber % 3 = 0 THEN 'field' ELSE 'text' END AS k, round(l_discount * 500) AS x, (floor(l_quantity / 5) * 6)::DOUBLE AS y, round(l_tax * 200) + 4 AS w, 5::DOUBLE AS h FROM lineitem) GROUP BY page, node))"""
+    ]
+    for k, (_, _, claims) in enumerate(steps):
+        ctes.append(f"c{k} AS MATERIALIZED (WITH free AS (SELECT * FROM f{k}) {'SELECT * FROM (' + claims + ')'})")
+        ctes.append(f"f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} WHERE (page, node) NOT IN (SELECT (page, node) FROM c{k}))")
+    found = " UNION ALL ".join(f"SELECT f0.page, f0.node, f0.k AS node_kind, '{m}' AS module, '{kind}' AS kind FROM f0 JOIN c{k} ON c{k}.page = f0.page AND c{k}.node = f0.node" for k, (m, kind, _) in enumerate(steps))
+    return f"WITH {', '.join(ctes)} {found}"
+
+
+@query("form_modules", form_modules_sql())
 def form_modules_query(spark, sf_dir):
     """Boxes of every page by the module that claims them."""
     ensure_checkpoint_dir(spark)
