@@ -222,11 +222,21 @@ def index_line(url: str | None, kind: str, digest: str, offset: int, size: int)
     return f"{url_key(url)} 19700101000000 {json.dumps(facts, separators=(',', ':'))}\n".encode()
 
 
+#: Names that Spark gives to stores, and those under which Arrow knows them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def _filesystem(folder: str):
-    """(file system, path) of a folder URI or plain path."""
+    """(file system, path) of a folder URI or plain path; a store that Arrow does not reach is an error that names those it does."""
+    import pyarrow as pa
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+    scheme, found, rest = folder.partition("://")
+    uri = f"{SCHEMES.get(scheme, scheme)}://{rest}" if found else f"file://{folder.removeprefix('file:')}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError) as error:
+        raise ValueError(f"packages cannot be kept in {folder}: ranges are read by Arrow, which needs a folder by file, s3, s3a, gs, abfs, or hdfs with its native library") from error
 
 
 def plan_records(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
@@ -243,6 +253,7 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     ``marks`` are the places in the index member at which each run of ``READ_RECORDS`` lines begins, and its end.
     """
+    _filesystem(folder)  # so that a store out of reach fails here, before any task
     small_batches(pages.sparkSession)
     plan = cut(plan_records(pages, page_id, payload).where("refers_to IS NOT NULL").distinct())
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")

@@ -89,3 +89,14 @@ def test_very_long_payload(spark):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.payload_digest) for r in warc.round_trip(pages).drop("payload").collect()}
     digest = hashlib.sha1(text.encode()).hexdigest()
     assert got == {1: (len(text.encode()), "revisit", digest), 2: (len(text.encode()), "response", digest)}
+
+
+def test_stores_by_their_spark_names_and_out_of_reach(spark):
+    try:
+        system, path = warc._filesystem("s3a://bucket/folder")
+        assert system.type_name == "s3" and path == "bucket/folder"
+    except ValueError as error:  # an Arrow without that store says so
+        assert "s3a" in str(error)
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    with pytest.raises(ValueError, match="cannot be kept in nosuch://"):
+        warc.write_packages(pages, "nosuch://host/folder")
