@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import wrapping
 from quillspark.plans.analysis import form_boxes
 from quillspark.plans.layout import BOXES, boxes
 from quillspark.plans.registry import query
@@ -85,3 +86,26 @@ def label_on_right(spark, sf_dir, most: float = 60.0, tolerance: float = 2.0):
     found = pages.select("page", f["node"].alias("mark"), near.alias("near")).where(F.size("near") > 0)
     best = found.select("page", "mark", F.aggregate(F.slice("near", F.lit(2), F.size("near")), F.element_at("near", 1), better).alias("best"))
     return best.select("page", "mark", "best.label", F.round("best.gap", 6).alias("gap"), F.round("best.off", 6).alias("off"))
+
+
+@query(
+    "wrapped_lines",
+    r"""
+    WITH RECURSIVE p AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS para FROM conversations),
+    q AS (SELECT conv_id, turn, para, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM p),
+    w AS (SELECT conv_id, turn, para, flatten(list_transform(w, lambda x: CASE WHEN 2 * length(x) - length(regexp_replace(x, '[^fijlrtI.,;:!''|()\[\] ]', '', 'g')) + length(regexp_replace(x, '[^mwMW@%&]', '', 'g')) <= 40 THEN [x]
+      ELSE list_transform(range(0, (length(x) + 11) // 12), lambda k: x[k * 12 + 1:k * 12 + 12] || CASE WHEN k * 12 + 12 < length(x) THEN '-' ELSE '' END) END)) AS w FROM q),
+    z AS (SELECT *, list_transform(w, lambda x: 2 * length(x) - length(regexp_replace(x, '[^fijlrtI.,;:!''|()\[\] ]', '', 'g')) + length(regexp_replace(x, '[^mwMW@%&]', '', 'g'))) AS s FROM w WHERE len(w) > 0),
+    r AS (SELECT conv_id, turn, para, w, s, 1 AS k, 1 AS line, s[1] AS used, w[1] AS text, s[1] AS widest FROM z UNION ALL
+      SELECT conv_id, turn, para, w, s, k + 1, line + CASE WHEN used + 1 + s[k + 1] <= 40 THEN 0 ELSE 1 END, CASE WHEN used + 1 + s[k + 1] <= 40 THEN used + 1 + s[k + 1] ELSE s[k + 1] END,
+        text || CASE WHEN used + 1 + s[k + 1] <= 40 THEN ' ' ELSE chr(10) END || w[k + 1], greatest(widest, CASE WHEN used + 1 + s[k + 1] <= 40 THEN used + 1 + s[k + 1] ELSE s[k + 1] END) FROM r WHERE k < len(w))
+    SELECT conv_id, turn, para, line AS n_lines, CAST(widest AS INT) AS widest, md5(text) AS wrapped FROM r WHERE k = len(w)
+    """,
+)
+def wrapped_lines(spark, sf_dir, most: int = 40):
+    """The paragraphs of all turns broken into lines of at most ``most`` units."""
+    paras = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("para", "t"))
+    words = paras.select("conv_id", "turn", (F.col("para") + 1).cast("long").alias("para"), wrapping.words_to_wrap(F.col("t"), most).alias("words")).where(F.size("words") > 0)
+    lines = words.withColumn("lines", wrapping.line_numbers(F.col("words"), most)).withColumn("text", wrapping.wrapped(F.col("words"), F.col("lines")))
+    widest = F.array_max(F.transform(F.split("text", "\n"), wrapping.width))
+    return lines.select("conv_id", "turn", "para", F.element_at("lines", -1).alias("n_lines"), widest.alias("widest"), F.md5("text").alias("wrapped"))
