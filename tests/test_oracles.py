@@ -9,6 +9,18 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries without SQL, and the tests that compare their rows with plain code.
+BRUTE_FORCE = {
+    "anchored_alignment": "test_alignment.py",
+    "anchored_segments": "test_alignment.py",
+    "common_runs": "test_alignment.py",
+    "orphan_consolidation": "test_merging.py",
+    "rule_table": "test_derive.py",
+    "schema_derivation": "test_derive.py",
+    "tree_edit_batches": "test_trees.py",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -31,7 +43,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in catalog.SQL:
-        assert got
+        assert got and name in BRUTE_FORCE  # the rows themselves are tested there
         return
     cursor = duck.execute(catalog.SQL[name])
     names = [d[0] for d in cursor.description]
