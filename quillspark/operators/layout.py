@@ -13,17 +13,20 @@ def mode(df: DataFrame, group: list[str], value: str, largest: bool) -> DataFram
     return counts.groupBy(*group).agg(F.max_by(value, rank).alias(value), F.max("n").alias("n"))
 
 
-def gap_clusters(df: DataFrame, group: list[str], start: str, end: str, max_gap: float, out: str = "cluster") -> DataFrame:
-    """Number of the cluster of each interval: a new one begins where the gap to all before it is more than ``max_gap``."""
-    order = Window.partitionBy(*group).orderBy(start, end)
+def gap_clusters(df: DataFrame, group: list[str], start: str, end: str, max_gap: float, out: str = "cluster", ties: list[str] = ()) -> DataFrame:
+    """Number of the cluster of each interval: a new one begins where the gap to all before it is not at most ``max_gap``.
+
+    Intervals stand by start, end and ``ties``, nulls last; one without a start, or behind intervals without an end alone, is a cluster of its own.
+    """
+    order = Window.partitionBy(*group).orderBy(*[F.asc_nulls_last(c) for c in (start, end, *ties)])
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) - reach > max_gap), 1).otherwise(0)
+    fresh = F.when(F.col(start) - reach <= max_gap, 0).otherwise(1)
     return df.withColumn("_fresh", fresh).withColumn(out, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
 
 
-def merge_intervals(df: DataFrame, group: list[str], start: str, end: str, max_gap: float = 0.0) -> DataFrame:
+def merge_intervals(df: DataFrame, group: list[str], start: str, end: str, max_gap: float = 0.0, ties: list[str] = ()) -> DataFrame:
     """The merged intervals of each group with their number of parts."""
-    clustered = gap_clusters(df, group, start, end, max_gap, "_c")
+    clustered = gap_clusters(df, group, start, end, max_gap, "_c", ties)
     return clustered.groupBy(*group, "_c").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_c")
 
 

@@ -134,7 +134,7 @@ def majority_vote(spark, sf_dir):
 )
 def gap_cluster(spark, sf_dir, max_gap: float = 3.0):
     """Clusters of nodes of a page with at most the gap between them."""
-    return lo.gap_clusters(spans(spark, sf_dir), ["page"], "y0", "y1", max_gap).select("page", "node", "cluster")
+    return lo.gap_clusters(spans(spark, sf_dir), ["page"], "y0", "y1", max_gap, ties=["node"]).select("page", "node", "cluster")
 
 
 @query(
