@@ -143,7 +143,7 @@ def gap_cluster(spark, sf_dir, max_gap: float = 3.0):
 )
 def merge_intervals(spark, sf_dir):
     """Merged extents of each page."""
-    return lo.merge_intervals(spans(spark, sf_dir), ["page"], "y0", "y1")
+    return lo.merge_intervals(spans(spark, sf_dir), ["page"], "y0", "y1", ties=["node"])
 
 
 @query(

@@ -26,3 +26,8 @@ EXTENTS = [(1, 1, None), (1, 2, None), (1, 1, 4.0), (1, None, 4.0), (1, None, 4.
 def test_gap_clusters_without_extents(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "gap_cluster", EXTENTS, LINES, "lineitem")
     assert got == want
+
+
+def test_merged_intervals_without_extents(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "merge_intervals", EXTENTS, LINES, "lineitem")
+    assert got == want
