@@ -1,9 +1,14 @@
 """Queries against their SQL on tables that the test data lacks: nulls, ties, wide value ranges."""
 
 import math
+import random
+from datetime import datetime, timedelta
 
 import duckdb
+from pyspark.sql import functions as F
 
+from quillspark.operators import sketches
+from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.plans import catalog
 
 LINES = "l_orderkey long, l_linenumber int, l_quantity double"
@@ -31,3 +36,23 @@ def test_gap_clusters_without_extents(spark, tmp_path):
 def test_merged_intervals_without_extents(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "merge_intervals", EXTENTS, LINES, "lineitem")
     assert got == want
+
+
+def test_rollup_beyond_the_sketches(spark, tmp_path):
+    """More users and values than the sketches hold, repeated values, nulls in each column, a group without values."""
+    rng = random.Random(3)
+    day = datetime(2024, 1, 1)
+    rows = [(k, day + timedelta(days=k % 3), k if k % 50 else None, None if k % 7 == 0 else "ab"[k % 2], None if k % 11 == 0 else 5.0 if k % 9 == 0 else rng.random()) for k in range(90_000)]
+    rows += [(k, None, 1, "none", None) for k in range(5)] + [(k, day, 2, "one", math.nan if k else 1.0) for k in range(3)]
+    got, want = against_sql(spark, tmp_path, "sketch_rollup", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double", "events")
+    assert got == want
+
+
+def test_wrong_brackets_are_opened(spark, monkeypatch):
+    """Brackets that miss their quantile, here those of the sketch's median shifted away, cost time but no result."""
+    ensure_checkpoint_dir(spark)
+    df = spark.range(50_001).select(F.lit("x").alias("a"), F.col("id").alias("item"), F.col("id").cast("double").alias("number"))
+    monkeypatch.setattr(sketches, "BRACKET", -0.2)
+    assert [tuple(r) for r in sketches.exact_rollup(df, [["a"], []], ["a"], "item", "number", {"median": 0.5}).orderBy("grouping").collect()] == [("x", 0, 50_001, 50_001, 25_000.0), (None, 1, 50_001, 50_001, 25_000.0)]
+    empty = sketches.exact_rollup(df.where("false"), [["a"], []], ["a"], "item", "number", {"median": 0.5}).collect()
+    assert [tuple(r) for r in empty] == [(None, 1, 0, 0, None)]
