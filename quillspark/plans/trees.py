@@ -38,8 +38,8 @@ NODES = r"""
 NODES = f"WITH RECURSIVE {NODES.strip()}"
 
 
-def page_nodes(spark, sf_dir):
-    return node_table(table(spark, sf_dir, "pages"), ["page_id"], "html")
+def page_nodes(spark, sf_dir, columns: list[str] | None = None):
+    return node_table(table(spark, sf_dir, "pages"), ["page_id"], "html", columns=columns)
 
 
 @query("xml_nodes", rf"""{NODES} SELECT page_id, pre, last, parent, depth, name, ord, nth, path, replace(array_to_string(attributes, ' '), '"', '') AS attributes FROM n""")
@@ -84,7 +84,8 @@ def xml_violations(spark, sf_dir):
 def path_expressions(spark, sf_dir):
     """All elements of all pages that fit each of a table of path expressions."""
     expressions = spark.createDataFrame(list(enumerate(EXPRESSIONS)), "expr_id int, expr string")
-    return trees.resolve_paths(page_nodes(spark, sf_dir).select("page_id", "pre", "depth", "name", "nth", "path"), expressions).select("page_id", "expr_id", "pre", "path")
+    # a list of this file: a join by shuffle would bring all elements of a name into one task
+    return trees.resolve_paths(page_nodes(spark, sf_dir, ["pre", "depth", "name", "nth", "path"]), F.broadcast(expressions)).select("page_id", "expr_id", "pre", "path")
 
 
 @query(

@@ -56,3 +56,13 @@ def test_wrong_brackets_are_opened(spark, monkeypatch):
     assert [tuple(r) for r in sketches.exact_rollup(df, [["a"], []], ["a"], "item", "number", {"median": 0.5}).orderBy("grouping").collect()] == [("x", 0, 50_001, 50_001, 25_000.0), (None, 1, 50_001, 50_001, 25_000.0)]
     empty = sketches.exact_rollup(df.where("false"), [["a"], []], ["a"], "item", "number", {"median": 0.5}).collect()
     assert [tuple(r) for r in empty] == [(None, 1, 0, 0, None)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_path_expressions_do_not_gather_names(spark):
+    """Elements of one name, a hot key, are not shuffled together, and pages are parsed once."""
+    found = plan(catalog.QUERIES["path_expressions"](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning" not in found and found.count("MapInArrow") == 1
