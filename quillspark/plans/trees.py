@@ -104,7 +104,8 @@ def path_expressions(spark, sf_dir):
 )
 def scope_walk(spark, sf_dir):
     """For each bold or linked element of a page the nearest heading, paragraph and title in scope."""
-    nodes = page_nodes(spark, sf_dir).select("page_id", "pre", "ancestors", "depth", "name")
+    ensure_checkpoint_dir(spark)
+    nodes = page_nodes(spark, sf_dir, ["pre", "ancestors", "depth", "name"]).checkpoint()  # parsed once
     wanted = F.explode(F.array(*map(F.lit, ["h1", "p", "title", "li", "table"])))
     asked = nodes.where(F.col("name").isin("b", "a", "div")).select("page_id", F.col("pre").alias("context"), wanted.alias("wanted"))
     asked = asked.withColumn("ref_id", F.concat_ws(":", "context", "wanted"))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quillspark.operators import sketches
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
@@ -66,3 +67,15 @@ def test_path_expressions_do_not_gather_names(spark):
     """Elements of one name, a hot key, are not shuffled together, and pages are parsed once."""
     found = plan(catalog.QUERIES["path_expressions"](spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning" not in found and found.count("MapInArrow") == 1
+
+
+def parses(monkeypatch, name, spark):
+    """How often the plan of a query and the checkpoints that it writes parse the pages."""
+    plans, write = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a, **k: (plans.append(plan(df)), write(df, *a, **k))[1])
+    plans.append(plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")))
+    return sum(p.count("MapInArrow") for p in plans)
+
+
+def test_scope_walk_parses_once(spark, monkeypatch):
+    assert parses(monkeypatch, "scope_walk", spark) == 1
