@@ -68,7 +68,9 @@ def xml_nodes(spark, sf_dir):
 )
 def xml_violations(spark, sf_dir):
     """Faults in the markup of all pages: broken nesting, missing and repeated attributes, misplaced elements, undeclared prefixes."""
-    return trees.violations(page_nodes(spark, sf_dir), ["page_id"], REQUIRED, INSIDE)
+    ensure_checkpoint_dir(spark)
+    nodes = page_nodes(spark, sf_dir, ["pre", "last", "depth", "name", "path", "attributes", "issues"])
+    return trees.violations(nodes, ["page_id"], REQUIRED, INSIDE)
 
 
 @query(

@@ -79,3 +79,7 @@ def parses(monkeypatch, name, spark):
 
 def test_scope_walk_parses_once(spark, monkeypatch):
     assert parses(monkeypatch, "scope_walk", spark) == 1
+
+
+def test_violations_parse_once(spark, monkeypatch):
+    assert parses(monkeypatch, "xml_violations", spark) == 1
