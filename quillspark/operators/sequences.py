@@ -74,16 +74,29 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - bin(row).count("1")
 
 
-def lcs_weighted(a: list, b: list, score) -> float:
-    """Greatest total score of an order-preserving matching; pairs count only with a positive score."""
-    row = [0.0] * (len(b) + 1)
+def lcs_weighted(a: list, b: list, score, key=None) -> float:
+    """Greatest total score of an order-preserving matching; pairs count only with a positive score.
+
+    Items score nothing with items of another ``key``, where one is given. Each two distinct items are scored once, and a row of the
+    table is a few array steps over the places that score; items that score nowhere leave it as it is.
+    """
+    import numpy as np
+
+    places: dict = {}
+    for j, y in enumerate(b):
+        places.setdefault(key(y) if key else None, {}).setdefault(y, []).append(j)
+    gains: dict = {}
+    row = np.zeros(len(b) + 1)
     for x in a:
-        diagonal = 0.0
-        for j, y in enumerate(b, 1):
-            s = score(x, y)
-            best = max(row[j], row[j - 1], diagonal + s if s > 0 else 0.0)
-            diagonal, row[j] = row[j], best
-    return row[-1]
+        if x not in gains:
+            scored = [(j, s) for y, js in places.get(key(x) if key else None, {}).items() if (s := score(x, y)) > 0 for j in js]
+            gains[x] = scored and (np.array([j for j, _ in scored]), np.array([s for _, s in scored], dtype=float))
+        if gains[x]:
+            at, s = gains[x]
+            best = row.copy()
+            best[at + 1] = np.maximum(best[at + 1], row[at] + s)
+            row = np.maximum.accumulate(best)
+    return float(row[-1])
 
 
 def lis_length(values: list) -> int:

@@ -279,7 +279,7 @@ def lcs_weighted(spark, sf_dir):
         n = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         return 2 * n / (len(x) + len(y)) if x and y and n > 1 else 0.0
 
-    return per_pair(spark, sf_dir, "score", "double", lambda a, b: sq.lcs_weighted(a, b, score)).withColumn("score", F.round("score", 6))
+    return per_pair(spark, sf_dir, "score", "double", lambda a, b: sq.lcs_weighted(a, b, score, key=lambda x: x[:2])).withColumn("score", F.round("score", 6))
 
 
 @query(

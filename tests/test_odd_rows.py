@@ -1,6 +1,7 @@
 """Queries against their SQL on tables that the test data lacks: nulls, ties, wide value ranges."""
 
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from quillspark.operators import sketches
+from quillspark.operators import sequences, sketches
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.plans import catalog
 
@@ -83,3 +84,19 @@ def test_scope_walk_parses_once(spark, monkeypatch):
 
 def test_violations_parse_once(spark, monkeypatch):
     assert parses(monkeypatch, "xml_violations", spark) == 1
+
+
+def test_weighted_alignment_scores_few_pairs():
+    """The table of all pairs, with each two distinct words that share their key scored once."""
+    rng = random.Random(4)
+    score = lambda x, y: 2 * n / (len(x) + len(y)) if (n := len(os.path.commonprefix([x, y]))) > 1 else 0.0
+    for _ in range(60):
+        a, b = ([rng.choice(["", "a", "ab", "abc", "abcd", "bc", "bcd", "bd"]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        table = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + score(x, y))
+        assert sequences.lcs_weighted(a, b, score) == sequences.lcs_weighted(a, b, score, key=lambda x: x[:2]) == table[-1][-1]
+    calls = []
+    a, b = ([f"w{k % 5}" for k in range(200)], [f"{'wv'[k % 2]}{k % 5}" for k in range(200)])
+    assert sequences.lcs_weighted(a, b, lambda x, y: calls.append(1) or score(x, y), key=lambda x: x[:1]) > 0 and len(calls) == 25  # not 40,000
