@@ -188,8 +188,14 @@ def common_runs(lists: list[list], least: int = 3) -> list[list]:
     Items that each alignment with the first list matches are kept; a run goes on while the place in every list does.
     """
     first, *others = lists
-    places = [dict(lcs_pairs(first, other)) for other in others]
-    shared = [i for i in range(len(first)) if all(i in p for p in places)]
+    places: list[dict] = []
+    shared = list(range(len(first)))
+    for other in others:
+        at = dict(lcs_pairs(first, other))
+        shared = [i for i in shared if i in at]
+        if not shared:
+            return []
+        places.append({i: at[i] for i in shared})
     moves = groupby(enumerate(shared), key=lambda e: (e[1] - e[0], *[p[e[1]] - e[1] for p in places]))
     runs = [[first[i] for _, i in run] for _, run in moves]
     return [r for r in runs if len(r) >= least]

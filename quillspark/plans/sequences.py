@@ -228,8 +228,17 @@ def unique_anchor_join(spark, sf_dir):
     return lists.mapInPandas(run, "conv_id long, turn long, n_anchors long, n_ordered long")
 
 
+#: Rows of an Arrow batch of word lists, which are Python objects in a task as long as the batch lasts.
+LIST_ROWS = 400
+
+
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(LIST_ROWS))
+
+
 def neighbours(spark, sf_dir):
     """(conv_id, turn, a, b): the words of a turn and of the next."""
+    small_batches(spark)
     words = F.split(F.lower("text"), "\\s+")
     return turns(spark, sf_dir).select("conv_id", "turn", words.alias("a"), F.lead(words).over(by_turn()).alias("b")).where("b IS NOT NULL")
 
@@ -291,6 +300,7 @@ def lcs_weighted(spark, sf_dir):
 )
 def score_matrix(spark, sf_dir):
     """Similarity of every two turns of a conversation; conversations are short."""
+    small_batches(spark)
     words = F.split(F.lower("text"), "\\s+")
     left = turns(spark, sf_dir).select("conv_id", F.col("turn").alias("i"), words.alias("a"))
     right = turns(spark, sf_dir).select("conv_id", F.col("turn").alias("j"), words.alias("b"))
@@ -350,6 +360,7 @@ def anchored_alignment(spark, sf_dir):
 @query("common_runs")
 def common_runs(spark, sf_dir):
     """Runs of three or more words that all turns of a conversation hold in order."""
+    small_batches(spark)
     rows = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.split(F.lower("text"), "\\s+").alias("w")))), lambda t: t["w"]).alias("lists"))
 
     def run(batches):

@@ -100,3 +100,21 @@ def test_weighted_alignment_scores_few_pairs():
     calls = []
     a, b = ([f"w{k % 5}" for k in range(200)], [f"{'wv'[k % 2]}{k % 5}" for k in range(200)])
     assert sequences.lcs_weighted(a, b, lambda x, y: calls.append(1) or score(x, y), key=lambda x: x[:1]) > 0 and len(calls) == 25  # not 40,000
+
+
+def test_word_lists_come_in_small_batches(spark, monkeypatch):
+    """What a task holds as Python objects does not grow with its rows."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name in ("score_matrix", "common_runs", "lcs_length"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 400
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_common_runs_stop_at_the_first_list_without_any(monkeypatch):
+    calls, align = [], sequences.lcs_pairs
+    monkeypatch.setattr(sequences, "lcs_pairs", lambda a, b: (calls.append(1), align(a, b))[1])
+    assert sequences.common_runs([list("abc"), list("xyz"), *[list("abc")] * 50]) == [] and len(calls) == 1
