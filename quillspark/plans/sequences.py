@@ -20,6 +20,16 @@ def turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+#: Rows of one task of a sort; what it holds in memory goes with them.
+TASK_ROWS = 2_000_000
+
+
+def spread(df, key: str, rows: int):
+    """``df`` dealt by ``key`` over partitions that grow in number, not in size, with its ``rows``."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), key)
+
+
 @query(
     "consecutive_repeats",
     """
@@ -60,6 +70,7 @@ def list_runs(spark, sf_dir, tolerance: float = 5.0):
     """Runs of list items whose indent stays within the tolerance from one to the next."""
     w = Window.partitionBy("page").orderBy("k", "x", "p")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("x"), F.col("l_partkey").alias("p"))
+    items = spread(items, "page", items.count())
     fresh = F.when(F.abs(F.col("x") - F.lag("x").over(w)) <= tolerance, 0).otherwise(1)
     runs = items.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("page", "run").agg(F.min("k").alias("first_item"), F.count("*").alias("n")).where("n > 1").drop("run")

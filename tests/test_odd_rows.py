@@ -12,6 +12,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from quillspark.operators import sequences, sketches
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.plans import catalog
+from quillspark.plans import sequences as plans
 
 LINES = "l_orderkey long, l_linenumber int, l_quantity double"
 
@@ -118,3 +119,10 @@ def test_common_runs_stop_at_the_first_list_without_any(monkeypatch):
     calls, align = [], sequences.lcs_pairs
     monkeypatch.setattr(sequences, "lcs_pairs", lambda a, b: (calls.append(1), align(a, b))[1])
     assert sequences.common_runs([list("abc"), list("xyz"), *[list("abc")] * 50]) == [] and len(calls) == 1
+
+
+def test_list_runs_spread_with_their_rows(spark, monkeypatch):
+    """Tasks grow in number with the input, so that none sorts more than its share."""
+    monkeypatch.setattr(plans, "TASK_ROWS", 500)
+    df = catalog.QUERIES["list_runs"](spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(page#" in plan(df) and f", {-(-spark.read.parquet('/root/testdata/sf0.001/lineitem.parquet').count() // 500)}), REPARTITION_BY_NUM" in plan(df)
