@@ -1,110 +1,156 @@
 """Modules over the boxes of a page: groups of marks, labels, tables, grids, repeated rows and columns.
 
-Nodes have ``page``, ``node``, ``x``, ``y``, ``w``, ``h`` and ``kind``. A module sees the nodes that are still free and claims several at once. All are
-windows and aggregates within a page, whose nodes must fit a task; nodes without a place are never claimed by geometry.
+Nodes have ``page``, ``node``, ``x``, ``y``, ``w``, ``h``, ``kind`` and ``_free``. A module sees the nodes that are still free and marks several at once: it
+adds ``_claim``, null for all others. All are windows within a page, whose nodes must fit a task, so nodes that ``deal`` has brought together by
+page move no more; nodes without a place are never claimed by geometry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillspark.operators import layout as lo
 
-Claims = Callable[[DataFrame], DataFrame]
-KEYS = ("page", "node")
+Marks = Callable[[DataFrame], DataFrame]
 
+#: Nodes of one page have both in common; each window starts with them, and ``deal`` goes by them.
+WITHIN = ("page", "_loose")
 
-def placed(free: DataFrame) -> DataFrame:
-    return free.where("page IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL")
+#: Nodes of one task on average; what its sorts hold in memory goes with them.
+TASK_ROWS = 500_000
 
 
-def claim(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.select(*KEYS, F.lit(kind).alias("kind"))
+def deal(nodes: DataFrame, rows: int) -> DataFrame:
+    """``nodes`` brought together by page, over partitions that grow in number with the ``rows`` and not in size."""
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_loose(nodes).repartition(max(least, -(-rows // TASK_ROWS)), *WITHIN)
 
 
-def with_leader(df: DataFrame, value: str, tolerance: float, out: str) -> DataFrame:
-    """``df`` with the first value of the cluster that each ``value`` of its page falls into."""
-    leaders = lo.leader_clusters(df, ["page"], value, tolerance).groupBy("page").agg(F.collect_list("leader").alias("_leaders"))
-    return df.join(leaders, "page").withColumn(out, F.array_max(F.filter("_leaders", lambda v: v <= F.col(value)))).drop("_leaders")
+def with_loose(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``_loose``: null on a page; nodes without one, which see no others, are spread by it."""
+    return nodes.withColumn("_loose", F.when(F.col("page").isNull(), F.xxhash64("node")))
 
 
-def column_runs(of: str, kind: str, most_gap: float, least: int = 2) -> Claims:
+def marked(marks: Marks) -> Marks:
+    """``marks`` without the columns that it needs on the way."""
+
+    def run(nodes: DataFrame) -> DataFrame:
+        return marks(nodes if "_loose" in nodes.columns else with_loose(nodes)).select(*nodes.columns, "_claim")
+
+    return run
+
+
+def among(nodes: DataFrame, of: Column | None = None) -> DataFrame:
+    """``nodes`` with ``_in``: free, with a place, and ``of`` holds."""
+    there = F.expr("_free AND page IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL")
+    return nodes.withColumn("_in", there if of is None else F.coalesce(there & of, F.lit(False)))
+
+
+def over(*keys: str) -> WindowSpec:
+    """The nodes of a page that are in question, by further columns."""
+    return Window.partitionBy(*WITHIN, "_in", *keys)
+
+
+def claim(nodes: DataFrame, which: Column, kind: str) -> DataFrame:
+    return nodes.withColumn("_claim", F.when(F.col("_in") & which, kind))
+
+
+def with_clusters(nodes: DataFrame, values: dict[str, str], tolerance: float) -> DataFrame:
+    """``nodes`` with the number of the cluster that each value (out: value) of its page falls into: distinct values in order join the last cluster
+    if they are within ``tolerance`` of its first value. They are folded at one node of a page, which hands the first values to the others.
+    """
+    page = over().orderBy(*values.values(), "node")
+    every = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nodes = nodes.withColumns({f"_{out}": F.collect_set(F.col(value).cast("double")).over(every) for out, value in values.items()} | {"_nth": F.row_number().over(page)})
+    firsts = lambda those: F.aggregate(
+        F.sort_array(those), F.array().cast("array<double>"), lambda done, v: F.when((F.size(done) > 0) & (v - F.try_element_at(done, F.lit(-1)) <= tolerance), done).otherwise(F.concat(done, F.array(v)))
+    )
+    nodes = nodes.withColumns({f"_{out}": F.when(F.col("_in") & (F.col("_nth") == 1), firsts(F.col(f"_{out}"))) for out in values})
+    nodes = nodes.withColumns({f"_{out}": F.max(f"_{out}").over(over()) for out in values})
+    at = lambda out, value: F.size(F.filter(f"_{out}", lambda v: v <= F.col(value)))
+    return nodes.withColumns({out: at(out, value) for out, value in values.items()}).drop("_nth", *[f"_{out}" for out in values])
+
+
+def column_runs(of: str, kind: str, most_gap: float, least: int = 2) -> Marks:
     """Nodes of one kind below each other: the same ``x``, gaps of at most ``most_gap``, at least ``least`` in a run."""
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = placed(free).where(F.col("kind") == of).withColumn("bottom", F.col("y") + F.col("h"))
-        runs = lo.gap_clusters(nodes, ["page", "x"], "y", "bottom", most_gap, "run")
-        return claim(runs.withColumn("n", F.count("*").over(Window.partitionBy("page", "x", "run"))).where(F.col("n") >= least), kind)
+    def marks(nodes: DataFrame) -> DataFrame:
+        nodes = among(nodes, F.col("kind") == of).withColumn("_end", F.col("y") + F.col("h"))
+        runs = lo.gap_clusters(nodes, [*WITHIN, "_in", "x"], "y", "_end", most_gap, "_run")
+        return claim(runs.withColumn("_n", F.count("*").over(over("x", "_run"))), F.col("_n") >= least, kind)
 
-    return claims
+    return marked(marks)
 
 
-def before_field(along: str, across: str, size: str, kind: str, most_gap: float) -> Claims:
+def before_field(along: str, across: str, size: str, kind: str, most_gap: float) -> Marks:
     """Texts right before a field ``along`` one axis, at the same place ``across``: nothing in between, ``most_gap`` away at most."""
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = placed(free)
-        w = Window.partitionBy("page", across).orderBy(along, "node")
-        gap = F.lead(along).over(w) - F.col(along) - F.col(size)
-        nodes = nodes.withColumns({"next_kind": F.lead("kind").over(w), "gap": gap})
-        return claim(nodes.where((F.col("kind") == "text") & (F.col("next_kind") == "field") & F.col("gap").between(0, most_gap)), kind)
+    def marks(nodes: DataFrame) -> DataFrame:
+        w = over(across).orderBy(along, "node")
+        nodes = among(nodes).withColumns({"_next": F.lead("kind").over(w), "_gap": F.lead(along).over(w) - F.col(along) - F.col(size)})
+        return claim(nodes, (F.col("kind") == "text") & (F.col("_next") == "field") & F.col("_gap").between(0, most_gap), kind)
 
-    return claims
+    return marked(marks)
 
 
-def tables(of: Column, kind: str, tolerance: float, least_rows: int = 2, least_columns: int = 2) -> Claims:
+def tables(of: Column, kind: str, tolerance: float, least_rows: int = 2, least_columns: int = 2) -> Marks:
     """Nodes at the crossings of rows and columns: each row holds nodes in several columns and each column in several rows.
 
     Rows and columns are clusters of coordinates; a node stays if both its row and its column are long enough.
     """
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = placed(free).where(of)
-        nodes = with_leader(with_leader(nodes, "x", tolerance, "col"), "y", tolerance, "row")
-        cells = nodes.select("page", "row", "col").distinct()
-        wide = cells.groupBy("page", "row").agg(F.count("*").alias("n")).where(F.col("n") >= least_columns).drop("n")
-        high = cells.groupBy("page", "col").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).drop("n")
-        return claim(nodes.join(wide, ["page", "row"], "left_semi").join(high, ["page", "col"], "left_semi"), kind)
+    def marks(nodes: DataFrame) -> DataFrame:
+        nodes = with_clusters(among(nodes, of), {"_col": "x", "_row": "y"}, tolerance)
+        nodes = nodes.withColumn("_high", F.size(F.collect_set("_row").over(over("_col"))))
+        nodes = nodes.withColumn("_wide", F.size(F.collect_set("_col").over(over("_row"))))
+        return claim(nodes, (F.col("_wide") >= least_columns) & (F.col("_high") >= least_rows), kind)
 
-    return claims
+    return marked(marks)
 
 
-def repeated_rows(kind: str, tolerance: float, least: int = 2, least_nodes: int = 2) -> Claims:
+def repeated_rows(kind: str, tolerance: float, least: int = 2, least_nodes: int = 2) -> Marks:
     """Rows that follow each other with the same nodes: equal kinds at equal ``x``, ``least`` or more in a run, ``least_nodes`` or more each.
 
     A row's structure is the hash of its sorted kinds and places, so runs compare hashes and not nodes.
     """
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = with_leader(placed(free), "y", tolerance, "row")
-        rows = nodes.groupBy("page", "row").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("@", F.coalesce("kind", F.lit("")), F.col("x").cast("string")))), ";"), 256).alias("shape"), F.count("*").alias("n"))
-        w = Window.partitionBy("page").orderBy("row")
-        rows = rows.withColumn("fresh", F.when(F.lag("shape").over(w) == F.col("shape"), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(w))
-        runs = rows.withColumn("long", F.count("*").over(Window.partitionBy("page", "run"))).where((F.col("long") >= least) & (F.col("n") >= least_nodes))
-        return claim(nodes.join(runs.select("page", "row"), ["page", "row"], "left_semi"), kind)
-
-    return claims
-
-
-def dominant_columns(kind: str, share: float, least: int = 3) -> Claims:
+    def marks(nodes: DataFrame) -> DataFrame:
+        nodes = with_clusters(among(nodes), {"_row": "y"}, tolerance)
+        spot = F.concat_ws("@", F.coalesce("kind", F.lit("")), F.col("x").cast("string"))
+        row, page = over("_row").orderBy("node"), over().orderBy("_row", "node")
+        every = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        nodes = nodes.withColumns({"_spots": F.collect_list(F.when(F.col("_in"), spot)).over(every), "_n": F.count("*").over(every), "_nth": F.row_number().over(row)})
+        shape = F.sha2(F.array_join(F.sort_array("_spots"), ";"), 256)
+        nodes = nodes.withColumn("_shape", F.when(F.col("_in") & (F.col("_nth") == 1), shape)).drop("_spots", "_nth").withColumn("_shape", F.max("_shape").over(every))
+        nodes = nodes.withColumns({"_before": F.lag("_row").over(page), "_alike": F.lag("_shape").over(page) == F.col("_shape")})
+        new = F.col("_before").isNull() | (F.col("_before") != F.col("_row"))
+        nodes = nodes.withColumn("_new", new.cast("int")).withColumn("_fresh", F.when(F.col("_alike"), 0).otherwise(F.col("_new"))).drop("_shape", "_before", "_alike")
+        nodes = nodes.withColumn("_run", F.sum("_fresh").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+        nodes = nodes.withColumn("_long", F.sum("_new").over(over("_run")))
+        return claim(nodes, (F.col("_long") >= least) & (F.col("_n") >= least_nodes), kind)
+
+    return marked(marks)
+
+
+def dominant_columns(kind: str, share: float, least: int = 3) -> Marks:
     """Nodes whose left edge is that of at least a ``share`` of the page's free nodes, and of ``least``."""
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = placed(free).withColumns({"n": F.count("*").over(Window.partitionBy("page", "x")), "all": F.count("*").over(Window.partitionBy("page"))})
-        return claim(nodes.where((F.col("n") >= least) & (F.col("n") >= F.col("all") * share)), kind)
+    def marks(nodes: DataFrame) -> DataFrame:
+        nodes = among(nodes).withColumn("_n", F.count("*").over(over("x"))).withColumn("_all", F.count("*").over(over()))
+        return claim(nodes, (F.col("_n") >= least) & (F.col("_n") >= F.col("_all") * share), kind)
 
-    return claims
+    return marked(marks)
 
 
-def line_blocks(of: str, kind: str, most_gap: float) -> Claims:
+def line_blocks(of: str, kind: str, most_gap: float) -> Marks:
     """Nodes of one kind beside each other on one line, at most ``most_gap`` apart, two or more."""
 
-    def claims(free: DataFrame) -> DataFrame:
-        nodes = placed(free).where(F.col("kind") == of).withColumn("right", F.col("x") + F.col("w"))
-        runs = lo.gap_clusters(nodes, ["page", "y"], "x", "right", most_gap, "run")
-        return claim(runs.withColumn("n", F.count("*").over(Window.partitionBy("page", "y", "run"))).where("n >= 2"), kind)
+    def marks(nodes: DataFrame) -> DataFrame:
+        nodes = among(nodes, F.col("kind") == of).withColumn("_end", F.col("x") + F.col("w"))
+        runs = lo.gap_clusters(nodes, [*WITHIN, "_in", "y"], "x", "_end", most_gap, "_run")
+        return claim(runs.withColumn("_n", F.count("*").over(over("y", "_run"))), F.col("_n") >= 2, kind)
 
-    return claims
+    return marked(marks)

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import form_modules as fm
-from quillspark.operators.checkpoints import ensure_checkpoint_dir
-from quillspark.operators.modules import RowModule, SetModule, repeated_nodes, run_modules
+from quillspark.operators.modules import MarkModule, RowModule, SetModule, repeated_nodes, run_modules
 from quillspark.plans.registry import query
 from quillspark.plans.scalars import LINES
 from quillspark.session import table
@@ -48,40 +47,46 @@ def analysis_modules(spark, sf_dir):
     return claimed.groupBy("doc_id", "module").agg(F.count("*").alias("n_lines"), F.min("n").alias("first_line"))
 
 
-def form_modules() -> list[RowModule | SetModule]:
+def form_modules() -> list[RowModule | MarkModule]:
     """Modules of boxes in their order: groups of marks before single ones, fields with their names, tables, repeats, then what is left."""
     kind = F.col("node_kind")
     return [
-        SetModule("radio_group", named(fm.column_runs("radio", "group", 8.0))),
+        MarkModule("radio_group", named(fm.column_runs("radio", "group", 8.0))),
         RowModule("radio", F.when(kind == "radio", "single")),
-        SetModule("checkbox_group", named(fm.column_runs("checkbox", "group", 8.0))),
+        MarkModule("checkbox_group", named(fm.column_runs("checkbox", "group", 8.0))),
         RowModule("checkbox", F.when(kind == "checkbox", "single")),
-        SetModule("inline_label", named(fm.before_field("x", "y", "w", "left", 25.0))),
-        SetModule("caption", named(fm.before_field("y", "x", "h", "above", 6.0))),
-        SetModule("field_table", named(fm.tables(F.col("kind") == "field", "cell", 4.0))),
-        SetModule("repeat", named(fm.repeated_rows("row", 1.0))),
-        SetModule("grid", named(fm.tables(F.col("kind").isNotNull(), "cell", 2.0, 3, 3))),
-        SetModule("text_block", named(fm.line_blocks("text", "line", 30.0))),
-        SetModule("column_layout", named(fm.dominant_columns("column", 0.2))),
+        MarkModule("inline_label", named(fm.before_field("x", "y", "w", "left", 25.0))),
+        MarkModule("caption", named(fm.before_field("y", "x", "h", "above", 6.0))),
+        MarkModule("field_table", named(fm.tables(F.col("kind") == "field", "cell", 4.0))),
+        MarkModule("repeat", named(fm.repeated_rows("row", 1.0))),
+        MarkModule("grid", named(fm.tables(F.col("kind").isNotNull(), "cell", 2.0, 3, 3))),
+        MarkModule("text_block", named(fm.line_blocks("text", "line", 30.0))),
+        MarkModule("column_layout", named(fm.dominant_columns("column", 0.2))),
         RowModule("field", F.when(kind == "field", "single")),
         RowModule("text", F.lit("single")),
     ]
 
 
-def named(claims):
-    """The claims of a module that calls the kind of a node ``kind``, which the runner keeps for its own."""
-    return lambda free: claims(free.withColumnRenamed("node_kind", "kind"))
+def named(marks):
+    """The marks of a module that calls the kind of a node ``kind``, which the runner keeps for its own."""
+    return lambda nodes: marks(nodes.withColumnsRenamed({"kind": "_kind", "node_kind": "kind"})).withColumnsRenamed({"kind": "node_kind", "_kind": "kind"})
 
 
-def form_boxes(spark, sf_dir):
-    """Line items as boxes of the page of their part: marks, fields and texts by their flags; of items with one number the least box."""
+def form_boxes(spark, sf_dir, dealt: bool = False):
+    """Line items as boxes of the page of their part: marks, fields and texts by their flags; of items with one number the least box.
+
+    Items can be ``dealt`` by page before, for modules that look at pages.
+    """
     node_kind = F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", "checkbox").otherwise("radio")).when((F.col("l_returnflag") == "A") | (F.col("l_linenumber") % 3 == 0), "field").otherwise("text")
     node_kind = F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 5 == 0), "radio").otherwise(node_kind)
     boxes = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node"), node_kind.alias("node_kind"),
         F.round(F.col("l_discount") * 500).alias("x"), (F.floor(F.col("l_quantity") / 5) * 6).cast("double").alias("y"), (F.round(F.col("l_tax") * 200) + 4).alias("w"), F.lit(5.0).alias("h"),
     )
-    return boxes.groupBy("page", "node").agg(F.min(F.struct("node_kind", "x", "y", "w", "h")).alias("box")).select("page", "node", "box.*")
+    keys = ["page", "node"]
+    if dealt:
+        boxes, keys = fm.deal(boxes, boxes.count()), [*fm.WITHIN, "node"]
+    return boxes.groupBy(*keys).agg(F.min(F.struct("node_kind", "x", "y", "w", "h")).alias("box")).select(*keys, "box.*")
 
 
 def form_modules_sql() -> str:
@@ -120,6 +125,5 @@ def form_modules_sql() -> str:
 @query("form_modules", form_modules_sql())
 def form_modules_query(spark, sf_dir):
     """Boxes of every page by the module that claims them."""
-    ensure_checkpoint_dir(spark)
-    claimed = run_modules(form_boxes(spark, sf_dir), form_modules(), ["page", "node"], cut_after=1)
+    claimed = run_modules(form_boxes(spark, sf_dir, dealt=True), form_modules(), ["page", "node"], unique=True)
     return claimed.select("page", "node", "node_kind", "module", "kind")

@@ -1,8 +1,13 @@
 """Modules of boxes, page by page, against plain loops over the nodes."""
 
+import contextlib
+import io
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql.classic.dataframe import DataFrame
+
+from quillspark.operators import form_modules as fm
 from quillspark.operators.checkpoints import ensure_checkpoint_dir
 from quillspark.operators.modules import run_modules
 from quillspark.plans import analysis, catalog
@@ -135,3 +140,37 @@ def test_query_of_line_items(spark):
     rows = [tuple(r[c] for c in ("page", "node", "node_kind", "x", "y", "w", "h")) for r in analysis.form_boxes(spark, sf).collect()]
     got = {(r.page, r.node): r.module for r in catalog.QUERIES["form_modules"](spark, sf).collect()}
     assert got == expected(rows) and len(set(got.values())) >= 8
+
+
+def test_boxes_move_once(spark, monkeypatch):
+    """One exchange brings the boxes of a page together for all modules; none writes them, and tasks grow in number with them."""
+    written = []
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *_: written.append(1) or df)
+    monkeypatch.setattr(fm, "TASK_ROWS", 500)
+    df = catalog.QUERIES["form_modules"](spark, "/root/testdata/sf0.001")
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        df.explain()
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert not written and plan.getvalue().count("Exchange") == 1 and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan.getvalue()
+
+
+def test_dealt_boxes(spark):
+    """Dealt or not, pages without a number, rows without a place and places that are zeros of both signs or no numbers give the same claims."""
+    rng = random.Random(8)
+    rows = []
+    for page in [*range(20), None]:
+        for node in range(rng.randint(20, 40)):
+            spot = [rng.choice([0.0, -0.0, 5.0, 30.0, 33.0, None]), rng.choice([-6.0, 0.0, 6.0, 12.0, None]), 5.0, 5.0]
+            rows.append((page, node, rng.choice(["text", "field", "field", "radio", None]), *spot))
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    dealt = fm.deal(nodes, len(rows))
+    got = {(r.page, r.node): r.module for r in run_modules(dealt, analysis.form_modules(), ["page", "node"], unique=True).collect()}
+    assert got == expected(rows) == {(r.page, r.node): r.module for r in run_modules(nodes, analysis.form_modules(), ["page", "node"]).collect()}
+    assert fm.deal(spark.range(8000).selectExpr("CAST(NULL AS long) page", "id node"), 8000).selectExpr("spark_partition_id() p").distinct().count() == 4
+
+
+def test_rows_of_one_key_are_claimed_together(spark):
+    """A row that a window would leave follows one with its key, unless it was claimed before."""
+    rows = [(1, 1, "radio", 0.0, 0.0, 5.0, 5.0), (1, 2, "radio", 0.0, 6.0, 5.0, 5.0), (1, 2, "radio", 90.0, 6.0, 5.0, 5.0), (1, 2, "field", 50.0, 6.0, 5.0, 5.0)]
+    done = run_modules(spark.createDataFrame(rows, SCHEMA), analysis.form_modules(), ["page", "node"]).collect()
+    assert [r.module for r in done] == ["radio_group"] * 4
